@@ -28,23 +28,32 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def hypergeom_upper(q, m, n, k, inclusive: bool = False) -> np.ndarray:
-    """P(X > q) (or P(X >= q)) for k draws from m marked and n unmarked items."""
+    """P(X > q) (or P(X >= q)) for k draws from m marked and n unmarked items.
+
+    All records advance together through the terms of their tails; sums are kept as logarithms.
+    """
     q, m, n, k = (np.asarray(v, dtype=float) for v in (q, m, n, k))
-    out = np.full(len(q), np.nan)
-    for i in range(len(q)):
-        start = int(max(q[i] + (0 if inclusive else 1), 0, k[i] - n[i]))
-        stop = int(min(m[i], k[i]))
-        if stop < start:
-            out[i] = 0.0
-            continue
-        x = np.arange(start, stop + 1, dtype=float)
-
-        def choose(a, b):
-            return _log_gamma(a + 1) - _log_gamma(b + 1) - _log_gamma(a - b + 1)
-
-        logs = choose(m[i] + 0 * x, x) + choose(n[i] + 0 * x, k[i] - x) - choose(m[i:i + 1] + n[i:i + 1], k[i:i + 1])
-        out[i] = float(np.exp(logs).sum())
-    return out
+    x = np.maximum.reduce([q + (0 if inclusive else 1), np.zeros_like(q), k - n])
+    stop = np.minimum(m, k)
+    live = x <= stop
+
+    def choose(a, b):
+        return _log_gamma(a + 1) - _log_gamma(b + 1) - _log_gamma(a - b + 1)
+
+    x0 = np.where(live, x, np.minimum(stop, np.maximum(0, k - n)))
+    term = np.where(live, choose(m, x0) + choose(n, k - x0) - choose(m + n, k), -np.inf)
+    total = term.copy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while True:
+            # a tail is done at its end or once its falling terms no longer count
+            live = live & (x < stop) & ~((term < total - 45) & (x > k * m / (m + n)))
+            if not live.any():
+                break
+            ratio = (m - x) * (k - x) / ((x + 1) * (n - k + x + 1))
+            term = np.where(live, term + np.log(ratio), term)
+            total = np.where(live, np.logaddexp(total, term), total)
+            x = np.where(live, x + 1, x)
+    return np.exp(total)
 
 
 @F.pandas_udf(T.DoubleType())

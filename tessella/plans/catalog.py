@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from tessella.plans import q_matrix, q_networks, q_scores  # noqa: F401
+from tessella.plans import q_matrix, q_motifs, q_networks, q_scores  # noqa: F401
 from tessella.plans.registry import REGISTRY  # noqa: F401

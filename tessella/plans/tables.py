@@ -143,7 +143,7 @@ SQL = {
     "hits": "select (l_suppkey % 25)::int as k, l_partkey as row_id, min((l_discount + 0.001::double) * (l_tax + 0.01::double)) as pvalue from lineitem group by 1, 2",
     "contigs": "select doc_id as contig, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents",
     "features": "select contig || '.' || i as id, contig, case when i % 2 = 0 then 'D' else 'R' end as strand, (300 + 500*i)::bigint as start_pos, (499 + 500*i)::bigint as end_pos from (select contig, unnest(range((length(seq) - 500) // 500 + 1)) as i from contigs where length(seq) >= 500)",
-    "pssm": "select k, mot, pos, avg((b='A')::int::double) as a, avg((b='C')::int::double) as c, avg((b='G')::int::double) as g, avg((b='T')::int::double) as t from (select (contig % 12)::int as k, w.mot, p.pos, substr(seq, w.at + p.pos - 1, 1) as b from contigs, (values (1, 1), (2, 101)) w(mot, at), (values (1),(2),(3),(4),(5),(6),(7),(8)) p(pos) where length(seq) >= 120) group by 1, 2, 3",
+    "pssm": "select k, mot, pos, avg((b='A')::int::double) as a, avg((b='C')::int::double) as c, avg((b='G')::int::double) as g, avg((b='T')::int::double) as t from (select (contig % 12)::int as k, w.mot, p.pos, substr(seq, w.st + p.pos - 1, 1) as b from contigs, (values (1, 1), (2, 101)) w(mot, st), (values (1),(2),(3),(4),(5),(6),(7),(8)) p(pos) where length(seq) >= 120) group by 1, 2, 3",
     "annotation": "select p_type as term, p_partkey as row_id, lower(p_type) as term_name, 'P' as ontology from part",
     "history": "select distinct day(ts)::int as iter, ascii(event_type)::int as k, user_id as row_id from events",
     "series": "select event_type as series, day(ts)::int as \"time\", avg(value) as value from events group by 1, 2",
