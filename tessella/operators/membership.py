@@ -252,8 +252,8 @@ def sample_members(
     j = j.withColumn("_w", w)
     stat = j.groupBy("k").agg(
         F.sum(F.when(inside, F.col("_w"))).alias("_wi"), F.sum(F.when(~inside, F.col("_w"))).alias("_wo"),
-        F.count("_in").alias("_n"), F.count(F.lit(1)).alias("_N"))
-    bal = F.col("_wi") / F.nullif("_wo", F.lit(0.0)) * (F.lit(per_item / n_clusters) * F.col("_N")) / F.nullif("_n", F.lit(0))
+        F.count("_in").alias("_n"), F.count(F.lit(1)).alias("_all"))
+    bal = F.col("_wi") / F.nullif("_wo", F.lit(0.0)) * (F.lit(per_item / n_clusters) * F.col("_all")) / F.nullif("_n", F.lit(0))
     j = j.join(stat, "k").withColumn("_b", F.coalesce(bal, F.lit(1.0)))
     w2 = F.when(F.col("_b") >= 1, F.when(inside, F.col("_w")).otherwise(F.col("_w") * F.col("_b"))).otherwise(F.when(inside, F.col("_w") / F.col("_b")).otherwise(F.col("_w")))
     moves = j.withColumn("_w2", w2).where(F.col("_w2") > uniform(axis, "k", iteration, seed))

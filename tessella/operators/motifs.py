@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tessella.functions import distributions as dist
 from tessella.functions.order import indexed
 from tessella.operators.genome import reverse_complement
-from tessella.session import materialize
+from tessella.session import materialize, spread
 
 LETTERS = "ACGT"
 PIECE = 256
@@ -243,6 +243,7 @@ def motif_similarity(pssm: DataFrame, min_overlap: int = 4, p_cutoff: float = 0.
     t = packed.withColumn("tile", F.pmod(F.xxhash64("k", "mot"), F.lit(n_tiles)).cast("int"))
     left = t.select("k", "mot", "m", F.col("tile").alias("ta"), F.explode(F.sequence(F.col("tile"), F.lit(n_tiles - 1))).alias("tb"))
     right = t.select(F.col("k").alias("k2"), F.col("mot").alias("mot2"), F.col("m").alias("m2"), F.col("tile").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ta"))
+    left, right = spread(left, "ta", "tb"), spread(right, "ta", "tb")
 
     def runs(a: pd.DataFrame, b: pd.DataFrame):
         b = b.rename(columns={"k2": "k", "mot2": "mot", "m2": "m"})
@@ -399,7 +400,7 @@ def _null_tail(logodds: np.ndarray, bg: np.ndarray, step: float = 0.01) -> tuple
     return low, np.minimum(1.0, np.cumsum(dist_[::-1])[::-1])
 
 
-def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | None = None, block: int = 2000, motif_block: int = 200) -> DataFrame:
+def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | None = None, block: int = 1000, motif_block: int = 200) -> DataFrame:
     """(id, k, mot, pos, strand, score, pvalue): best log-odds hit of every motif on every sequence.
 
     Sequences are cut into overlapping pieces; a task scans one block of pieces with one block of
@@ -412,6 +413,7 @@ def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | N
     n_motif_blocks = max(1, -(-packed.count() // motif_block))
     a = pieces(seqs.select("id", "seq"), widest - 1).withColumn("sb", F.pmod(F.xxhash64("id", "at"), F.lit(n_pieces_blocks)).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(n_motif_blocks - 1))))
     b = packed.withColumn("mb", F.pmod(F.xxhash64("k", "mot"), F.lit(n_motif_blocks)).cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(n_pieces_blocks - 1))))
+    a, b = spread(a, "sb", "mb"), spread(b, "sb", "mb")
     cols = ["id", "k", "mot", "pos", "strand", "score", "pvalue"]
 
     def scan(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import spread
+
+# largest number of cells one side of a tile holds
 TILE_CELLS = 4_000_000
 
 
@@ -134,7 +137,7 @@ def tiled(left: DataFrame, right: DataFrame, n_cols: int, left_key: str, right_k
         "rt", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     b = right.withColumn("rt", F.pmod(F.xxhash64(F.lit(7), right_key), F.lit(n_right)).cast("int")).withColumn(
         "lt", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    return a, b
+    return spread(a, "lt", "rt"), spread(b, "lt", "rt")
 
 
 def member_means(vectors: DataFrame, row_member: DataFrame, n_cols: int, method: str) -> DataFrame:
@@ -255,6 +258,7 @@ def co_occurrence(long: DataFrame, groups: Sequence[str], item: str, block_rows:
     inc = long.select(F.xxhash64(*groups).alias("g"), F.col(item).alias("x")).distinct().withColumn("bl", F.pmod(F.xxhash64("x"), F.lit(n_blocks)).cast("int"))
     a = inc.withColumn("ba", F.col("bl")).withColumn("bb", F.explode(F.sequence(F.col("bl"), F.lit(n_blocks - 1))))
     b = inc.withColumn("bb", F.col("bl")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("bl"))))
+    a, b = spread(a, "ba", "bb"), spread(b, "ba", "bb")
 
     def block(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"a": [], "b": [], "n": []})
@@ -285,3 +289,18 @@ def co_occurrence(long: DataFrame, groups: Sequence[str], item: str, block_rows:
     it = long.schema[item].dataType
     schema = T.StructType([T.StructField("a", it), T.StructField("b", it), T.StructField("n", T.LongType())])
     return a.groupBy("ba", "bb").cogroup(b.groupBy("ba", "bb")).applyInPandas(block, schema)
+
+
+def correlated_pairs(left: DataFrame, right: DataFrame, n_cols: int, cutoff: float) -> DataFrame:
+    """(left_id, right_id, r) over ``cutoff`` between two vector tables (row_id, vec)."""
+    a, b = tiled(left.select(F.col("row_id").alias("left_id"), F.col("vec").alias("lvec")), right.select(F.col("row_id").alias("right_id"), F.col("vec").alias("rvec")), n_cols, "left_id", "right_id")
+
+    def block(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame({"left_id": [], "right_id": [], "r": []})
+        r = pairwise_corr(np.stack(p["lvec"].to_numpy()).astype(float), np.stack(q["rvec"].to_numpy()).astype(float))
+        i, j = np.nonzero(np.where(np.isfinite(r), r, -2) > cutoff)
+        return pd.DataFrame({"left_id": p["left_id"].to_numpy()[i], "right_id": q["right_id"].to_numpy()[j], "r": r[i, j]})
+
+    schema = T.StructType([T.StructField("left_id", left.schema["row_id"].dataType), T.StructField("right_id", right.schema["row_id"].dataType), T.StructField("r", T.DoubleType())])
+    return a.groupBy("lt", "rt").cogroup(b.groupBy("lt", "rt")).applyInPandas(block, schema)

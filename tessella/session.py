@@ -54,3 +54,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by ``keys`` into the configured number of shuffle partitions.
+
+    Grouped Python stages are heavy on compute and light on bytes, and size-based coalescing would run
+    them in a few tasks. The grouping reuses this partitioning, so no shuffle is added.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
