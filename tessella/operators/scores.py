@@ -215,3 +215,50 @@ def pivot_sources(long: DataFrame, names: list[str], axis: str = "row_id") -> Da
 def collapse_families(long: DataFrame, axis: str = "row_id") -> DataFrame:
     """One score per family: sources of a family are summed."""
     return long.groupBy(axis, "k", F.split_part("source", F.lit("."), F.lit(1)).alias("family")).agg(F.sum("score").alias("score"))
+
+
+KERNEL_CELLS = 4_000_000  # centroid cells one Python worker may hold
+
+
+def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_member: DataFrame, col_member: DataFrame) -> DataFrame:
+    """``row_scores`` from packed row vectors: no shuffle of the matrix.
+
+    The centroids of all clusters go to every task only if they hold at most KERNEL_CELLS numbers;
+    a larger set takes the relational plan.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    target = col_member.join(centroids(m, row_member), ["k", "col_id"]).join(axis, "col_id").select("k", "ci", "mu")
+    rows = target.limit(KERNEL_CELLS + 1).collect()
+    if len(rows) > KERNEL_CELLS:
+        return row_scores(m, row_member, col_member)
+    cells: dict[int, list[tuple[int, float]]] = {}
+    for r in rows:
+        cells.setdefault(r["k"], []).append((r["ci"], r["mu"]))
+    packed = m.sparkSession.sparkContext.broadcast(
+        [(k, np.array([c for c, _ in v]), np.array([x for _, x in v])) for k, v in sorted(cells.items())])
+
+    def score(batches):
+        plan = packed.value
+        ks = np.array([k for k, _, _ in plan])
+        for pdf in batches:
+            x = np.stack(pdf["vec"].to_numpy()).astype(float)
+            gaps = not np.isfinite(x).all()
+            out = np.empty((len(x), len(plan)))
+            for j, (_, ci, mu) in enumerate(plan):
+                d = x[:, ci] - mu
+                d *= d
+                if gaps:
+                    ok = np.isfinite(d)
+                    n = ok.sum(axis=1)
+                    with np.errstate(all="ignore"):
+                        out[:, j] = np.where(ok, d, 0.0).sum(axis=1) / n
+                else:
+                    out[:, j] = d.mean(axis=1)
+            res = pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), len(plan)), "k": np.tile(ks, len(x)), "score": np.log(out + 1e-99).ravel()})
+            yield res[np.isfinite(res["score"].to_numpy())]
+
+    schema = T.StructType([vectors.schema["row_id"], T.StructField("k", row_member.schema["k"].dataType), T.StructField("score", T.DoubleType())])
+    return vectors.mapInPandas(score, schema)
