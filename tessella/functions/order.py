@@ -111,6 +111,25 @@ def quantiles(
     return picked.groupBy(*keys).agg(*aggs)
 
 
+SMALL = 2_000_000  # values one exact-percentile buffer may hold
+
+
+def scalar_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], n_rows: int | None = None) -> dict[str, float]:
+    """Exact quantiles of several expressions over the whole frame as driver scalars.
+
+    A frame of at most SMALL rows takes one aggregation with bounded buffers; a larger one takes the
+    bracketed plan of ``quantiles`` per expression.
+    """
+    n = df.count() if n_rows is None else n_rows
+    if n <= SMALL:
+        row = df.agg(*[F.percentile(c, p).alias(name) for name, (c, p) in wanted.items()]).first()
+        return row.asDict()
+    out: dict[str, float] = {}
+    for name, (c, p) in wanted.items():
+        out[name] = quantiles(df.select(c.alias("v")), [], "v", {name: p}).first()[name]
+    return out
+
+
 def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, trim: float, tie: Sequence[str], out: str) -> DataFrame:
     """Mean after dropping ``floor(n*trim)`` values from each end."""
     src = df.where(F.col(value).isNotNull())

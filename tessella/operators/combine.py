@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.chance import normal
-from tessella.functions.order import indexed, quantiles, running_sum
+from tessella.functions.order import indexed, quantiles, running_sum, scalar_quantiles
 from tessella.session import materialize
 
 FLOOR = -20.0  # scores under this are effective zeros
@@ -24,16 +24,8 @@ def floor_low(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.when(F.col(col) < FLOOR, low).otherwise(F.col(col)))
 
 
-def robust_scale(df: DataFrame, col: str, member: DataFrame, axis: str = "row_id") -> DataFrame:
-    """(x - median) / mad over the in-cluster values; the sd replaces a zero mad."""
-    inside = df.join(member.select(axis, "k"), [axis, "k"], "left_semi").select(col)
-    med = quantiles(inside, [], col, {"m": 0.5}).first()["m"]
-    if med is None:
-        return df
-    dev = quantiles(inside.select(F.abs(F.col(col) - med).alias("d")), [], "d", {"m": 0.5}).first()["m"] * 1.4826
-    if not dev:
-        dev = inside.agg(F.stddev_samp(col).alias("s")).first()["s"]
-    return df.withColumn(col, (F.col(col) - med) / dev) if dev else df
+def _floored(col: Column, low: float | None) -> Column:
+    return col if low is None else F.when(col < FLOOR, F.lit(low)).otherwise(col)
 
 
 def combine_scores(
@@ -42,34 +34,51 @@ def combine_scores(
 ) -> DataFrame:
     """(row_id, k, score): row scores robustly scaled plus motif and network scores on the same range.
 
-    The dense row scores define the grid; an absent motif or network score counts as 0. The frame is
-    written once and every scalar statistic reads that copy.
+    The dense row scores define the grid; an absent motif or network score counts as 0. The families
+    are joined and written once with a membership flag; five small aggregations over that copy give
+    every scalar (floors, in-cluster median and mad, 1% and 99% quantiles).
     """
-    wide = row.select("row_id", "k", F.col("score").alias("r"))
+    inside = row_member.select("row_id", "k", F.lit(True).alias("_in")).distinct()
+    wide = row.select("row_id", "k", F.col("score").alias("r")).join(inside, ["row_id", "k"], "left")
     for tag, df in (("m", mot), ("n", net)):
         if df is not None:
             wide = wide.join(df.select("row_id", "k", F.col("score").alias(tag)), ["row_id", "k"], "left").withColumn(tag, F.coalesce(tag, F.lit(0.0)))
     wide = materialize(wide, "families")
-    out = floor_low(robust_scale(floor_low(wide, "r"), "r", row_member), "r")
-    out = out.withColumn("r", F.when(F.abs("r") < float("inf"), F.col("r")))
-    out = materialize(out.withColumn("r", F.coalesce("r", out.agg(F.max("r").alias("m")).scalar())), "families")
-    total: Column = F.col("r") * float(weights[0])
-    if mot is not None or net is not None:
-        ref = abs(quantiles(out, [], "r", {"q": 0.01}).first()["q"])
+    n_rows = wide.count()
+    low = lambda c: F.min(F.when(c >= FLOOR, c))
+    first = wide.agg(low(F.col("r")).alias("r"), *([low(F.col("m")).alias("m")] if mot is not None else []), F.count("_in").alias("n_in")).first()
+    r = _floored(F.col("r"), first["r"])
+    mine, n_in = wide.where("_in"), first["n_in"]
+    if n_in:
+        med = scalar_quantiles(mine, {"m": (r, 0.5)}, n_in)["m"]
+        dev = scalar_quantiles(mine, {"d": (F.abs(r - med), 0.5)}, n_in)["d"] * 1.4826
+        if not dev:
+            dev = mine.agg(F.stddev_samp(r).alias("s")).first()["s"]
+        if dev:
+            r = (r - med) / dev
+    edge = wide.agg(low(r).alias("low"), F.max(F.when(F.abs(r) < float("inf"), r)).alias("top")).first()
+    r = _floored(r, edge["low"])
+    r = F.coalesce(F.when(F.abs(r) < float("inf"), r), F.lit(edge["top"]))
+    wanted = {"r01": (r, 0.01)}
+    m = _floored(F.col("m"), first["m"]) if mot is not None else None
     if mot is not None:
-        out = floor_low(out, "m")
-        q = quantiles(out, [], "m", {"hi": 0.99, "lo": 0.01}).first()
-        span = abs(q["lo"] - q["hi"])
+        wanted |= {"m99": (m, 0.99), "m01": (m, 0.01)}
+    if net is not None:
+        wanted |= {"n99": (F.col("n"), 0.99), "n01": (F.col("n"), 0.01)}
+    q = scalar_quantiles(wide, wanted, n_rows) if len(wanted) > 1 else {}
+    total: Column = r * float(weights[0])
+    if mot is not None:
+        span = abs(q["m01"] - q["m99"])
         if span:
-            total = total + (F.col("m") - q["hi"]) / span * ref * float(weights[1])
+            total = total + (m - q["m99"]) / span * abs(q["r01"]) * float(weights[1])
     if net is not None:
-        q = quantiles(out, [], "n", {"hi": 0.99, "lo": 0.01}).first()
-        span = abs(q["lo"] - q["hi"])
+        span = abs(q["n01"] - q["n99"])
         if span == 0:  # sparse networks: tenth smallest, then the smallest
-            least = [x["n"] - q["hi"] for x in out.select("n").orderBy("n").limit(10).collect()]
+            least = [x["n"] - q["n99"] for x in wide.select("n").orderBy("n").limit(10).collect()]
             span = least[-1] or least[0]
-        total = total + ((F.col("n") - q["hi"]) / span * ref if span else (F.col("n") - q["hi"])) * float(weights[2])
-    return out.select("row_id", "k", total.alias("score"))
+        part = F.col("n") - q["n99"]
+        total = total + (part / span * abs(q["r01"]) if span else part) * float(weights[2])
+    return wide.select("row_id", "k", total.alias("score"))
 
 
 def quantile_normalize(sets: DataFrame, weights: dict[str, float] | None = None, ids: Sequence[str] = ("row_id", "k")) -> DataFrame:
@@ -127,15 +136,17 @@ def density_scores(scores: DataFrame, member: DataFrame, axis: str = "row_id", r
     """
     rng = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     base = max((rng["hi"] - rng["lo"]) / 100, 0.001)
-    frame = scores.groupBy("k").agg((F.min("score") - 1).alias("_a"), (F.max("score") + 1).alias("_z"), F.count("score").alias("_tot"))
-    inside = scores.join(member.select(axis, "k"), [axis, "k"], "left_semi").where(F.col("score").isNotNull())
+    flagged = scores.join(member.select(axis, "k", F.lit(True).alias("_in")).distinct(), [axis, "k"], "left")
     if has_other is not None:
-        inside = inside.join(has_other.select("k").distinct(), "k", "left_semi")
-    size = inside.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+        live = has_other.select("k", F.lit(True).alias("_live")).distinct()
+        flagged = flagged.join(live, "k", "left").withColumn("_in", F.col("_in") & F.col("_live")).drop("_live")
+    mine = F.when(F.col("_in"), F.col("score"))
+    spec = flagged.groupBy("k").agg((F.min("score") - 1).alias("_a"), (F.max("score") + 1).alias("_z"), F.count(mine).alias("_n"), F.min(mine).alias("_lo"), F.max(mine).alias("_hi")).where("_n > 0")
     if not rows:
-        size = size.where(F.col("_hi") > F.col("_lo"))
+        spec = spec.where(F.col("_hi") > F.col("_lo"))
     bw = F.lit(2 * base) * (10 * F.exp(-F.col("_n") / 10.0) if rows else F.lit(1.0))
-    spec = frame.join(size, "k").withColumn("_bw", bw).withColumn("_from", F.col("_a") - 4 * F.col("_bw")).withColumn("_to", F.col("_z") + 4 * F.col("_bw"))
+    spec = spec.withColumn("_bw", bw).withColumn("_from", F.col("_a") - 4 * F.col("_bw")).withColumn("_to", F.col("_z") + 4 * F.col("_bw"))
+    inside = flagged.where(F.col("_in") & F.col("score").isNotNull()).select("k", "score")
     x = (F.col("score") - F.col("_from")) / (F.col("_to") - F.col("_from")) * (GRID - 1)
     binned = inside.join(spec, "k").withColumn("_x", x).withColumn("_i", F.floor("_x").cast("int")).groupBy("k", "_i").agg(
         F.sum(1 - (F.col("_x") - F.col("_i"))).alias("_l"), F.sum(F.col("_x") - F.col("_i")).alias("_r"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,24 +172,37 @@ class BiclusterRun:
             net = self.net_scores()
             self.net = materialize(net, "net_scores") if net is not None else None
 
-    def step(self) -> "BiclusterRun":
-        s, it = self.settings, self.iteration + 1
-        self.refresh_scores(it)
+    def next_rows(self, it: int) -> DataFrame:
+        s = self.settings
         r = cb.combine_scores(self.row, self.row_member, self.mot, self.net, s.scaling(it))
-        r = materialize(cb.fuzz(r, self.row_member, s.fuzz(it), it, s.seed), "combined")
+        if s.fuzz(it) > 1e-5:
+            r = materialize(cb.fuzz(r, self.row_member, s.fuzz(it), it, s.seed), "combined")
         rr = cb.density_scores(r, self.row_member, has_other=self.col_member)
         rr = materialize(cb.size_compensation(rr, self.row_member, "row_id", self.n_rows, s.per_row, s.n_clusters, s.rows_allowed[0]), "density")
         slots = mb.membership_slots(self.row_member, self.rows, s.per_row)
-        new_rows = mb.update_membership(rr, slots, s.per_row, s.max_change_rows, it, s.seed)
-        row_next = materialize(mb.slots_to_members(new_rows), "members")
-        if self.col is not None:
-            c = materialize(cb.fuzz(cb.floor_low(self.col, "score"), self.col_member, s.fuzzy_cols, it, s.seed + 1, "col_id"), "combined")
-            cc = cb.density_scores(c, self.col_member, "col_id", rows=False, has_other=self.row_member)
-            cc = materialize(cb.size_compensation(cc, self.col_member, "col_id", self.n_cols, self.per_col, s.n_clusters, self.n_cols / 10), "density")
-            cslots = mb.membership_slots(self.col_member, self.cols, self.per_col, "col_id")
-            new_cols = mb.update_membership(cc, cslots, self.per_col, s.max_change_cols, it, s.seed + 1, "col_id")
-            self.col_member = materialize(mb.slots_to_members(new_cols, "col_id"), "members")
-        self.row_member, self.iteration = row_next, it
+        return materialize(mb.slots_to_members(mb.update_membership(rr, slots, s.per_row, s.max_change_rows, it, s.seed)), "members")
+
+    def next_cols(self, it: int) -> DataFrame:
+        s = self.settings
+        if self.col is None:
+            return self.col_member
+        c = cb.floor_low(self.col, "score")
+        if s.fuzzy_cols > 1e-5:
+            c = materialize(cb.fuzz(c, self.col_member, s.fuzzy_cols, it, s.seed + 1, "col_id"), "combined")
+        cc = cb.density_scores(c, self.col_member, "col_id", rows=False, has_other=self.row_member)
+        cc = materialize(cb.size_compensation(cc, self.col_member, "col_id", self.n_cols, self.per_col, s.n_clusters, self.n_cols / 10), "density")
+        slots = mb.membership_slots(self.col_member, self.cols, self.per_col, "col_id")
+        return materialize(mb.slots_to_members(mb.update_membership(cc, slots, self.per_col, s.max_change_cols, it, s.seed + 1, "col_id"), "col_id"), "members")
+
+    def step(self) -> "BiclusterRun":
+        """One iteration. Rows and columns depend only on the scores, so both updates run side by side."""
+        s, it = self.settings, self.iteration + 1
+        self.refresh_scores(it)
+        with ThreadPoolExecutor(2) as pool:
+            rows = pool.submit(inheritable_thread_target(self.spark)(self.next_rows), it)
+            cols = pool.submit(inheritable_thread_target(self.spark)(self.next_cols), it)
+            self.row_member, self.col_member = rows.result(), cols.result()
+        self.iteration = it
         if s.post_adjust and it == s.n_iter:
             self.adjust()
         if it % s.stats_every == 0 or it == s.n_iter:
