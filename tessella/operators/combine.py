@@ -59,13 +59,13 @@ def combine_scores(
     edge = wide.agg(low(r).alias("low"), F.max(F.when(F.abs(r) < float("inf"), r)).alias("top")).first()
     r = _floored(r, edge["low"])
     r = F.coalesce(F.when(F.abs(r) < float("inf"), r), F.lit(edge["top"]))
-    wanted = {"r01": (r, 0.01)}
+    wanted = {"r01": (r, 0.01)} if mot is not None or net is not None else {}
     m = _floored(F.col("m"), first["m"]) if mot is not None else None
     if mot is not None:
         wanted |= {"m99": (m, 0.99), "m01": (m, 0.01)}
     if net is not None:
         wanted |= {"n99": (F.col("n"), 0.99), "n01": (F.col("n"), 0.01)}
-    q = scalar_quantiles(wide, wanted, n_rows) if len(wanted) > 1 else {}
+    q = scalar_quantiles(wide, wanted, n_rows) if wanted else {}
     total: Column = r * float(weights[0])
     if mot is not None:
         span = abs(q["m01"] - q["m99"])
@@ -131,7 +131,7 @@ def density_scores(scores: DataFrame, member: DataFrame, axis: str = "row_id", r
     """(axis, k, score): tail probability of each score under its cluster's member density, summing to 1.
 
     Member scores are reduced to at most GRID bins per cluster before the smoothing step, so the
-    per-cluster Python group has a fixed size whatever the cluster size. A cluster without members
+    record handed to Python has a bounded size whatever the cluster size. A cluster without members
     (or, for columns, with one single value) gets a constant.
     """
     rng = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
@@ -152,17 +152,21 @@ def density_scores(scores: DataFrame, member: DataFrame, axis: str = "row_id", r
         F.sum(1 - (F.col("_x") - F.col("_i"))).alias("_l"), F.sum(F.col("_x") - F.col("_i")).alias("_r"),
         *[F.first(c).alias(c) for c in ("_a", "_z", "_n", "_bw", "_from", "_to")])
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf.iloc[0]
-        mass = np.zeros(GRID + 1)
-        i = pdf["_i"].to_numpy()
-        np.add.at(mass, i, pdf["_l"].to_numpy())
-        np.add.at(mass, i + 1, pdf["_r"].to_numpy())
-        tail = _smooth_tail(mass[:GRID] / h["_n"], h["_from"], h["_to"], h["_a"], h["_z"], h["_bw"])
-        return pd.DataFrame({"k": [h["k"]], "_a": [h["_a"]], "_step": [(h["_z"] - h["_a"]) / (POINTS - 1)], "_tail": [tail.tolist()]})
+    packed = binned.groupBy("k").agg(F.collect_list(F.struct("_i", "_l", "_r")).alias("_bins"), *[F.first(c).alias(c) for c in ("_a", "_z", "_n", "_bw", "_from", "_to")])
+
+    def smooth(batches):
+        for pdf in batches:
+            tails = []
+            for bins, a, z, n, h, lo, up in zip(pdf["_bins"], pdf["_a"], pdf["_z"], pdf["_n"], pdf["_bw"], pdf["_from"], pdf["_to"]):
+                mass = np.zeros(GRID + 1)
+                i = np.array([x["_i"] for x in bins])
+                np.add.at(mass, i, np.array([x["_l"] for x in bins]))
+                np.add.at(mass, i + 1, np.array([x["_r"] for x in bins]))
+                tails.append(_smooth_tail(mass[:GRID] / n, lo, up, a, z, h).tolist())
+            yield pd.DataFrame({"k": pdf["k"], "_a": pdf["_a"], "_step": (pdf["_z"] - pdf["_a"]) / (POINTS - 1), "_tail": tails})
 
     schema = T.StructType([T.StructField("k", scores.schema["k"].dataType), T.StructField("_a", T.DoubleType()), T.StructField("_step", T.DoubleType()), T.StructField("_tail", T.ArrayType(T.DoubleType()))])
-    tails = binned.groupBy("k").applyInPandas(smooth, schema)
+    tails = packed.mapInPandas(smooth, schema)
     at = (F.col("score") - F.col("_a")) / F.col("_step")
     i = F.least(F.floor(at).cast("int"), F.lit(POINTS - 2))
     left, right = F.get("_tail", i), F.get("_tail", i + 1)

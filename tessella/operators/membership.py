@@ -70,9 +70,14 @@ def update_membership(
     Rows compare their sorted best clusters with the slots; columns keep the best-first order. With
     ``max_changes`` < 1 an id may change with that probability, otherwise in that many passes.
     """
-    best = top_clusters(density, n_best, axis).groupBy(axis).agg(F.sort_array(F.collect_list(F.struct("rank", "k", "score"))).alias("_b"))
-    now = slots.select(axis, F.explode(F.array_distinct("slots")).alias("k")).join(density, [axis, "k"]).groupBy(axis).agg(F.collect_list(F.struct("k", "score")).alias("_g"))
-    rec = slots.join(best, axis, "left").join(now, axis, "left").withColumn("_u", uniform(axis, iteration, seed))
+    # one pass per id: its best clusters and the scores of its current ones (at most one record per cluster)
+    held = slots.select(axis, F.explode(F.array_distinct("slots")).alias("k"), F.lit(True).alias("_held"))
+    w = Window.partitionBy(axis).orderBy(F.col("score").desc(), "k")
+    seen = density.join(held, [axis, "k"], "left").withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= n_best) | F.col("_held"))
+    item = F.struct("rank", "k", "score")
+    both = seen.groupBy(axis).agg(
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= n_best, item))).alias("_b"), F.collect_list(F.when(F.col("_held"), F.struct("k", "score"))).alias("_g"))
+    rec = slots.join(both, axis, "left").withColumn("_u", uniform(axis, iteration, seed))
     if keep is not None:
         rec = rec.join(keep.groupBy(axis).agg(F.collect_set("k").alias("_k")), axis, "left")
     else:

@@ -220,11 +220,12 @@ def collapse_families(long: DataFrame, axis: str = "row_id") -> DataFrame:
 KERNEL_CELLS = 4_000_000  # centroid cells one Python worker may hold
 
 
-def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_member: DataFrame, col_member: DataFrame) -> DataFrame:
+def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_member: DataFrame, col_member: DataFrame, n_clusters: int = 0) -> DataFrame:
     """``row_scores`` from packed row vectors: no shuffle of the matrix.
 
     The centroids of all clusters go to every task only if they hold at most KERNEL_CELLS numbers;
-    a larger set takes the relational plan.
+    a larger set takes the relational plan. With ``n_clusters`` every row gets a record for each of
+    the clusters 1..n, NULL where nothing was measured.
     """
     import numpy as np
     import pandas as pd
@@ -233,12 +234,14 @@ def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_mem
     target = col_member.join(centroids(m, row_member), ["k", "col_id"]).join(axis, "col_id").select("k", "ci", "mu")
     rows = target.limit(KERNEL_CELLS + 1).collect()
     if len(rows) > KERNEL_CELLS:
-        return row_scores(m, row_member, col_member)
-    cells: dict[int, list[tuple[int, float]]] = {}
+        plain = row_scores(m, row_member, col_member)
+        every = m.sparkSession.range(1, n_clusters + 1).select(F.col("id").cast("int").alias("k"))
+        return complete(plain, vectors, every) if n_clusters else plain
+    cells: dict[int, list[tuple[int, float]]] = {k: [] for k in range(1, n_clusters + 1)}
     for r in rows:
         cells.setdefault(r["k"], []).append((r["ci"], r["mu"]))
     packed = m.sparkSession.sparkContext.broadcast(
-        [(k, np.array([c for c, _ in v]), np.array([x for _, x in v])) for k, v in sorted(cells.items())])
+        [(k, np.array([c for c, _ in v], dtype=int), np.array([x for _, x in v], dtype=float)) for k, v in sorted(cells.items())])
 
     def score(batches):
         plan = packed.value
@@ -248,6 +251,9 @@ def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_mem
             gaps = not np.isfinite(x).all()
             out = np.empty((len(x), len(plan)))
             for j, (_, ci, mu) in enumerate(plan):
+                if len(ci) == 0:
+                    out[:, j] = np.nan
+                    continue
                 d = x[:, ci] - mu
                 d *= d
                 if gaps:
@@ -258,7 +264,7 @@ def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_mem
                 else:
                     out[:, j] = d.mean(axis=1)
             res = pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), len(plan)), "k": np.tile(ks, len(x)), "score": np.log(out + 1e-99).ravel()})
-            yield res[np.isfinite(res["score"].to_numpy())]
+            yield res if n_clusters else res[np.isfinite(res["score"].to_numpy())]
 
     schema = T.StructType([vectors.schema["row_id"], T.StructField("k", row_member.schema["k"].dataType), T.StructField("score", T.DoubleType())])
-    return vectors.mapInPandas(score, schema)
+    return vectors.mapInPandas(score, schema).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))

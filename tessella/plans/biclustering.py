@@ -134,9 +134,9 @@ class BiclusterRun:
                 continue
             if self.settings.col_weights is not None:
                 raw = sc.row_scores(m, self.row_member, self.col_member, self.settings.col_weights(m, self.row_member, self.col_member))
+                full = sc.complete(raw, self.vectors[n], self.ks)
             else:
-                raw = sc.row_scores_packed(self.vectors[n], self.axes[n], m, self.row_member, self.col_member)
-            full = sc.complete(raw, self.vectors[n], self.ks)
+                full = sc.row_scores_packed(self.vectors[n], self.axes[n], m, self.row_member, self.col_member, self.settings.n_clusters)
             parts[n] = (sc.fill_with_member_quantile(materialize(full, "scores"), self.row_member), self.row_weights[n])
         return sc.weighted_sum(parts) if len(parts) > 1 else next(iter(parts.values()))[0]
 
