@@ -17,7 +17,7 @@ from tessella.operators import motifs as mo
 from tessella.plans import tables as t
 from tessella.plans.biclustering import BiclusterRun
 from tessella.plans.catalog import REGISTRY
-from tessella.session import build_session
+from tessella.session import build_session, materialize
 
 HEADLINE = [
     "residual", "filter_unchanged", "zscore_rows", "row_scores", "row_scores_packed", "col_scores", "all_scores_row",
@@ -46,6 +46,7 @@ def similarity_150(spark, sf: str) -> float:
     win = c.select("k", F.explode(F.array(F.struct(F.lit(1).alias("mot"), F.lit(1).alias("at")), F.struct(F.lit(2).alias("mot"), F.lit(101).alias("at")))).alias("w"), "seq")
     pos = win.select("k", "w.mot", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("pos"), "w.at", "seq").withColumn("b", F.expr("substring(seq, at + pos - 1, 1)"))
     pssm = pos.groupBy("k", "mot", "pos").agg(*[F.avg((F.col("b") == x).cast("double")).alias(x.lower()) for x in "ACGT"])
+    pssm = materialize(pssm, "pssm")
     t0 = time.time()
     mo.motif_similarity(pssm, 6, 0.1).write.format("noop").mode("overwrite").save()
     return time.time() - t0

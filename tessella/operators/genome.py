@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.order import carry_forward
+from tessella.session import materialize
 
 SEGMENT = 65536
 
@@ -106,6 +107,8 @@ def noncoding_upstream(features: DataFrame, same_strand: bool = False, reach: in
     holds most features.
     """
     keys = ["contig", "strand"] if same_strand else ["contig"]
+    # both directions and their range-partitioned sorts read the table several times
+    features = materialize(features.select("id", "contig", "strand", "start_pos", "end_pos"), "features")
 
     def asof(own: Column, other: Column, sign: int) -> DataFrame:
         # queries sort before events at an equal position: the comparison is strict

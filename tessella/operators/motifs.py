@@ -407,8 +407,8 @@ def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | N
     motifs and keeps the best hit per sequence and motif, which ``max_by`` then combines.
     """
     bg = np.array([(background or {}).get(x, 0.25) for x in LETTERS])
-    widest = pssm.agg(F.max("pos").alias("w")).first()["w"]
-    packed = pack_motifs(pssm)
+    seqs, packed = materialize(seqs.select("id", "seq"), "seqs"), materialize(pack_motifs(pssm), "motifs")
+    widest = packed.agg(F.max(F.size("m")).alias("w")).first()["w"] or 1
     n_pieces_blocks = max(1, -(-pieces(seqs.select("id", "seq"), widest - 1).count() // block))
     n_motif_blocks = max(1, -(-packed.count() // motif_block))
     a = pieces(seqs.select("id", "seq"), widest - 1).withColumn("sb", F.pmod(F.xxhash64("id", "at"), F.lit(n_pieces_blocks)).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(n_motif_blocks - 1))))

@@ -30,7 +30,7 @@ class MotifSource:
     """
 
     def __init__(self, seqs: DataFrame, width: int = 6, n_motifs: int = 2, sizes: tuple[int, int] = (3, 70)):
-        self.seqs, self.width, self.n_motifs, self.sizes = seqs, width, n_motifs, sizes
+        self.seqs, self.width, self.n_motifs, self.sizes = materialize(seqs.select("id", "seq"), "seqs"), width, n_motifs, sizes
         self.members: DataFrame | None = None
         self.motifs: DataFrame | None = None
         self.pssm: DataFrame | None = None

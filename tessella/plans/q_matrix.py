@@ -99,10 +99,10 @@ def submatrix(spark, sf):
 
 
 @query("sort_columns_by_time", sql("sparse", """
-select col_id, cast(col_id % 7 as double) as "time", row_number() over (order by col_id % 7, col_id) as ord from (select distinct col_id from sparse) where col_id % 4 <> 0"""))
+select col_id, cast(col_id % 7 as double) as "time", row_number() over (order by col_id % 7, col_id) as ord from (select distinct col_id from sparse)"""))
 def sort_columns_by_time(spark, sf):
     m = t.sparse(spark, sf)
-    meta = m.select("col_id").distinct().where("col_id % 4 <> 0").withColumn("time", (F.col("col_id") % 7).cast("double"))
+    meta = m.select("col_id").distinct().withColumn("time", (F.col("col_id") % 7).cast("double"))
     return mx.sort_columns_by_time(m, meta)
 
 

@@ -77,11 +77,11 @@ def noncoding_upstream_same_strand(spark, sf):
     return ge.noncoding_upstream(t.features(spark, sf), same_strand=True)
 
 
-@query("nearest_earlier_event", """with q as (select event_id, user_id, epoch_us(ts) as us from events where event_type = 'purchase' or event_id % 2 = 0), r as (select user_id, epoch_us(ts) as us, event_id as prev from events where event_type = 'error')
+@query("nearest_earlier_event", """with q as (select event_id, user_id, epoch_us(ts) as us from events where event_type <> 'error'), r as (select user_id, epoch_us(ts) as us, event_id as prev from events where event_type = 'error')
 select q.event_id, q.user_id, q.us, arg_max(prev, r.us) as nearest from q left join r on q.user_id = r.user_id and r.us < q.us group by 1, 2, 3""")
 def nearest_earlier_event(spark, sf):
     e = t.read(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type")
-    left = e.where("event_type = 'purchase' or event_id % 2 = 0").select("event_id", "user_id", "us")
+    left = e.where("event_type <> 'error'").select("event_id", "user_id", "us")
     right = e.where("event_type = 'error'").select("user_id", F.col("us").alias("rus"), F.col("event_id").alias("prev"))
     return ge.nearest_earlier(left, right, "user_id", "us", "rus", "prev")
 
@@ -175,11 +175,11 @@ def mask_start(spark, sf):
     return ge.mask_start(seqs(spark, sf), 25).select("id", F.md5("seq").alias("seq"))
 
 
-@query("mask_similar", sql("contigs", """, al as (select contig as id, (contig * 7) % 90 + 1 as a, (contig * 7) % 90 + 41 as b from contigs where length(seq) > 0 and contig % 3 = 0)
+@query("mask_similar", sql("contigs", """, al as (select contig as id, (contig * 7) % 90 + 1 as a, (contig * 7) % 90 + 41 as b from contigs where length(seq) > 0)
 select contig as id, md5(case when a is null or length(seq) < a then seq else substr(seq, 1, (a - 1)::int) || substr(repeat('N', (b - a + 1)::int), 1, (length(seq) - a + 1)::int) || substr(seq, (b + 1)::int) end) as seq from contigs left join al on al.id = contig"""))
 def mask_similar(spark, sf):
     s = seqs(spark, sf)
-    al = s.where("length(seq) > 0 and id % 3 = 0").select((F.col("id") - 1).alias("query"), F.col("id").alias("subject"), F.lit(41).alias("align_len"), F.lit(90.0).alias("identity"),
+    al = s.where("length(seq) > 0").select((F.col("id") - 1).alias("query"), F.col("id").alias("subject"), F.lit(41).alias("align_len"), F.lit(90.0).alias("identity"),
                                                           ((F.col("id") * 7) % 90 + 41).alias("s_start"), ((F.col("id") * 7) % 90 + 1).alias("s_end"))
     return ge.mask_similar(s, al).select("id", F.md5("seq").alias("seq"))
 

@@ -107,10 +107,10 @@ def rows_not_in_network(spark, sf):
     return nw.rows_not_in_network(t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id")), t.edges(spark, sf))
 
 
-@query("connected_components", """with recursive p as (select distinct l_partkey as src, l_partkey // 3 as dst from lineitem where l_partkey % 5 <> 0), n as (select src as node from p union select dst from p),
+@query("connected_components", """with recursive p as (select distinct l_partkey as src, l_partkey - least(l_partkey % 10, 1) as dst from lineitem), n as (select src as node from p union select dst from p),
 up(node, top) as (select node, node from n union all select up.node, p.dst from up join p on p.src = up.top where p.src <> p.dst) select node, min(top) as label from up where node in (select src from p where src <> dst union select dst from p where src <> dst) group by 1""")
 def connected_components(spark, sf):
-    li = t.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.floor(F.col("l_partkey") / 3).alias("dst")).where("src % 5 <> 0").distinct()
+    li = t.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") - F.least(F.col("l_partkey") % 10, F.lit(1))).alias("dst")).distinct()
     return nw.connected_components(li)
 
 

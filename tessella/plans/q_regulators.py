@@ -76,11 +76,11 @@ def positive_negative_split(spark, sf):
 
 
 def groups(spark, sf):
-    s = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("group_id"), F.col("l_partkey").alias("row_id")).where("l_partkey % 7 = l_suppkey % 7")
+    s = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("group_id"), F.col("l_partkey").alias("row_id"), "l_quantity").where("l_quantity > 48").drop("l_quantity")
     return s.join(t.read(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("row_id")), "row_id", "left_semi").distinct()
 
 
-GROUPS = ", grps as (select distinct (l_suppkey % 20)::varchar as group_id, l_partkey as row_id from lineitem where l_partkey % 7 = l_suppkey % 7 and l_partkey in (select p_partkey from part where p_size > 45))"
+GROUPS = ", grps as (select distinct (l_suppkey % 20)::varchar as group_id, l_partkey as row_id from lineitem where l_quantity > 48 and l_partkey in (select p_partkey from part where p_size > 45))"
 
 
 @query("possibly_regulates", sql("sparse sparse_rows", PROF + PRED + FIT + GROUPS + """, sh as (select k, group_id, count(*) / any_value(n)::double share from grps join sparse_rows using (row_id) join (select group_id, count(*) n from grps group by 1) using (group_id) group by 1, 2)
@@ -122,7 +122,7 @@ def fill_time_series(spark, sf):
 
 @query("fill_time_series_gap2")
 def fill_time_series_gap2(spark, sf):
-    return rg.fill_time_series(t.sparse_cols(spark, sf).where("col_id % 2 = 0"), meta(spark, sf), fill=3.0, gap=2)
+    return rg.fill_time_series(t.sparse_cols(spark, sf), meta(spark, sf), fill=3.0, gap=2)
 
 
 DT = ", g as (select col_id, coalesce(prev_col, col_id) prev_col, greatest(delta_t, 1) dt from meta where (is_ts and first_last in ('m', 'l')) or (not is_ts and first_last = 'e'))"
@@ -160,16 +160,16 @@ def toy_coefs(spark, sf):
     """Coefficients per cluster, predictor and boot from the lines' discounts."""
     li = t.read(spark, sf, "lineitem")
     g = li.groupBy((F.col("l_partkey") % 25).cast("int").alias("k"), (F.col("l_suppkey") % 20).cast("string").alias("predictor"), F.col("l_linenumber").alias("boot"))
-    return g.agg((F.max("l_discount") - F.max("l_tax")).alias("coef")).where("coef <> 0 and boot <= 6")
+    return g.agg((F.max("l_discount") - F.max("l_tax")).alias("coef")).where("coef <> 0")
 
 
-COEF = ", cf as (select (l_partkey % 25)::int k, (l_suppkey % 20)::varchar predictor, l_linenumber boot, max(l_discount) - max(l_tax) coef from lineitem group by 1, 2, 3 having max(l_discount) - max(l_tax) <> 0 and l_linenumber <= 6)"
+COEF = ", cf as (select (l_partkey % 25)::int k, (l_suppkey % 20)::varchar predictor, l_linenumber boot, max(l_discount) - max(l_tax) coef from lineitem group by 1, 2, 3 having max(l_discount) - max(l_tax) <> 0)"
 
 
-@query("bootstrap_quantiles", sql("", "with " + COEF[2:] + """, z as (select k, predictor, boot, coef from cf), fl as (select p.k, p.predictor, b.b boot from (select distinct k, predictor from cf) p, (values (1), (2), (3), (4), (5), (6)) b(b)), q as (select fl.k, fl.predictor, coalesce(abs(coef), 0) v from fl left join cf using (k, predictor, boot)), m as (select k, predictor, sign(avg(coef)) s, count(*) / 6.0::double freq from cf group by 1, 2)
+@query("bootstrap_quantiles", sql("", "with " + COEF[2:] + """, z as (select k, predictor, boot, coef from cf), fl as (select p.k, p.predictor, b.b boot from (select distinct k, predictor from cf) p, (values (1), (2), (3), (4), (5), (6), (7)) b(b)), q as (select fl.k, fl.predictor, coalesce(abs(coef), 0) v from fl left join cf using (k, predictor, boot)), m as (select k, predictor, sign(avg(coef)) s, count(*) / 7.0::double freq from cf group by 1, 2)
 select q.k, q.predictor, round(any_value(freq), 6) as freq, round(quantile_cont(v, 0.01) * any_value(s), 6) as q01, round(quantile_cont(v, 0.5) * any_value(s), 6) as q50, round(quantile_cont(v, 0.95) * any_value(s), 6) as q95 from q join m using (k, predictor) group by 1, 2"""))
 def bootstrap_quantiles(spark, sf):
-    return rg.bootstrap_quantiles(toy_coefs(spark, sf), 6).select("k", "predictor", *r6("freq", "q01", "q50", "q95"))
+    return rg.bootstrap_quantiles(toy_coefs(spark, sf), 7).select("k", "predictor", *r6("freq", "q01", "q50", "q95"))
 
 
 def combo_coefs(spark, sf):
@@ -202,10 +202,12 @@ def prediction_rmsd(spark, sf):
     return rg.prediction_rmsd(p, profile(spark, sf), t.sparse_cols(spark, sf), weights(spark, sf)).select("k", *r6("rmsd_in", "rmsd_out"))
 
 
-@query("repair_series_bounds", sql("sparse", META + """, k as (select * from meta where col_id % 5 <> 0), e as (select series, arg_min(col_id, ord) f, arg_max(col_id, ord) l from k where series is not null group by 1)
+@query("repair_series_bounds", sql("sparse", META + """, n as (select col_id, count(*) c from sparse group by 1), k as (select * from meta where col_id in (select col_id from n where c >= (select avg(c) from n))), e as (select series, arg_min(col_id, ord) f, arg_max(col_id, ord) l from k where series is not null group by 1)
 select col_id, k.series, case when e.series is null then 'e' when f = col_id then 'f' when l = col_id then 'l' else 'm' end as first_last from k left join e on e.series = k.series"""))
 def repair_series_bounds(spark, sf):
-    return rg.repair_series_bounds(meta(spark, sf).where("col_id % 5 <> 0")).select("col_id", "series", "first_last")
+    n = t.sparse(spark, sf).groupBy("col_id").agg(F.count(F.lit(1)).alias("c"))
+    full = n.where(F.col("c") >= n.agg(F.avg("c").alias("a")).scalar())
+    return rg.repair_series_bounds(meta(spark, sf).join(full, "col_id", "left_semi")).select("col_id", "series", "first_last")
 
 
 @query("regulator_edges", sql("", "with " + COEF[2:] + " select predictor as src, case when coef > 0 then 'activates' else 'represses' end as kind, printf('bicluster_%04d', k) as dst, round(coef, 6) as weight from cf where boot = 1 union all select predictor || '+7', case when coef > 0 then 'activates' else 'represses' end, printf('bicluster_%04d', k), round(coef / 2, 6) from cf where boot = 1 and predictor < '15'"))

@@ -333,10 +333,10 @@ def count_members_in(spark, sf):
     return en.count_members_in(t.sparse_rows(spark, sf), listed)
 
 
-@query("count_members_in_cols", sql("sparse_cols", "select k, count(*) as n_in, count(*) filter (where col_id % 3 = 0) as n_hit from sparse_cols group by 1"))
+@query("count_members_in_cols", sql("sparse_cols", "select k, count(*) as n_in, count(*) filter (where col_id > (select avg(col_id) from sparse_cols)) as n_hit from sparse_cols group by 1"))
 def count_members_in_cols(spark, sf):
     c = t.sparse_cols(spark, sf)
-    return en.count_members_in(c, c.where("col_id % 3 = 0"), "col_id", 1)
+    return en.count_members_in(c, c.where(F.col("col_id") > c.agg(F.avg("col_id").alias("a")).scalar()), "col_id", 1)
 
 
 HYPER = """exp(lgamma({m}+1)-lgamma(x+1)-lgamma({m}-x+1) + lgamma({n}+1)-lgamma({k}-x+1)-lgamma({n}-({k}-x)+1) - (lgamma({m}+{n}+1)-lgamma({k}+1)-lgamma({m}+{n}-{k}+1)))"""
@@ -441,10 +441,12 @@ def cluster_loglik(spark, sf):
     return cl.cluster_loglik(s, t.dense_rows(spark, sf)).select("k", F.round("loglik", 5).alias("loglik"))
 
 
-@query("members", sql("sparse_rows sparse_cols", "select k, col_id from sparse_cols where k % 6 <> 0 union all select k, col_id from (select distinct k from sparse_rows where k not in (select k from sparse_cols where k % 6 <> 0)), (select distinct col_id from sparse_cols)"))
+@query("members", sql("sparse_rows sparse_cols", ", n as (select k, count(*) c from sparse_rows group by 1), big as (select k from n where c >= (select avg(c) from n)) select k, col_id from sparse_cols where k in (select k from big) union all select k, col_id from (select distinct k from sparse_rows where k not in (select c.k from sparse_cols c join big using (k))), (select distinct col_id from sparse_cols)"))
 def members(spark, sf):
     c = t.sparse_cols(spark, sf)
-    return cl.members(c.where("k % 6 <> 0"), c, t.sparse_rows(spark, sf), "col_id")
+    n = t.sparse_rows(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    big = n.where(F.col("c") >= n.agg(F.avg("c").alias("a")).scalar())
+    return cl.members(c.join(big, "k", "left_semi"), c, t.sparse_rows(spark, sf), "col_id")
 
 
 @query("membership_histogram", "with m as (select distinct l_suppkey % 25 as k, l_partkey as row_id from lineitem where l_quantity > 25) select n as n_clusters, count(*) as n_rows from (select p_partkey, count(k) n from part left join m on row_id = p_partkey group by 1) group by 1")
