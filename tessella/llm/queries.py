@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tessella.llm.decontam import OP8_SQL, op8_benchmark_leaks
 from tessella.llm.langid import op6_language_id
+from tessella.llm.pii import op7_personal_data
+from tessella.llm.piece_codec import op4_sentencepiece
 from tessella.llm.simhash import op10_simhash_groups
 
 QUERIES = {
+    "op4_sentencepiece": (op4_sentencepiece, None),
     "op6_language_id": (op6_language_id, None),
+    "op7_personal_data": (op7_personal_data, None),
+    "op8_benchmark_leaks": (op8_benchmark_leaks, OP8_SQL),
     "op10_simhash_groups": (op10_simhash_groups, None),
 }
