@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from tessella.llm.decontam import OP8_SQL, op8_benchmark_leaks
+from tessella.llm.host_rules import OP3_SQL, op3_host_rules
 from tessella.llm.langid import op6_language_id
 from tessella.llm.pii import op7_personal_data
 from tessella.llm.piece_codec import op4_sentencepiece
+from tessella.llm.quality import op1_quality
+from tessella.llm.sharding import op9_shards
 from tessella.llm.simhash import op10_simhash_groups
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
+    "op3_host_rules": (op3_host_rules, OP3_SQL),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op6_language_id": (op6_language_id, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_benchmark_leaks": (op8_benchmark_leaks, OP8_SQL),
+    "op9_shards": (op9_shards, None),
     "op10_simhash_groups": (op10_simhash_groups, None),
 }
