@@ -10,9 +10,11 @@ from tessella.llm.piece_codec import op4_sentencepiece
 from tessella.llm.quality import op1_quality
 from tessella.llm.sharding import op9_shards
 from tessella.llm.simhash import op10_simhash_groups
+from tessella.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_quality": (op1_quality, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_host_rules": (op3_host_rules, OP3_SQL),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op6_language_id": (op6_language_id, None),
