@@ -8,6 +8,7 @@ from tessella.llm.langid import op6_language_id
 from tessella.llm.pii import op7_personal_data
 from tessella.llm.piece_codec import op4_sentencepiece
 from tessella.llm.quality import op1_quality
+from tessella.llm.quotes import op5_quote_threads
 from tessella.llm.sharding import op9_shards
 from tessella.llm.simhash import op10_simhash_groups
 from tessella.llm.suffix_dedup import op2_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_host_rules": (op3_host_rules, OP3_SQL),
     "op4_sentencepiece": (op4_sentencepiece, None),
+    "op5_quote_threads": (op5_quote_threads, None),
     "op6_language_id": (op6_language_id, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_benchmark_leaks": (op8_benchmark_leaks, OP8_SQL),
