@@ -39,7 +39,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key <<= bits
-        key[: n - k] |= seq[k:]
+        key[: max(0, n - k)] |= seq[k:]
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
     head = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))

@@ -206,18 +206,24 @@ class PieceCodec:
         for each byte that belongs to none)."""
         raw, ends = join_rows(self.decoded, ids)
         ends = np.concatenate(([0], ends))
+        breaks = np.flatnonzero(self.control[ids])
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            cuts = breaks[np.searchsorted(breaks, a) : np.searchsorted(breaks, b)].tolist()
             lead = a
             while lead < b and self.control[ids[lead]]:
                 lead += 1
-            data = raw[ends[a] + (1 if lead < b and self.marked[ids[lead]] else 0) : ends[b]].tobytes()
-            try:
-                out.append(data.decode())
-            except UnicodeDecodeError:
-                out.append("".join(self._spell(data)))
+            start = ends[a] + (1 if lead < b and self.marked[ids[lead]] else 0)
+            edges = [start, *[e for c in cuts if (e := ends[c]) > start], ends[b]]  # bytes don't join across control pieces
+            out.append("".join(self._text(raw[x:y].tobytes()) for x, y in zip(edges, edges[1:])))
         return out
 
+    def _text(self, data: bytes) -> str:
+        try:
+            return data.decode()
+        except UnicodeDecodeError:
+            return "".join(self._spell(data))
+
     @staticmethod
     def _spell(data: bytes):
         at = 0
