@@ -111,49 +111,51 @@ def quantiles(
     return picked.groupBy(*keys).agg(*aggs)
 
 
-SMALL = 2_000_000  # rows up to which the values inside all brackets fit a driver list
+LISTED = 100_000  # rows of a bracket that are tallied on the driver
 
 
-def scalar_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], n_rows: int | None = None, eps: float = 0.001) -> dict[str, float]:
-    """Exact quantiles of several expressions over the whole frame as driver scalars.
+def scalar_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], listed: int = LISTED, eps: float = 0.001) -> dict[str, float | None]:
+    """Exact type-7 quantiles of several expressions over the whole frame as driver scalars; NULL and NaN are skipped.
 
-    Two jobs: a sketch brackets every wanted order statistic, then one tally counts what lies below each
-    bracket and lists the distinct values inside it, at most about 2 * eps of the rows. A frame of
-    more than SMALL rows takes the plan of ``quantiles``, whose last step also stays distributed.
+    A mergeable sketch brackets every wanted order statistic, all in one pass, and the values inside a bracket are
+    bracketed again until at most ``listed`` rows (or one value) are left, which the last pass tallies. An expression without
+    a value gives None. The same steps run at every size.
     """
-    n = df.count() if n_rows is None else n_rows
-    out: dict[str, float] = {}
-    if n > SMALL:
-        for name, (c, p) in wanted.items():
-            out[name] = quantiles(df.select(c.alias("v")), [], "v", {name: p}).first()[name]
-        return out
+    value = {x: F.when(c.isNotNull() & ~F.isnan(c.cast("double")), c.cast("double")) for x, (c, _) in wanted.items()}
     names = list(wanted)
-    aggs = []
-    for i, x in enumerate(names):
-        c, p = wanted[x]
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"z{i}"),
-                 F.percentile_approx(c, [max(0.0, p - eps), min(1.0, p + eps)], int(10 / eps)).alias(f"c{i}")]
-    st = df.agg(*aggs).first()
-    items, target = [], {}
-    for i, x in enumerate(names):
-        c, p = wanted[x]
-        if not st[f"n{i}"]:
-            out[x] = None
-            continue
-        few = st[f"n{i}"] < 3 / eps
-        lo = st[f"a{i}"] if few or p <= eps else st[f"c{i}"][0]
-        hi = st[f"z{i}"] if few or p >= 1 - eps else st[f"c{i}"][1]
-        target[x] = p * (st[f"n{i}"] - 1)
-        kept = F.when(c >= F.lit(lo), c.cast("double"))
-        items.append(F.when(c <= F.lit(hi), F.struct(F.lit(x).alias("q"), kept.alias("v"))))
-    if not items:
+    st = df.agg(*[f(value[x]).alias(f"{s}{i}") for i, x in enumerate(names) for s, f in (("n", F.count), ("a", F.min), ("z", F.max))]).first()
+    out: dict[str, float | None] = {x: None for x in names}
+    # per name: lowest and highest value of the bracket, values below it, values in it, wanted position
+    state = {x: (st[f"a{i}"], st[f"z{i}"], 0, st[f"n{i}"], wanted[x][1] * (st[f"n{i}"] - 1)) for i, x in enumerate(names) if st[f"n{i}"]}
+    while todo := [x for x, (lo, hi, _, n, _) in state.items() if n > listed and lo < hi]:
+        aggs = []
+        for i, x in enumerate(todo):
+            lo, hi, below, n, h = state[x]
+            inside = F.when((value[x] >= lo) & (value[x] <= hi), value[x])
+            share = (h - below) / max(1, n - 1)
+            aggs.append(F.percentile_approx(inside, [max(0.0, share - eps), min(1.0, share + eps)], int(10 / eps)).alias(f"c{i}"))
+        sketch = df.agg(*aggs).first()
+        aggs = []
+        for i, x in enumerate(todo):
+            lo, hi = sketch[f"c{i}"]
+            aggs += [F.count_if(value[x] < lo).alias(f"b{i}"), F.count_if((value[x] >= lo) & (value[x] <= hi)).alias(f"n{i}")]
+        counts = df.agg(*aggs).first()
+        for i, x in enumerate(todo):
+            (lo, hi), (_, _, _, n, h) = sketch[f"c{i}"], state[x]
+            below, now = counts[f"b{i}"], counts[f"n{i}"]
+            if not below <= int(h) or not -int(-h // 1) < below + now or now >= n:
+                listed = max(listed, n)  # ties fill the bracket: few values, so the tally is short
+            else:
+                state[x] = (lo, hi, below, now, h)
+    if not state:
         return out
+    items = [F.when((value[x] >= lo) & (value[x] <= hi), F.struct(F.lit(x).alias("q"), value[x].alias("v"))) for x, (lo, hi, *_) in state.items()]
     flat = df.select(F.explode(F.array(*items)).alias("e")).where("e is not null")
-    tally: dict[str, list[tuple[float, int]]] = {x: [] for x in target}
+    tally: dict[str, list[tuple[float, int]]] = {x: [] for x in state}
     for r in flat.groupBy("e.q", "e.v").agg(F.count(F.lit(1)).alias("c")).collect():
-        tally[r["q"]].append((float("-inf") if r["v"] is None else r["v"], r["c"]))
-    for x, h in target.items():
-        seen, low, high = 0, None, None
+        tally[r["q"]].append((r["v"], r["c"]))
+    for x, (_, _, seen, _, h) in state.items():
+        low, high = None, None
         for v, c in sorted(tally[x]):
             if low is None and seen + c > int(h):
                 low = v

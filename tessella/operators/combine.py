@@ -44,15 +44,14 @@ def combine_scores(
         if df is not None:
             wide = wide.join(df.select("row_id", "k", F.col("score").alias(tag)), ["row_id", "k"], "left").withColumn(tag, F.coalesce(tag, F.lit(0.0)))
     wide = materialize(wide, "families")
-    n_rows = wide.count()
     low = lambda c: F.min(F.when(c >= FLOOR, c))
     first = wide.agg(low(F.col("r")).alias("r"), *([low(F.col("m")).alias("m")] if mot is not None else []), F.count("_in").alias("n_in")).first()
     r = _floored(F.col("r"), first["r"])
     mine, n_in = wide.where("_in"), first["n_in"]
     if n_in:
-        med = scalar_quantiles(mine, {"m": (r, 0.5)}, n_in)["m"]
-        dev = scalar_quantiles(mine, {"d": (F.abs(r - med), 0.5)}, n_in)["d"] * 1.4826
-        if not dev:
+        med = scalar_quantiles(mine, {"m": (r, 0.5)})["m"]
+        dev = med if med is None else scalar_quantiles(mine, {"d": (F.abs(r - med), 0.5)})["d"] * 1.4826
+        if med is not None and not dev:
             dev = mine.agg(F.stddev_samp(r).alias("s")).first()["s"]
         if dev:
             r = (r - med) / dev
@@ -65,7 +64,7 @@ def combine_scores(
         wanted |= {"m99": (m, 0.99), "m01": (m, 0.01)}
     if net is not None:
         wanted |= {"n99": (F.col("n"), 0.99), "n01": (F.col("n"), 0.01)}
-    q = scalar_quantiles(wide, wanted, n_rows) if wanted else {}
+    q = scalar_quantiles(wide, wanted) if wanted else {}
     total: Column = r * float(weights[0])
     if mot is not None:
         span = abs(q["m01"] - q["m99"])

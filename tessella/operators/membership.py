@@ -37,7 +37,10 @@ def top_clusters(density: DataFrame, n: int, axis: str = "row_id") -> DataFrame:
 
 
 def choose_slot(slots: list[int], best: list[int], gain: Mapping[int, float], max_changes: float, keep: set[int], unique: bool) -> list[int]:
-    """New slots of one id. ``best`` and current slots are paired by position when gains are compared."""
+    """New slots of one id. ``best`` and current slots are paired by position when gains are compared.
+
+    ``unique`` is the rule of rows: a slot whose cluster is among the best is no loss, and no cluster is taken twice.
+    """
     now = list(slots)
     passes = 1 if max_changes < 1 else int(max_changes)
     for _ in range(passes):
@@ -50,7 +53,8 @@ def choose_slot(slots: list[int], best: list[int], gain: Mapping[int, float], ma
             at = next(i for i, k in enumerate(now) if counts[k] > 1)
         else:
             delta = [gain.get(b, np.nan) - gain.get(c, np.nan) for b, c in zip(best, now)]
-            delta = [0.0 if c in best else d for d, c in zip(delta, now)]
+            if unique:
+                delta = [0.0 if c in best else d for d, c in zip(delta, now)]
             if all(not d > 0 for d in delta):
                 continue
             at = int(np.nanargmax(delta))

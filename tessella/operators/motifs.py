@@ -359,7 +359,7 @@ def combined_pssm(alignments: DataFrame, pssm: DataFrame) -> DataFrame:
     return total.join(top, "grp").select("grp", "pos", *[((F.col(x) + 1e-9) / (F.col("_m") + 1e-9)).alias(x) for x in "acgt"])
 
 
-def cluster_motifs(pairs: DataFrame, cut: float = 0.5, min_size: int = 3, max_rounds: int = 200) -> DataFrame:
+def cluster_motifs(pairs: DataFrame, cut: float = 0.5, min_size: int = 3) -> DataFrame:
     """(node, grp): average-linkage groups at height ``cut``, of at least ``min_size`` motifs.
 
     ``pairs`` is (a, b, p), one record per unordered pair; an absent pair has distance 1. Each round
@@ -369,7 +369,7 @@ def cluster_motifs(pairs: DataFrame, cut: float = 0.5, min_size: int = 3, max_ro
     dist_ = materialize(pairs.where(F.col("a") != F.col("b")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("p").alias("s"), F.lit(1).cast("long").alias("n")), "linkage")
     nodes = dist_.select(F.col("a").alias("node")).unionByName(dist_.select(F.col("b").alias("node"))).distinct()
     labels = materialize(nodes.select("node", F.col("node").alias("grp")), "labels")
-    for _ in range(max_rounds):
+    while True:  # every round merges one pair at least
         size = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("c"))
         d = dist_.join(size.select(F.col("grp").alias("a"), F.col("c").alias("ca")), "a").join(size.select(F.col("grp").alias("b"), F.col("c").alias("cb")), "b")
         mean = (F.col("s") + F.col("ca") * F.col("cb") - F.col("n")) / (F.col("ca") * F.col("cb"))

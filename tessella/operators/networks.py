@@ -123,7 +123,7 @@ def rows_not_in_network(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.select("row_id").distinct().select("row_id", F.explode(nets).alias("net")).join(nodes, ["net", "row_id"], "left_anti")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): smallest node id of each component.
 
     Every round takes the smallest neighbour label and then jumps to the label of the label, so the
@@ -133,15 +133,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
     both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_n"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "_n").alias("_l"))
         jump = step.select(F.col("node").alias("_l"), F.col("_l").alias("_j"))
         nxt = materialize(step.join(jump, "_l", "left").select("node", F.least("_l", F.coalesce("_j", "_l")).alias("label"), (F.least("_l", F.coalesce("_j", "_l")) != F.col("label")).alias("_moved")), "labels")
         labels = nxt.select("node", "label")
         if nxt.where("_moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def chain_pairs_to_operons(pairs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def predictor_table(m: DataFrame, predictors: DataFrame, prefix: str, n_groups:
         groups, mat = precluster_regulators(m.join(genetic, "row_id", "left_semi"), n_groups, starts)
         mat = mat.unionByName(m.join(env, "row_id", "left_semi").select("row_id", "col_id", "value"))
     else:
-        groups = known.select(F.col("row_id").alias("group_id"), "row_id")
+        groups = genetic.select(F.col("row_id").alias("group_id"), "row_id")
         mat = m.join(known, "row_id", "left_semi").select("row_id", "col_id", "value")
     return distinct_profiles(mat), groups
 
@@ -200,8 +200,11 @@ def _standardize(x: np.ndarray, y: np.ndarray, w: np.ndarray):
     return xs.T @ (w[:, None] * xs), xs.T @ (w * (y - my)), sd, mx, my
 
 
-def _descend(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float, factor: np.ndarray, sweeps: int = 400, tol: float = 1e-5) -> np.ndarray:
-    """Elastic-net coefficients (fits, lambdas, p); coordinate descent on all fits and lambdas at once."""
+def _descend(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float, factor: np.ndarray, tol: float = 1e-5, sweeps: int = 20_000) -> np.ndarray:
+    """Elastic-net coefficients (fits, lambdas, p); coordinate descent on all fits and lambdas at once.
+
+    Raises if ``sweeps`` passes don't settle it, which only a broken Gram matrix brings about.
+    """
     n_fit, p = xy.shape
     b = np.zeros((n_fit, len(lambdas), p))
     diag = np.einsum("fjj->fj", gram)
@@ -216,8 +219,8 @@ def _descend(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float
             change = max(change, float(np.abs(new - b[:, :, j]).max()))
             b[:, :, j] = new
         if change < tol * scale:
-            break
-    return b
+            return b
+    raise ArithmeticError("elastic net did not settle")
 
 
 def _path(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, factor: np.ndarray, n_lambda: int = 100, ratio: float = 1e-6):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.order import quantiles
 from tessella.operators import tiles
+from tessella.session import materialize
 
 
 def cluster_sizes(member: DataFrame, out: str = "nrows") -> DataFrame:
@@ -217,54 +218,56 @@ def collapse_families(long: DataFrame, axis: str = "row_id") -> DataFrame:
     return long.groupBy(axis, "k", F.split_part("source", F.lit("."), F.lit(1)).alias("family")).agg(F.sum("score").alias("score"))
 
 
-KERNEL_CELLS = 4_000_000  # centroid cells one Python worker may hold
+KERNEL_CELLS = 1_000_000  # centroid cells sent to the tasks in one pass
 
 
-def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_member: DataFrame, col_member: DataFrame, n_clusters: int = 0) -> DataFrame:
+def row_scores_packed(vectors: DataFrame, axis: DataFrame, m: DataFrame, row_member: DataFrame, col_member: DataFrame, n_clusters: int = 0, kernel_cells: int = KERNEL_CELLS) -> DataFrame:
     """``row_scores`` from packed row vectors: no shuffle of the matrix.
 
-    The centroids of all clusters go to every task only if they hold at most KERNEL_CELLS numbers;
-    a larger set takes the relational plan. With ``n_clusters`` every row gets a record for each of
-    the clusters 1..n, NULL where nothing was measured.
+    Clusters are dealt into blocks of about ``kernel_cells`` centroid cells (a cluster has one per column at most), and each
+    block is one pass over the vectors, so neither driver nor task holds more than a block. With ``n_clusters`` every row
+    gets a record for each of the clusters 1..n and for no other, NULL where nothing was measured.
     """
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
-    target = col_member.join(centroids(m, row_member), ["k", "col_id"]).join(axis, "col_id").select("k", "ci", "mu")
-    rows = target.limit(KERNEL_CELLS + 1).collect()
-    if len(rows) > KERNEL_CELLS:
-        plain = row_scores(m, row_member, col_member)
-        every = m.sparkSession.range(1, n_clusters + 1).select(F.col("id").cast("int").alias("k"))
-        return complete(plain, vectors, every) if n_clusters else plain
-    cells: dict[int, list[tuple[int, float]]] = {k: [] for k in range(1, n_clusters + 1)}
-    for r in rows:
-        cells.setdefault(r["k"], []).append((r["ci"], r["mu"]))
-    packed = m.sparkSession.sparkContext.broadcast(
-        [(k, np.array([c for c, _ in v], dtype=int), np.array([x for _, x in v], dtype=float)) for k, v in sorted(cells.items())])
-
-    def score(batches):
-        plan = packed.value
-        ks = np.array([k for k, _, _ in plan])
-        for pdf in batches:
-            x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            gaps = not np.isfinite(x).all()
-            out = np.empty((len(x), len(plan)))
-            for j, (_, ci, mu) in enumerate(plan):
-                if len(ci) == 0:
-                    out[:, j] = np.nan
-                    continue
-                d = x[:, ci] - mu
-                d *= d
-                if gaps:
+    spark = m.sparkSession
+    kind = row_member.schema["k"].dataType
+    cells = col_member.join(centroids(m, row_member), ["k", "col_id"]).join(axis, "col_id").select(F.col("k").cast(kind).alias("k"), "ci", "mu")
+    if n_clusters:
+        cells = spark.range(1, n_clusters + 1).select(F.col("id").cast(kind).alias("k")).join(cells, "k", "left")
+    cells = materialize(cells, "centroids")
+    blocks = max(1, -(-cells.count() // kernel_cells))
+    cell = F.when(F.col("ci").isNotNull(), F.struct("ci", "mu"))
+    packed = cells.groupBy("k").agg(F.sort_array(F.collect_list(cell)).alias("c")).select("k", F.col("c.ci").alias("ci"), F.col("c.mu").alias("mu"))
+
+    def scorer(plan):
+        shared = spark.sparkContext.broadcast(plan)
+
+        def score(batches):
+            plan = shared.value
+            ks = np.array([k for k, _, _ in plan])
+            for pdf in batches:
+                x = np.stack(pdf["vec"].to_numpy()).astype(float)
+                out = np.empty((len(x), len(plan)))
+                for j, (_, ci, mu) in enumerate(plan):
+                    d = x[:, ci] - mu
+                    d *= d
                     ok = np.isfinite(d)
-                    n = ok.sum(axis=1)
                     with np.errstate(all="ignore"):
-                        out[:, j] = np.where(ok, d, 0.0).sum(axis=1) / n
-                else:
-                    out[:, j] = d.mean(axis=1)
-            res = pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), len(plan)), "k": np.tile(ks, len(x)), "score": np.log(out + 1e-99).ravel()})
-            yield res if n_clusters else res[np.isfinite(res["score"].to_numpy())]
-
-    schema = T.StructType([vectors.schema["row_id"], T.StructField("k", row_member.schema["k"].dataType), T.StructField("score", T.DoubleType())])
-    return vectors.mapInPandas(score, schema).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+                        out[:, j] = np.where(ok, d, 0.0).sum(axis=1) / ok.sum(axis=1)
+                res = pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), len(plan)), "k": np.tile(ks, len(x)), "score": np.log(out + 1e-99).ravel()})
+                yield res if n_clusters else res[np.isfinite(res["score"].to_numpy())]
+
+        return score
+
+    schema = T.StructType([vectors.schema["row_id"], T.StructField("k", kind), T.StructField("score", T.DoubleType())])
+    out = None
+    for b in range(blocks):
+        rows = packed.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()
+        if rows or out is None:
+            plan = [(r["k"], np.array(r["ci"], dtype=int), np.array(r["mu"], dtype=float)) for r in sorted(rows, key=lambda r: r["k"])]
+            part = vectors.mapInPandas(scorer(plan), schema)
+            out = part if out is None else out.unionByName(part)
+    return out.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))

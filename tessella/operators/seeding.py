@@ -80,7 +80,7 @@ def seed_trimmed_kmeans(m: DataFrame, n_clusters: int, trim: float = 0.1, rounds
     return placed.select("k", "row_id")
 
 
-def settle_claims(cand: DataFrame, size: int, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def settle_claims(cand: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Serial claims without a serial loop: (accepted (k, row_id), rejected (k, row_id)).
 
     Every cluster wants its ``size`` best candidates; a row goes to the lowest cluster that wants it.
@@ -89,7 +89,7 @@ def settle_claims(cand: DataFrame, size: int, max_rounds: int = 100) -> tuple[Da
     """
     rejected = cand.select("k", "row_id").limit(0)
     w = Window.partitionBy("k").orderBy(F.desc("r"), "row_id")
-    for _ in range(max_rounds):
+    while True:  # every round rejects one candidate at least
         live = cand.join(rejected, ["k", "row_id"], "left_anti")
         wants = live.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size)
         win = wants.groupBy("row_id").agg(F.min("k").alias("_w"))
@@ -98,7 +98,6 @@ def settle_claims(cand: DataFrame, size: int, max_rounds: int = 100) -> tuple[Da
         if lost.isEmpty():
             return state.select("k", "row_id"), rejected
         rejected = materialize(rejected.unionByName(lost), "rejected")
-    return state.where("ok").select("k", "row_id"), rejected
 
 
 def _grow_claims(make, seeds: DataFrame, size: int, n_rows: int) -> DataFrame:

@@ -15,6 +15,7 @@ from tessella.operators import clusters as cl
 from tessella.operators import combine as cb
 from tessella.operators import membership as mb
 from tessella.operators import motifs as mo
+from tessella.operators import networks as nw
 from tessella.operators import scores as sc
 from tessella.operators import seeding as sd
 from tessella.operators import tiles
@@ -61,10 +62,11 @@ class BiclusterRun:
         groups: DataFrame | None = None, motifs: MotifSource | None = None,
     ):
         self.spark, self.settings, self.motifs, self.groups = spark, settings, motifs, groups
+        self.scaled_groups: DataFrame | None = None
         self.matrices = {n: materialize(m.select("row_id", "col_id", "value"), "matrix") for n, m in matrices.items()}
         self.row_weights = settings.normalized(settings.row_weights or {n: 1.0 for n in matrices})
         self.networks = {n: materialize(e.select("src", "dst", "weight"), "network") for n, e in (networks or {}).items()}
-        self.net_weights = settings.normalized(settings.net_weights or {n: 1.0 for n in self.networks})
+        self.net_weights = settings.normalized(settings.net_weights or {n: 1.0 for n in [*self.networks, *(["groups"] if groups is not None else [])]})
         self.axes = {n: materialize(tiles.column_axis(m), "axis") for n, m in self.matrices.items()}
         self.vectors = {n: materialize(spread(tiles.pack_rows(m, self.axes[n]), "row_id"), "vectors") for n, m in self.matrices.items()}
         rows = cols = None
@@ -151,12 +153,21 @@ class BiclusterRun:
     def net_scores(self) -> DataFrame | None:
         combine = self.settings.net_combine or F.sum
         parts = {n: (sc.network_scores(e, self.row_member, combine), self.net_weights.get(n, 0.0)) for n, e in self.networks.items()}
-        if self.groups is not None:
-            parts["groups"] = (sc.group_network_scores(self.groups, self.row_member, max(2, self.n_rows // 20)), self.net_weights.get("groups", 1.0))
+        if self.groups is not None and self.net_weights.get("groups"):
+            parts["groups"] = (sc.group_network_scores(self.group_edges(), self.row_member, max(2, self.n_rows // 20)), self.net_weights["groups"])
         if not any(w for _, w in parts.values()):
             return None
         return sc.weighted_sum(parts).join(self.rows, "row_id", "left_semi")
 
+    def group_edges(self) -> DataFrame:
+        """The grouping with its weights scaled so that the network it stands for weighs as much as the heaviest network."""
+        if self.scaled_groups is None:
+            own = nw.group_network_degrees(self.groups, max(2, self.n_rows // 20)).agg(F.sum("weight").alias("s")).first()["s"]
+            tops = [e.agg(F.sum("weight").alias("s")).first()["s"] or 0.0 for e in self.networks.values()]
+            factor = max(tops) / own if tops and own and max(tops) > 0 else 1.0
+            self.scaled_groups = materialize(self.groups.withColumn("weight", F.col("weight") * F.lit(float(factor))), "groups")
+        return self.scaled_groups
+
     def refresh_scores(self, it: int, force: bool = False) -> None:
         """Recompute the families scheduled for this iteration; the others keep their written table."""
         s = self.settings
@@ -219,21 +230,11 @@ class BiclusterRun:
         return self
 
     def adjust(self) -> None:
-        """Final pass: expand every cluster by rows that beat its members on quantile-normalised scores."""
+        """Final pass: adjust every cluster's rows on the combined scores, then score the new members."""
         self.refresh_scores(self.iteration, force=True)
-        sets = None
-        weights = dict(zip(("row", "mot", "net"), self.settings.scaling(self.iteration)))
-        families = {"row": self.row, "mot": self.mot, "net": self.net}
-        for name, df in families.items():
-            if df is None:
-                continue
-            full = self.row.select("row_id", "k").join(df, ["row_id", "k"], "left").select(F.lit(name).alias("set"), "row_id", "k", F.coalesce("score", F.lit(0.0)).alias("score"))
-            sets = full if sets is None else sets.unionByName(full)
-        live = [n for n, d in families.items() if d is not None]
-        flat = cb.quantile_normalize(sets, {n: weights[n] for n in live}) if len(live) > 1 else sets
-        w = F.coalesce(*[F.when(F.col("set") == n, F.lit(float(weights[n]))) for n in live])
-        total = materialize(flat.groupBy("row_id", "k").agg(F.sum(F.col("score") * w).alias("score")), "adjust")
+        total = materialize(cb.combine_scores(self.row, self.row_member, self.mot, self.net, self.settings.scaling(max(1, self.iteration))), "adjust")
         self.row_member = materialize(mb.adjust_all(total, self.row_member, expand_only=False, max_rows=self.settings.rows_allowed[1]), "members")
+        self.refresh_scores(self.iteration, force=True)
 
     def table(self) -> DataFrame:
         return cl.cluster_table(self.overlay(), self.row_member, self.col_member, self.hits, self.motifs.motifs if self.motifs else None)
@@ -260,16 +261,30 @@ class BiclusterRun:
         df = self.row_member if axis == "row_id" else self.col_member
         return df.where(F.col("k") == k)
 
+    STATE = {"row_member": "row_member", "col_member": "col_member", "row_score": "row", "col_score": "col", "mot_score": "mot", "net_score": "net", "hits": "hits"}
+    MOTIFS = {"motif": "motifs", "motif_pssm": "pssm", "motif_hits": "hits", "motif_members": "members"}
+
     def save(self, path: str) -> str:
-        tables = {"row_member": self.row_member, "col_member": self.col_member, "row_score": self.row}
-        for name, df in (("col_score", self.col), ("mot_score", self.mot), ("net_score", self.net), ("hits", self.hits)):
-            if df is not None:
-                tables[name] = df
+        """Everything the next iteration reads: members, all score families, motif state, and the statistics so far."""
+        tables = {name: df for name, field in self.STATE.items() if (df := getattr(self, field)) is not None}
+        if self.motifs is not None:
+            tables |= {name: df for name, field in self.MOTIFS.items() if (df := getattr(self.motifs, field)) is not None}
+        if self.stats:
+            tables["stats"] = self.stats_table()
         return writers.save_snapshot(tables, path, self.iteration)
 
     def resume(self, path: str, iteration: int) -> "BiclusterRun":
-        read = lambda n: self.spark.read.parquet(f"{path}/iter={iteration}/{n}")
-        self.row_member, self.col_member, self.row = read("row_member"), read("col_member"), read("row_score")
+        """Go on from ``save``: the run continues as if it had not stopped. Matrices, networks and settings are given anew."""
+        root = f"{path}/iter={iteration}"
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+        listed = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+        there = {f.getPath().getName() for f in listed}
+        for name, field in self.STATE.items():
+            setattr(self, field, self.spark.read.parquet(f"{root}/{name}") if name in there else None)
+        if self.motifs is not None:
+            for name, field in self.MOTIFS.items():
+                setattr(self.motifs, field, self.spark.read.parquet(f"{root}/{name}") if name in there else None)
+        self.stats = [self.spark.read.parquet(f"{root}/stats")] if "stats" in there else []
         self.iteration = iteration
         return self
 
@@ -317,6 +332,8 @@ class SamplingRun(BiclusterRun):
             cp = materialize(cb.ecdf_density(self.col, self.col_member, axis="col_id"), "probs")
             self.col_member = materialize(mb.sample_members(cp, self.col_member, self.per_col, s.n_clusters, temp, self.max_cols, self.col_power, it, s.seed + 1, "col_id", final=it >= s.n_iter), "members")
         self.row_member, self.iteration = rows, it
+        if it % s.stats_every == 0 or it == s.n_iter:
+            self.stats.append(materialize(self.statistics(), "stats"))
         if s.on_iteration is not None:
             s.on_iteration(self)
         return self

@@ -39,6 +39,24 @@ def test_snapshot_resumes(spark, tmp_path):
     assert sorted(again.row_member.collect()) == sorted(run.row_member.collect()) and again.iteration == 1
 
 
+def test_resumed_run_equals_the_whole_run(spark, tmp_path):
+    m = planted(spark)
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 60, 1.0 + i % 3) for i in range(60)], "src long, dst long, weight double")
+    groups = spark.createDataFrame([("g", i % 6, i, 5.0) for i in range(60)], "net string, group_id long, row_id long, weight double")
+    make = lambda: BiclusterRun(spark, {"x": m}, settings(), networks={"n": edges}, groups=groups)
+    whole = make().seed("random").run(3)
+    whole.save(str(tmp_path))
+    whole.run(2)
+    again = make().resume(str(tmp_path), 3).run(2)
+    for one, two in ((whole.row_member, again.row_member), (whole.col_member, again.col_member)):
+        assert sorted(map(tuple, one.select(*one.columns).collect())) == sorted(map(tuple, two.select(*one.columns).collect()))
+    assert again.net_weights == {"n": 0.5, "groups": 0.5}
+    heaviest = edges.agg(F.sum("weight")).first()[0]
+    from tessella.operators.networks import group_network_degrees
+
+    assert np.isclose(group_network_degrees(again.group_edges(), 100).agg(F.sum("weight")).first()[0], heaviest) or again.n_rows // 20 < 10
+
+
 def test_schedules():
     s = Settings(n_clusters=10, n_iter=2000)
     assert [i for i in range(1, 8) if s.rows_on(i)] == [1, 3, 5, 7]

@@ -22,11 +22,13 @@ def test_quantiles_match_numpy(skewed):
         assert np.allclose([got[k]["a"], got[k]["b"], got[k]["c"]], want)
 
 
-def test_scalar_quantiles_large_path(skewed, monkeypatch):
+@pytest.mark.parametrize("listed", [3, 50, 100_000])
+def test_scalar_quantiles_narrow_brackets(spark, skewed, listed):
     pdf, df = skewed
-    monkeypatch.setattr(od, "SMALL", 10)
-    got = od.scalar_quantiles(df, {"q": (F.col("v") * 2, 0.33)})
-    assert np.isclose(got["q"], np.quantile(pdf["v"] * 2, 0.33))
+    got = od.scalar_quantiles(df, {"q": (F.col("v") * 2, 0.33), "top": (F.col("v"), 1.0), "low": (F.col("v"), 0.0)}, listed, eps=0.05)
+    assert np.allclose([got["q"], got["top"], got["low"]], [np.quantile(pdf["v"] * 2, 0.33), pdf["v"].max(), pdf["v"].min()])
+    ties = spark.createDataFrame([(float(x),) for x in [5] * 500 + [1, 2, 9]] + [(None,), (float("nan"),)], "v double")
+    assert od.scalar_quantiles(ties, {"m": (F.col("v"), 0.5), "e": (F.lit(None).cast("double"), 0.5)}, listed, eps=0.05) == {"m": 5.0, "e": None}
 
 
 def test_indexed_is_row_number(skewed):
