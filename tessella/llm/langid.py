@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, bounded_sample, crc_fold, map_rows, read
+from tessella.llm.common import BATCH_ROWS, blocks, bounded_sample, crc_fold, map_rows, read
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -107,6 +107,7 @@ def document_frequencies(learn: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
 
+    learn.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     out = np.zeros(BUCKETS)
     for r in learn.select("text").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r["feature"]] = r["n"]
