@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def uniform(*parts: Column | str | int) -> Column:
-    """Uniform in (0, 1) from a hash of ids, iteration and seed."""
+    """Uniform in (0, 1): the leading 52 bits of the md5 of ids, iteration and seed joined by ``|``, which SQL can repeat."""
     cols = [F.lit(p) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p) for p in parts]
-    return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 13), 16, 10)
+    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def normal(*parts: Column | str | int) -> Column:

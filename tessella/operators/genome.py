@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.chance import uniform
 from tessella.functions.order import carry_forward
 from tessella.session import materialize
 
@@ -258,7 +259,7 @@ def degenerate_resolve(seqs: DataFrame, seed: int = 1) -> DataFrame:
     """Each degenerate code becomes one of its letters, picked by a hash of (id, position, seed)."""
 
     def pick(c: Column, i: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(12)).cast("int")
+        u = F.floor(uniform("id", i, seed) * 12).cast("int")
         out = c
         for code, letters in DEGENERATE.items():
             choice = F.substring(F.lit(letters), 1, 1)

@@ -16,7 +16,7 @@ from tessella.session import materialize
 
 def seed_random(universe: DataFrame, n_clusters: int, n: int, seed: int = 1, axis: str = "row_id") -> DataFrame:
     """(k, axis): ``n`` distinct clusters per id, the ones with the smallest hash."""
-    picks = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(n_clusters)), lambda k: F.struct(F.xxhash64(F.col(axis), k, F.lit(seed)).alias("h"), k.cast("int").alias("k")))), 1, n)
+    picks = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(n_clusters)), lambda k: F.struct(uniform(axis, k, seed).alias("h"), k.cast("int").alias("k")))), 1, n)
     return universe.select(axis).distinct().select(F.explode(picks).alias("_p"), axis).select(F.col("_p.k").alias("k"), axis)
 
 

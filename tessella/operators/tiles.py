@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from tessella.session import spread
 
 # largest number of cells one side of a tile holds
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000
 
 
 def pack_rows(m: DataFrame, col_axis: DataFrame) -> DataFrame:
@@ -101,13 +103,18 @@ def pairwise_information(x: np.ndarray, y: np.ndarray, estimator: str) -> np.nda
             return -0.5 * np.log(1 - np.minimum(pairwise_corr(_ranks(x), _ranks(y)) ** 2, 1 - 1e-15))
     n_bins = max(2, int(np.sqrt(x.shape[1])))
     bx, by = _bins(x, n_bins), _bins(y, n_bins)
-    ix = [(bx == b).astype(float) for b in range(n_bins)]
-    iy = [(by == b).astype(float) for b in range(n_bins)]
-    n = (bx >= 0).astype(float) @ (by >= 0).astype(float).T
-    joint = np.stack([np.stack([a @ b.T for b in iy]) for a in ix]) / np.maximum(n, 1)
-    pa, pb = joint.sum(axis=1, keepdims=True), joint.sum(axis=0, keepdims=True)
-    with np.errstate(all="ignore"):
-        return np.nansum(np.where(joint > 0, joint * np.log(joint / (pa * pb)), 0.0), axis=(0, 1))
+    on_x, on_y = (bx >= 0).astype(float), (by >= 0).astype(float)
+    n = np.maximum(on_x @ on_y.T, 1)
+    side_y = [(y_b := (by == b).astype(float), on_x @ y_b.T / n) for b in range(n_bins)]
+    out = np.zeros_like(n)
+    for a in range(n_bins):
+        x_a = (bx == a).astype(float)
+        pa = x_a @ on_y.T / n
+        for y_b, pb in side_y:
+            joint = x_a @ y_b.T / n
+            with np.errstate(all="ignore"):
+                out += np.where(joint > 0, joint * np.log(joint / (pa * pb)), 0.0)
+    return out
 
 
 def _measure(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
@@ -126,7 +133,9 @@ def _measure(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
 
 
 def _tile_count(n: int, n_cols: int) -> int:
-    return max(1, -(-n * max(n_cols, 1) // TILE_CELLS))
+    """Tiles of one side: a tile holds at most TILE_CELLS numbers, and so do the pairs of two tiles."""
+    side = max(1, min(TILE_CELLS // max(n_cols, 1), math.isqrt(TILE_CELLS)))
+    return max(1, -(-n // side))
 
 
 def tiled(left: DataFrame, right: DataFrame, n_cols: int, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:

@@ -179,13 +179,13 @@ def read_gene_lists(spark, sf):
 
 def cog_lines(spark, sf):
     p = t.read(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(F.concat(F.lit("g"), F.col("p_partkey").cast("string"))).alias("m"))
-    letter = F.chr(F.pmod(F.crc32("p_brand"), F.lit(26)) + 65)
+    letter = F.chr(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 26 + 65)
     rows = p.select("p_brand", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.concat(F.lit("["), letter, F.lit("] COG"), "p_brand").alias("v")),
                                                  F.struct(F.lit(1).alias("o"), F.lit("  Eco:  zzz").alias("v")), F.struct(F.lit(2).alias("o"), F.concat(F.lit("  Hpy:  "), F.array_join("m", " ")).alias("v")))).alias("x"))
     return rows.sort("p_brand", "x.o").select(F.col("x.v").alias("value"))
 
 
-@query("read_cog_codes")
+@query("read_cog_codes", "select 'G' || p_partkey as gene, chr(65 + regexp_extract(p_brand, '[0-9]+')::int % 26) as code from part")
 def read_cog_codes(spark, sf):
     return rd.read_cog_codes(spark, lines(cog_lines(spark, sf), spark, "cog"), "Hpy")
 
@@ -275,8 +275,10 @@ def snapshot(spark, sf):
     return rd.load_snapshot(spark, base, ["row_member", "edges"])["row_member"]
 
 
-@query("read_networks_prepared")
+@query("read_networks_prepared", sql("edges", """, e as (select src::varchar as src, dst::varchar as dst, 1000 * exp(weight / (select max(weight) from edges where net = 'ship')) / exp(1) as weight from edges where net = 'ship'),
+both_ways as (select src, dst, weight, 0 as p from e union all select dst, src, weight, 1 from e) select 'string' as net, src, dst, round(arg_min(weight, p), 6) as weight from both_ways group by 2, 3"""))
 def read_networks_prepared(spark, sf):
     e = rd.read_links(spark, table(str_edges(spark, sf), spark, "links"), "string")
     ids = t.read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("row_id"))
-    return nw.prepare_networks(nw.rescale_links(e), ids)
+    out = nw.prepare_networks(nw.rescale_links(e), ids)
+    return out.withColumn("weight", F.round("weight", 6))

@@ -58,9 +58,14 @@ def quantile_normalize_weighted(spark, sf):
     return cb.quantile_normalize(_two_sets(spark, sf), {"a": 2.0, "b": 1.0}).select("set", "row_id", "k", *r6("score"))
 
 
-@query("fuzz")
+def draw(*parts: str) -> str:
+    """SQL twin of ``functions.chance.uniform``."""
+    return "((('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)"
+
+
+@query("fuzz", sql("dense_score dense_rows", f", sd as (select stddev_samp(score) as s from dense_score join dense_rows using (k, row_id)) select row_id, k, round(score + sqrt(-2 * ln({draw('row_id', 'k', '10', '1', '11')})) * cos(2 * pi() * {draw('row_id', 'k', '10', '1', '29')}) * s * {cb.fuzz_index(10, 200)!r}::double, 6) as score from dense_score, sd"))
 def fuzz(spark, sf):
-    return cb.fuzz(dense_scores(spark, sf), t.dense_rows(spark, sf), cb.fuzz_index(10, 200), 10, 1)
+    return cb.fuzz(dense_scores(spark, sf), t.dense_rows(spark, sf), cb.fuzz_index(10, 200), 10, 1).select("row_id", "k", *r6("score"))
 
 
 @query("density_scores_rows")
@@ -235,21 +240,24 @@ def rank_clusters(spark, sf):
     return od.indexed(g, [], ["score", "k"], "ord").select("k", *r6("score"), "ord")
 
 
-@query("seed_random")
+@query("seed_random", f"select k, row_id from (select k, row_id, row_number() over (partition by row_id order by {draw('row_id', 'k', '1')}, k) as r from (select distinct p_partkey as row_id from part), (select unnest(range(1, 26))::int as k)) where r <= 2")
 def seed_random(spark, sf):
     return sd.seed_random(parts(spark, sf), 25, 2)
 
 
-@query("seed_random_n")
+@query("seed_random_n", " union all ".join(f"select ((p - 1) // 5 + 1)::int as k, row_id, {s + 1} as slot from (select row_id, row_number() over (order by {draw('row_id', '1', str(s))}, row_id) as p from (select distinct p_partkey as row_id from part)) where p <= 125" for s in range(2)))
 def seed_random_n(spark, sf):
     return sd.seed_random_n(parts(spark, sf), 25, 5, 2)
 
 
-@query("seed_list")
+@query("seed_list", f"""with given as (select p_size::int as k, p_partkey as row_id from part where p_size <= 60), free as (select distinct p_partkey as row_id from part where p_size % 7 = 0)
+select k, row_id from given where k % 7 <> 0 union all
+select ((p - 1) // 5 + 1)::int + (select max(k)::int from given where k % 7 <> 0), row_id from (select row_id, row_number() over (order by {draw('row_id', '1', '0')}, row_id) as p from free)
+where p <= 5 * (60 - (select max(k) from given where k % 7 <> 0))""")
 def seed_list(spark, sf):
-    lists = t.read(spark, sf, "part").where("p_size < 5").select(F.col("p_size").cast("int").alias("k"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"))
+    lists = t.read(spark, sf, "part").where("p_size % 7 <> 0").select(F.col("p_size").cast("int").alias("k"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"))
     alias = t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("alias"))
-    return sd.seed_list(parts(spark, sf), lists, alias, 10)
+    return sd.seed_list(parts(spark, sf), lists, alias, 60)
 
 
 @query("seed_kmeans")
@@ -288,7 +296,7 @@ def seed_columns_best(spark, sf):
     return sd.seed_columns(t.sparse(spark, sf), t.sparse_rows(spark, sf), 3)
 
 
-@query("seed_columns_random")
+@query("seed_columns_random", sql("sparse", f"select k, col_id from (select k, col_id, row_number() over (partition by col_id order by {draw('col_id', 'k', '1')}, k) as r from (select distinct col_id from sparse), (select unnest(range(1, 26))::int as k)) where r <= 3"))
 def seed_columns_random(spark, sf):
     return sd.seed_columns(t.sparse(spark, sf), t.sparse_rows(spark, sf), 3, "rnd", 25)
 

@@ -199,7 +199,12 @@ def filter_sequences(spark, sf):
     return ge.filter_sequences(upstream(spark, sf), (-20, 150), overlaps=True, min_length=24).select("id", "seq")
 
 
-@query("degenerate_resolve")
+DRAWN = "floor(((('0x' || substr(md5(id || '|' || i || '|1'), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double) * 12)::int"
+LETTERS = " ".join(f"when '{c}' then substr('{v}', 1 + u // {12 // len(v)}, 1)" for c, v in ge.DEGENERATE.items())
+
+
+@query("degenerate_resolve", f"""with d as (select doc_id as id, upper(regexp_replace(text, '[^ACGTRYKMSWN]', '', 'gi')) as s from documents), l as (select id, i, substr(s, i + 1, 1) as c, {DRAWN} as u from (select id, s, unnest(range(len(s))) as i from d)),
+r as (select id, string_agg(case c {LETTERS} else c end, '' order by i) as seq from l group by id) select d.id, coalesce(seq, '') as seq from d left join r using (id)""")
 def degenerate_resolve(spark, sf):
     raw = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "(?i)[^ACGTRYKMSWN]", "")).alias("seq"))
     return ge.degenerate_resolve(raw)

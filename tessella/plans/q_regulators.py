@@ -112,15 +112,18 @@ META = """, meta as (select col_id, case when ts then s end as series, case when
 from (select col_id, (col_id - 1) // 4 as s, ((col_id - 1) // 4) % 4 <> 0 as ts, (col_id - 1) % 4 as q from (select distinct col_id from sparse)))"""
 
 
-@query("fill_time_series", sql("sparse sparse_cols", META + """, b as (select distinct k, col_id from sparse_cols), f as (select k, count(*) / (select count(*) from meta)::double f from b group by 1), len as (select series, count(*) n from meta where series is not null group by 1),
-pl as (select k, series, case when count(*) / any_value(n)::double >= any_value(f) * 1.25::double then 'fill' when count(*) / any_value(n)::double < any_value(f) * 0.1::double then 'drop' else 'grow' end kind from b join meta using (col_id) join len using (series) join f using (k) group by 1, 2)
+FILL = """, b as (select distinct k, col_id from sparse_cols), f as (select k, count(*) / (select count(*) from meta)::double f from b group by 1), len as (select series, count(*) n from meta where series is not null group by 1),
+pl as (select k, series, case when count(*) / any_value(n)::double >= any_value(f) * {fill}::double then 'fill' when count(*) / any_value(n)::double < any_value(f) * 0.1::double then 'drop' else 'grow' end kind from b join meta using (col_id) join len using (series) join f using (k) group by 1, 2)
 select distinct k, col_id from (select b.k, b.col_id from b join meta using (col_id) left join pl on pl.k = b.k and pl.series = meta.series where kind is null or kind <> 'drop'
-union all select k, col_id from pl join meta using (series) where kind = 'fill' union all select pl.k, m2.col_id from pl join meta m1 using (series) join b on b.k = pl.k and b.col_id = m1.col_id join meta m2 on m2.series = m1.series and abs(m2.ord - m1.ord) <= 1 where kind = 'grow')"""))
+union all select k, col_id from pl join meta using (series) where kind = 'fill' union all select pl.k, m2.col_id from pl join meta m1 using (series) join b on b.k = pl.k and b.col_id = m1.col_id join meta m2 on m2.series = m1.series and abs(m2.ord - m1.ord) <= {gap} where kind = 'grow')"""
+
+
+@query("fill_time_series", sql("sparse sparse_cols", META + FILL.format(fill=1.25, gap=1)))
 def fill_time_series(spark, sf):
     return rg.fill_time_series(t.sparse_cols(spark, sf), meta(spark, sf))
 
 
-@query("fill_time_series_gap2")
+@query("fill_time_series_gap2", sql("sparse sparse_cols", META + FILL.format(fill=3.0, gap=2)))
 def fill_time_series_gap2(spark, sf):
     return rg.fill_time_series(t.sparse_cols(spark, sf), meta(spark, sf), fill=3.0, gap=2)
 

@@ -203,7 +203,10 @@ def row_scores_mutual_info(spark, sf):
     return sc.row_scores_to_members(t.dense(spark, sf), t.dense_rows(spark, sf), "mi").select("row_id", "k", *r6("score"))
 
 
-@query("row_scores_mutual_info_bins")
+@query("row_scores_mutual_info_bins", sql("dense dense_rows", """, b as (select row_id, col_id, least(7, floor((value - min(value) over w) / (max(value) over w - min(value) over w) * 8))::int as b from dense window w as (partition by row_id)),
+mx as (select row_id, b, count(*) / 64.0::double as p from b group by 1, 2), j as (select x.row_id, y.row_id as m, x.b as bx, y.b as by_, count(*) / 64.0::double as p from b x join b y using (col_id) where x.row_id <> y.row_id group by 1, 2, 3, 4),
+mi as (select j.row_id, j.m, sum(j.p * ln(j.p / (a.p * c.p))) as d from j join mx a on a.row_id = j.row_id and a.b = bx join mx c on c.row_id = j.m and c.b = by_ group by 1, 2)
+select mi.row_id, r.k, round(-avg(d), 6) as score from mi join dense_rows r on r.row_id = mi.m group by 1, 2"""))
 def row_scores_mutual_info_bins(spark, sf):
     return sc.row_scores_to_members(t.dense(spark, sf), t.dense_rows(spark, sf), "mi.empirical").select("row_id", "k", *r6("score"))
 
