@@ -400,57 +400,70 @@ def _null_tail(logodds: np.ndarray, bg: np.ndarray, step: float = 0.01) -> tuple
     return low, np.minimum(1.0, np.cumsum(dist_[::-1])[::-1])
 
 
-def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | None = None, block: int = 1000, motif_block: int = 200) -> DataFrame:
-    """(id, k, mot, pos, strand, score, pvalue): best log-odds hit of every motif on every sequence.
+def _log_odds(m: list, bg: np.ndarray) -> np.ndarray:
+    mat = np.array([list(r) for r in m], dtype=float) + 0.01
+    return np.log2(mat / mat.sum(axis=1, keepdims=True) / bg)
 
-    Sequences are cut into overlapping pieces; a task scans one block of pieces with one block of
-    motifs and keeps the best hit per sequence and motif, which ``max_by`` then combines.
+
+def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | None = None, motif_block: int = 200, cutoff: float = 1.0) -> DataFrame:
+    """(id, k, mot, pos, strand, score, pvalue): best log-odds hit of every motif on every sequence, p of at most ``cutoff``.
+
+    Motifs go to the tasks in blocks of about ``motif_block`` with their null distributions made once; a block is one pass
+    over the sequences, which stay where they are. Sequences are cut into overlapping pieces; a task keeps the best hit per
+    sequence and motif of its batch, and ``max_by`` combines those.
     """
     bg = np.array([(background or {}).get(x, 0.25) for x in LETTERS])
-    seqs, packed = materialize(seqs.select("id", "seq"), "seqs"), materialize(pack_motifs(pssm), "motifs")
-    widest = packed.agg(F.max(F.size("m")).alias("w")).first()["w"] or 1
-    n_pieces_blocks = max(1, -(-pieces(seqs.select("id", "seq"), widest - 1).count() // block))
-    n_motif_blocks = max(1, -(-packed.count() // motif_block))
-    a = pieces(seqs.select("id", "seq"), widest - 1).withColumn("sb", F.pmod(F.xxhash64("id", "at"), F.lit(n_pieces_blocks)).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(n_motif_blocks - 1))))
-    b = packed.withColumn("mb", F.pmod(F.xxhash64("k", "mot"), F.lit(n_motif_blocks)).cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(n_pieces_blocks - 1))))
-    a, b = spread(a, "sb", "mb"), spread(b, "sb", "mb")
+    spark = seqs.sparkSession
+    packed = materialize(pack_motifs(pssm), "motifs")
+    size = packed.agg(F.max(F.size("m")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    widest, blocks = size["w"] or 1, max(1, -(-size["n"] // motif_block))
     cols = ["id", "k", "mot", "pos", "strand", "score", "pvalue"]
 
-    def scan(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        ids, at = p["id"].to_numpy(), p["at"].to_numpy()
-        codes = np.full((len(p), PIECE + widest), 4, dtype=np.int64)
-        for r, text in enumerate(p["piece"]):
-            codes[r, :len(text)] = CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
-        line, frames = np.arange(len(p)), []
-        for k, mot, m in zip(q["k"], q["mot"], q["m"]):
-            mat = np.array([list(r) for r in m], dtype=float)
-            lo = np.log2((mat + 0.01) / (mat + 0.01).sum(axis=1, keepdims=True) / bg)
-            w = len(lo)
-            low, tail = _null_tail(lo, bg)
-            best = np.full(len(p), -np.inf)
-            spot, minus = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=bool)
-            for back, table in ((False, lo), (True, lo[::-1, ::-1])):
-                table = np.column_stack([table, np.full(w, -np.inf)])
-                total = np.zeros((len(p), PIECE))
-                for j in range(w):
-                    total += table[j][codes[:, j:j + PIECE]]
-                i = total.argmax(axis=1)
-                better = total[line, i] > best
-                best, spot, minus = np.where(better, total[line, i], best), np.where(better, i, spot), np.where(better, back, minus)
-            ok = np.isfinite(best)
-            if not ok.any():
-                continue
-            site = codes[line[ok][:, None], spot[ok][:, None] + np.arange(w)]
-            steps = np.round(lo / 0.01).astype(int)
-            exact = np.where(minus[ok], steps[::-1, ::-1][np.arange(w), site].sum(axis=1), steps[np.arange(w), site].sum(axis=1))
-            f = pd.DataFrame({"id": ids[ok], "k": k, "mot": mot, "pos": at[ok] + spot[ok] + 1, "strand": np.where(minus[ok], "-", "+"), "score": best[ok], "pvalue": tail[exact - low]})
-            frames.append(f.sort_values(["score", "pos"], ascending=[False, True]).drop_duplicates(["id", "k", "mot"]))
-        return pd.concat(frames) if frames else pd.DataFrame({c: [] for c in cols})
+    def scanner(rows):
+        plan = []
+        for r in rows:
+            lo = _log_odds(r["m"], bg)
+            plan.append((r["k"], r["mot"], lo, *_null_tail(lo, bg)))
+        shared = spark.sparkContext.broadcast(plan)
+
+        def scan(batches):
+            for p in batches:
+                ids, at = p["id"].to_numpy(), p["at"].to_numpy()
+                codes = np.full((len(p), PIECE + widest), 4, dtype=np.int64)
+                for r, text in enumerate(p["piece"]):
+                    codes[r, :len(text)] = CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
+                line, frames = np.arange(len(p)), []
+                for k, mot, lo, low, tail in shared.value:
+                    w = len(lo)
+                    best = np.full(len(p), -np.inf)
+                    spot, minus = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=bool)
+                    for back, table in ((False, lo), (True, lo[::-1, ::-1])):
+                        table = np.column_stack([table, np.full(w, -np.inf)])
+                        total = np.zeros((len(p), PIECE))
+                        for j in range(w):
+                            total += table[j][codes[:, j:j + PIECE]]
+                        i = total.argmax(axis=1)
+                        better = total[line, i] > best
+                        best, spot, minus = np.where(better, total[line, i], best), np.where(better, i, spot), np.where(better, back, minus)
+                    ok = np.isfinite(best)
+                    site = codes[line[ok][:, None], spot[ok][:, None] + np.arange(w)]
+                    steps = np.round(lo / 0.01).astype(int)
+                    exact = np.where(minus[ok], steps[::-1, ::-1][np.arange(w), site].sum(axis=1), steps[np.arange(w), site].sum(axis=1))
+                    f = pd.DataFrame({"id": ids[ok], "k": k, "mot": mot, "pos": at[ok] + spot[ok] + 1, "strand": np.where(minus[ok], "-", "+"), "score": best[ok], "pvalue": tail[exact - low]})
+                    f = f[f["pvalue"] <= cutoff]
+                    if len(f):
+                        frames.append(f.sort_values(["score", "pos"], ascending=[False, True]).drop_duplicates("id"))
+                if frames:
+                    yield pd.concat(frames)[cols]
+
+        return scan
 
     idt, kt = seqs.schema["id"].dataType.simpleString(), pssm.schema["k"].dataType.simpleString()
-    hits = a.groupBy("sb", "mb").cogroup(b.groupBy("sb", "mb")).applyInPandas(scan, f"id {idt}, k {kt}, mot int, pos int, strand string, score double, pvalue double")
+    cut, hits = pieces(seqs.select("id", "seq"), widest - 1), None
+    for b in range(blocks):
+        rows = packed.where(F.pmod(F.xxhash64("k", "mot"), F.lit(blocks)) == b).collect()
+        part = cut.mapInPandas(scanner(rows), f"id {idt}, k {kt}, mot int, pos int, strand string, score double, pvalue double")
+        hits = part if hits is None else hits.unionByName(part)
     best = F.struct("score", -F.col("pos"), "strand")
     return hits.groupBy("id", "k", "mot").agg(*[F.max_by(c, best).alias(c) for c in ("pos", "strand", "score", "pvalue")])
 

@@ -99,15 +99,19 @@ def features(spark, sf):
 
 
 def pssm(spark, sf):
-    """Letter frequencies by position of two fixed windows over the sequences of each document group."""
-    c = contigs(spark, sf).where(F.length("seq") >= 120).select(
-        (F.col("contig") % 12).cast("int").alias("k"), "seq")
-    win = c.select("k", F.explode(F.array(F.struct(F.lit(1).alias("mot"), F.lit(1).alias("at")),
-                                          F.struct(F.lit(2).alias("mot"), F.lit(101).alias("at")))).alias("w"), "seq")
-    pos = win.select("k", "w.mot", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("pos"), "w.at", "seq")
-    letter = pos.select("k", "mot", "pos", F.expr("substring(seq, at + pos - 1, 1)").alias("b"))
+    """Letter frequencies of the eight letters behind every anchor word, over the whole sequences of each 100 documents.
+
+    The number of motifs grows with the documents.
+    """
+    c = contigs(spark, sf).select(F.floor(F.col("contig") / 100).cast("int").alias("k"), "seq")
+    site = None
+    for mot, anchor in ((1, "GAT"), (2, "CCA")):
+        behind = F.split("seq", anchor)
+        part = c.select("k", F.lit(mot).alias("mot"), F.explode(F.slice(behind, F.lit(2), F.size(behind))).alias("s")).where(F.length("s") >= 8)
+        site = part if site is None else site.unionByName(part)
+    letter = site.select("k", "mot", F.posexplode(F.split(F.substring("s", 1, 8), "")).alias("pos", "b"))
     freq = [F.avg((F.col("b") == x).cast("double")).alias(x.lower()) for x in "ACGT"]
-    return letter.groupBy("k", "mot", "pos").agg(*freq)
+    return letter.groupBy("k", "mot", (F.col("pos") + 1).alias("pos")).agg(*freq)
 
 
 def annotation(spark, sf):
@@ -143,7 +147,7 @@ SQL = {
     "hits": "select (l_suppkey % 25)::int as k, l_partkey as row_id, min((l_discount + 0.001::double) * (l_tax + 0.01::double)) as pvalue from lineitem group by 1, 2",
     "contigs": "select doc_id as contig, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents",
     "features": "select contig || '.' || i as id, contig, case when i % 2 = 0 then 'D' else 'R' end as strand, (300 + 500*i)::bigint as start_pos, (499 + 500*i)::bigint as end_pos from (select contig, unnest(range((length(seq) - 500) // 500 + 1)) as i from contigs where length(seq) >= 500)",
-    "pssm": "select k, mot, pos, avg((b='A')::int::double) as a, avg((b='C')::int::double) as c, avg((b='G')::int::double) as g, avg((b='T')::int::double) as t from (select (contig % 12)::int as k, w.mot, p.pos, substr(seq, w.st + p.pos - 1, 1) as b from contigs, (values (1, 1), (2, 101)) w(mot, st), (values (1),(2),(3),(4),(5),(6),(7),(8)) p(pos) where length(seq) >= 120) group by 1, 2, 3",
+    "pssm": "select k, mot, pos, avg((b='A')::int::double) as a, avg((b='C')::int::double) as c, avg((b='G')::int::double) as g, avg((b='T')::int::double) as t from (select k, mot, p.pos, substr(s, p.pos, 1) as b from (select (contig // 100)::int as k, w.mot, unnest(string_split(seq, w.anchor)[2:]) as s from contigs, (values (1, 'GAT'), (2, 'CCA')) w(mot, anchor)), (values (1),(2),(3),(4),(5),(6),(7),(8)) p(pos) where length(s) >= 8) group by 1, 2, 3",
     "annotation": "select p_type as term, p_partkey as row_id, lower(p_type) as term_name, 'P' as ontology from part",
     "history": "select distinct day(ts)::int as iter, ascii(event_type)::int as k, user_id as row_id from events",
     "series": "select event_type as series, day(ts)::int as \"time\", avg(value) as value from events group by 1, 2",
