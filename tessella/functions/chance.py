@@ -15,6 +15,11 @@ def uniform(*parts: Column | str | int) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def draw_sql(*parts: str) -> str:
+    """SQL twin of ``uniform``."""
+    return "((('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)"
+
+
 def normal(*parts: Column | str | int) -> Column:
     """Standard normal by the Box-Muller transform of two hashed uniforms."""
     u = uniform(*parts, F.lit(11))

@@ -111,22 +111,24 @@ def subnetwork_score(edges: DataFrame, row_member: DataFrame, net_weights: dict[
     return ks.join(sums.groupBy("k").agg(F.sum(w * F.col("_s")).alias("_s")), "k", "left").select("k", (-F.coalesce("_s", F.lit(0.0)) / denom).alias("score"))
 
 
+#: Steps of the draws: a prime that does not divide the number of ids visits all of them before it repeats one.
+STEPS = [p for p in range(1009, 2000) if all(p % q for q in range(2, 45))]
+
+
 def draws(universe: DataFrame, axis: str, shapes: DataFrame, size: str, n: int, seed: int) -> DataFrame:
     """(shape, draw, axis): for every distinct size, ``n`` seeded draws of that many ids without replacement.
 
-    Each draw orders the ids by a hash of (draw, id) and keeps the smallest. Ids are pre-filtered by a
-    hash threshold with generous head-room before ranking, so a draw shuffles about twice its size
-    instead of the whole axis.
+    The ids stand in one hashed order. A draw starts at a hashed place and walks on in steps of a hashed prime, so exactly
+    the wanted rows are made, and joined to the ids by place; no draw is sorted or filtered.
     """
-    total = count_of(universe, axis)
-    sizes = shapes.select(size).distinct().agg(F.collect_list(size).alias("s")).scalar()
-    base = universe.select(axis).distinct().withColumn("_N", total).select(axis, "_N", F.explode(sizes).alias(size))
-    u = uniform(axis, "draw", size, seed)
-    # 2x the wanted share plus ten standard deviations keeps at least `size` ids in every draw
-    share = 2.0 * F.col(size) / F.col("_N") + 10.0 * F.sqrt(F.col(size).cast("double")) / F.col("_N") + 20.0 / F.col("_N")
-    drawn = base.select(axis, size, "_N", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).withColumn("_u", u).where(F.col("_u") < share)
-    w = Window.partitionBy(size, "draw").orderBy("_u", axis)
-    return drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col(size)).select(size, "draw", axis)
+    ids = indexed(universe.select(axis).distinct().withColumn("_u", uniform(axis, seed)), [], ["_u", axis], "_p").select(axis, (F.col("_p") - 1).alias("_p"))
+    total = ids.count()
+    steps = [p for p in STEPS if total % p]
+    each = shapes.select(size).distinct().select(size, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    step = F.element_at(F.array(*[F.lit(p) for p in steps]), (F.floor(uniform("draw", size, seed, 1) * len(steps)) + 1).cast("int"))
+    each = each.select(size, "draw", step.alias("_a"), F.floor(uniform("draw", size, seed, 2) * total).alias("_b")).where(F.col(size) > 0)
+    walk = each.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col(size), F.lit(total)).cast("bigint") - 1)))
+    return walk.withColumn("_p", (F.col("_b") + F.col("_j") * F.col("_a")) % F.lit(total)).join(ids, "_p").select(size, "draw", axis)
 
 
 def permutation_pvalue(m: DataFrame, row_member: DataFrame, col_member: DataFrame, n: int = 1000, seed: int = 1, near: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import order as od
+from tessella.functions.chance import draw_sql as draw
 from tessella.operators import combine as cb
 from tessella.operators import enrich as en
 from tessella.operators import membership as mb
@@ -58,11 +59,6 @@ def quantile_normalize_weighted(spark, sf):
     return cb.quantile_normalize(_two_sets(spark, sf), {"a": 2.0, "b": 1.0}).select("set", "row_id", "k", *r6("score"))
 
 
-def draw(*parts: str) -> str:
-    """SQL twin of ``functions.chance.uniform``."""
-    return "((('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)"
-
-
 @query("fuzz", sql("dense_score dense_rows", f", sd as (select stddev_samp(score) as s from dense_score join dense_rows using (k, row_id)) select row_id, k, round(score + sqrt(-2 * ln({draw('row_id', 'k', '10', '1', '11')})) * cos(2 * pi() * {draw('row_id', 'k', '10', '1', '29')}) * s * {cb.fuzz_index(10, 200)!r}::double, 6) as score from dense_score, sd"))
 def fuzz(spark, sf):
     return cb.fuzz(dense_scores(spark, sf), t.dense_rows(spark, sf), cb.fuzz_index(10, 200), 10, 1).select("row_id", "k", *r6("score"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessella.functions.chance import draw_sql as draw
 from tessella.operators import clusters as cl
 from tessella.operators import combine as cb
 from tessella.operators import enrich as en
@@ -11,6 +12,15 @@ from tessella.plans.q_matrix import r6
 from tessella.plans.registry import query
 from tessella.plans.tables import sql
 
+
+def drawn(ids: str, sizes: str, n: int, seed: int) -> str:
+    """SQL twin of ``enrich.draws``: CTEs ending in dr(size, draw, id). ``ids`` gives id, ``sizes`` gives size."""
+    place, step = draw("id", str(seed)), f"l[1 + floor({draw('draw', 'size', str(seed), '1')} * len(l))::int]"
+    return f""", dr_u as (select id, row_number() over (order by {place}, id) - 1 as p from (select distinct id from ({ids}))), dr_n as (select count(*) as total from dr_u),
+dr_l as (select total, list_filter({en.STEPS}, lambda x: total % x <> 0) as l from dr_n),
+dr_w as (select size, draw, total, {step} as a, floor({draw('draw', 'size', str(seed), '2')} * total)::bigint as b from (select distinct size from ({sizes})), (select unnest(range(1, {n + 1})) as draw), dr_l),
+dr_p as (select size, draw, (b + unnest(range(least(size, total))) * a) % total as p from dr_w), dr as (select size, draw, id from dr_p join dr_u using (p))"""
+
 RESID = """
 , cells as (select {by}, r.k, m.row_id, m.col_id, m.value from {m} m join {r} r using (row_id) join {c} c on c.k = r.k and c.col_id = m.col_id),
 rm as (select {by}, k, row_id, avg(value) rm, var_samp(value) rv from cells group by all), cm as (select {by}, k, col_id, avg(value) cm from cells group by all),
@@ -418,12 +428,15 @@ def subnetwork_score(spark, sf):
 
 @query("permutation_pvalue_residual")
 def permutation_pvalue_residual(spark, sf):
-    return en.permutation_pvalue(t.dense(spark, sf), t.dense_rows(spark, sf), t.dense_cols(spark, sf), n=20)
+    return en.permutation_pvalue(t.dense(spark, sf), t.dense_rows(spark, sf), t.dense_cols(spark, sf))
 
 
-@query("permutation_pvalue_network")
+@query("permutation_pvalue_network", sql("edges sparse_rows", drawn("select p_partkey as id from part", "select count(*) as size from sparse_rows group by k", 1000, 1) + """, cnt as (select count(distinct net)::double as n from edges),
+seen as (select k, nrows, -coalesce(s, 0) / cnt.n as score from (select k, count(*) as nrows from sparse_rows group by 1) left join (select a.k, sum(weight) as s from edges join sparse_rows a on a.row_id = src join sparse_rows b on b.row_id = dst and b.k = a.k group by 1) using (k), cnt),
+nulls as (select size, draw, -coalesce(s, 0) / cnt.n as score from (select distinct size, draw from dr) left join (select a.size, a.draw, sum(weight) as s from edges join dr a on a.id = src join dr b on b.id = dst and b.size = a.size and b.draw = a.draw group by 1, 2) using (size, draw), cnt)
+select k, nrows, round(any_value(seen.score), 6) as score, round(avg((nulls.score <= seen.score)::int::double), 6) as p_value from seen join nulls on size = nrows group by 1, 2"""))
 def permutation_pvalue_network(spark, sf):
-    return en.permutation_pvalue_network(t.edges(spark, sf), t.sparse_rows(spark, sf), t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id")), n=10)
+    return en.permutation_pvalue_network(t.edges(spark, sf), t.sparse_rows(spark, sf), t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id"))).select("k", "nrows", *r6("score", "p_value"))
 
 
 @query("cooccurrence_cloud", sql("history", "select a.row_id as a, b.row_id as b, count(*) as n from history a join history b using (iter, k) where a.row_id < b.row_id group by 1, 2"))
@@ -475,14 +488,18 @@ def _draw_n(spark, sf):
     return t.sparse_rows(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("nrows"))
 
 
-@query("variance_null")
+SIZES = "select count(*) as size from dense_rows group by k"
+NULL_V = drawn("select row_id as id from dense", SIZES, 100, 1) + ", v as (select size, draw, col_id, var_samp(value) as v from dense join dr on dr.id = dense.row_id group by 1, 2, 3)"
+
+
+@query("variance_null", sql("dense dense_rows", NULL_V + " select size as nrows, col_id, round(avg(v), 6) as mean_var, round(stddev_samp(v), 6) as sd_var from v group by 1, 2"))
 def variance_null(spark, sf):
-    return en.variance_null(t.dense(spark, sf), t.dense_rows(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("nrows")), "nrows", 10)
+    return en.variance_null(t.dense(spark, sf), t.dense_rows(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("nrows")), "nrows", 100).select("nrows", "col_id", *r6("mean_var", "sd_var"))
 
 
-@query("variance_null_pooled")
+@query("variance_null_pooled", sql("dense dense_rows", NULL_V + " select size as nrows, round(avg(v), 6) as mean_var, round(stddev_samp(v), 6) as sd_var from v group by 1"))
 def variance_null_pooled(spark, sf):
-    return en.variance_null(t.dense(spark, sf), t.dense_rows(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("nrows")), "nrows", 10, pooled=True)
+    return en.variance_null(t.dense(spark, sf), t.dense_rows(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("nrows")), "nrows", 100, pooled=True).select("nrows", *r6("mean_var", "sd_var"))
 
 
 @query("variance_sample_size")
