@@ -96,12 +96,18 @@ def cluster_summary(
     """
     out = row_member.groupBy("k").agg(F.count(F.lit(1)).alias("nrow"))
     total: Column = F.lit(0.0)
+    every, tags = None, []
     for tag, df, w in (("r", row_score, scaling[0]), ("m", mot, scaling[1]), ("n", net, scaling[2])):
         if df is None or (compat and tag == "n" and mot is not None):
             continue
         inside = row_member.select("k", "row_id").join(df, ["row_id", "k"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)) if tag != "r" else F.col("score"))
-        out = out.join(trimmed_mean(inside, ["k"], "score", trim, ["row_id"], f"_{tag}"), "k", "left")
+        part = inside.select("k", F.lit(tag).alias("_f"), "row_id", "score")
+        every = part if every is None else every.unionByName(part)
+        tags.append((tag, w))
+    means = trimmed_mean(every, ["k", "_f"], "score", trim, ["row_id"], "_t")  # one sort for all families
+    for tag, w in tags:
         total = total + F.coalesce(F.col(f"_{tag}"), F.lit(0.0)) * float(w)
+    out = out.join(means.groupBy("k").agg(*[F.max(F.when(F.col("_f") == tag, F.col("_t"))).alias(f"_{tag}") for tag, _ in tags]), "k", "left")
     out = out.join(resid.select("k", "resid"), "k", "left").select("k", "nrow", total.alias("score"), "resid")
     if consensus is not None:
         pick = lambda i, c: F.max(F.when(F.col("mot") == i, F.col(c)))
