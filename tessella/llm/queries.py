@@ -11,11 +11,11 @@ from tessella.llm.quality import op1_quality
 from tessella.llm.quotes import op5_quote_threads
 from tessella.llm.sharding import op9_shards
 from tessella.llm.simhash import op10_simhash_groups
-from tessella.llm.suffix_dedup import op2_suffix_dedup
+from tessella.llm.suffix_dedup import OP2_SQL, op2_suffix_dedup
 
 QUERIES = {
     "op1_quality": (op1_quality, None),
-    "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, OP2_SQL),
     "op3_host_rules": (op3_host_rules, OP3_SQL),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_quote_threads": (op5_quote_threads, None),

@@ -32,12 +32,12 @@ from tessella.session import materialize
 SPAN = 50
 GRAM = 20
 #: Text bytes whose runs go to one bucket, and bytes of runs that are sorted in one task, on average.
-BUCKET_BYTES = 48 << 20
-SORT_BYTES = 16 << 20
+BUCKET_BYTES = 16 << 20
+SORT_BYTES = 4 << 20
 #: Different contents of a minimizer beyond which its windows are dealt out one by one.
 HOT = 4096
 #: Runs a bucket task gathers before it folds equal ones.
-FOLD_RUNS = 4_000_000
+FOLD_RUNS = 1_500_000
 BLOCK = 1 << 18
 #: A run is cut after so many windows.
 LONGEST_RUN = 4 * SPAN
@@ -325,7 +325,7 @@ def find_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     records = map_rows(keyed, "bucket int, docs binary, counts binary, numbers binary, keys binary, contents binary", _records(buckets))
-    asks = records.repartition(buckets, "bucket").mapInArrow(_requests(hot), "doc_id bigint, text_hash bigint, asks array<int>")
+    asks = records.repartitionById(buckets, F.col("bucket")).mapInArrow(_requests(hot), "doc_id bigint, text_hash bigint, asks array<int>")
     asks = materialize(asks, "asks").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("asks")).alias("asks"))
     answers = map_rows(asks.join(_packed(keyed), ["doc_id", "text_hash"]), "doc_id bigint, text_hash bigint, route bigint, at int, piece binary, cuts array<int>", _answers)
     answers = materialize(answers, "answers")
@@ -378,3 +378,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("bigint").alias("n_removed"), (F.size("spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+     w as (select doc_id, i, substr(h, 2 * i + 1, {2 * SPAN}) as s from (select doc_id, h, unnest(range(n - {SPAN - 1})) as i from d where n >= {SPAN})),
+     f as (select s, min(doc_id) as first_doc from w group by s),
+     hit as (select doc_id, i from w join f using (s) where first_doc < doc_id),
+     gap as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from hit),
+     run as (select doc_id, i, sum(case when before is null or i > before + {SPAN} then 1 else 0 end) over (partition by doc_id order by i) as g from gap),
+     span as (select doc_id, min(i) as a, max(i) + {SPAN} as b from run group by doc_id, g),
+     piece as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as done from span),
+     kept as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as h
+              from piece join d using (doc_id) group by doc_id)
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept using (doc_id)
+"""
