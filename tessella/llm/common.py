@@ -67,11 +67,13 @@ def map_rows(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.Recor
 def bounded_sample(df: DataFrame, by: str, per_value: int, id_col: str = "doc_id") -> DataFrame:
     """About ``per_value`` rows of each value of ``by``, chosen by a hash of the id: the same rows on every run.
 
-    Only for fitting a model. The counts that set the rates cover all rows.
+    Only for fitting a model. The counts that set the rates cover all rows. The ids are chosen on narrow rows and sent to
+    the wide ones, about ``per_value`` for each value, so no text is shuffled and no value gathers its rows in a task.
     """
     rates = df.groupBy(by).agg(F.least(F.lit(1.0), per_value / F.count(F.lit(1))).alias("__rate"))
     unit = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(rates, by).where(unit < F.col("__rate")).drop("__rate")
+    chosen = df.select(id_col, by).join(rates, by).where(unit < F.col("__rate")).select(F.col(id_col).alias("__id")).distinct()
+    return df.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).drop("__id")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:

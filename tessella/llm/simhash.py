@@ -155,7 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the document with the smallest id. Rows without an id stay."""
+    """``docs`` with one row of each near-duplicate group: the document with the smallest id.
+
+    Rows without an id stay. Rows that share an id count as one document, of which any row stays.
+    """
     kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))
