@@ -48,6 +48,13 @@ def count_members_matching(row_member: DataFrame, long_names: DataFrame, regex:
     return out.withColumn("n_hit", F.when(F.col("n_in") < max_rows, F.col("n_hit")))
 
 
+def members_matching_pvalue(row_member: DataFrame, long_names: DataFrame, regex: str, inclusive: bool = False) -> DataFrame:
+    """(k, n_in, n_hit, p_value): members whose description matches, with the hypergeometric tail against all described rows."""
+    counts = count_members_matching(row_member, long_names, regex, max_rows=1 << 62)
+    matching = long_names.where(F.col("long_name").rlike(f"(?i){regex}"))
+    return overlap_pvalue(counts, count_of(matching, "row_id"), count_of(long_names, "row_id"), count_of(row_member, "k"), inclusive)
+
+
 def enrich_terms(row_member: DataFrame, annotation: DataFrame, ontology: Sequence[str] | None = None, inclusive: bool = False) -> DataFrame:
     """(k, term, n_in, n_hit, n_tot, n_hit_tot, p_value) for terms with more than one hit.
 

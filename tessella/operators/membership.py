@@ -131,11 +131,17 @@ def merge_duplicates(scores: DataFrame, row_member: DataFrame, best_e: DataFrame
 
 
 def reseed_small(m: DataFrame, row_member: DataFrame, ks: DataFrame, least: int = 3, most: int = 70, n_new: int = 6, iteration: int = 0, seed: int = 1) -> DataFrame:
-    """New row members: clusters outside [least, most] restart from a random free row and its most
-    correlated free rows. A row wanted twice goes to the lower cluster number."""
-    size = ks.select("k").distinct().join(row_member.groupBy("k").agg(F.count(F.lit(1)).alias("_n")), "k", "left")
-    bad = size.where((F.coalesce("_n", F.lit(0)) <= least) | (F.coalesce("_n", F.lit(0)) >= most)).select("k")
-    free = m.select("row_id").distinct().join(row_member.join(bad, "k", "left_anti"), "row_id", "left_anti")
+    """Row members with new rows for ailing clusters.
+
+    Nothing happens unless a cluster has at most ``least`` rows. Then each of those, and each with ``most`` or more, gains a
+    random free row and its most correlated free rows; present members stay. A row wanted twice goes to the lower cluster.
+    """
+    now = row_member.select("k", "row_id")
+    size = ks.select("k").distinct().join(row_member.groupBy("k").agg(F.count(F.lit(1)).alias("_n")), "k", "left").select("k", F.coalesce("_n", F.lit(0)).alias("_n"))
+    if size.where(F.col("_n") <= least).isEmpty():
+        return now
+    bad = size.where((F.col("_n") <= least) | (F.col("_n") >= most)).select("k")
+    free = m.select("row_id").distinct().join(row_member, "row_id", "left_anti")
     order = indexed(bad, [], ["k"], "_o")
     pick = indexed(free.withColumn("_u", uniform("row_id", iteration, seed)), [], ["_u", "row_id"], "_o").select("row_id", "_o")
     seeds = order.join(pick, "_o").select("k", "row_id")
@@ -144,7 +150,17 @@ def reseed_small(m: DataFrame, row_member: DataFrame, ks: DataFrame, least: int
     near = tiles.top_correlated(vec, seeds, axis.count(), n_new - 1)
     grown = near.join(seeds.withColumnRenamed("row_id", "probe"), "probe").select("k", "row_id").join(seeds, "row_id", "left_anti")
     taken = grown.unionByName(seeds).groupBy("row_id").agg(F.min("k").alias("k"))
-    return row_member.select("k", "row_id").join(bad, "k", "left_anti").unionByName(taken.select("k", "row_id"))
+    return now.unionByName(taken.select(F.col("k").cast(now.schema["k"].dataType).alias("k"), "row_id"))
+
+
+def reseed_columns(m: DataFrame, col_member: DataFrame, ks: DataFrame, least: int = 0, n_new: int = 5, iteration: int = 0, seed: int = 1) -> DataFrame:
+    """Column members with up to ``n_new`` random free columns for every cluster of at most ``least`` columns."""
+    now = col_member.select("k", "col_id")
+    size = ks.select("k").distinct().join(col_member.groupBy("k").agg(F.count(F.lit(1)).alias("_n")), "k", "left")
+    order = indexed(size.where(F.coalesce("_n", F.lit(0)) <= least).select("k"), [], ["k"], "_o")
+    free = m.select("col_id").distinct().join(col_member, "col_id", "left_anti").withColumn("_u", uniform("col_id", iteration, seed))
+    pick = indexed(free, [], ["_u", "col_id"], "_p").select("col_id", (F.floor((F.col("_p") - 1) / n_new) + 1).alias("_o"))
+    return now.unionByName(order.join(pick, "_o").select(F.col("k").cast(now.schema["k"].dataType).alias("k"), "col_id"))
 
 
 def adjust_clusters(scores: DataFrame, row_member: DataFrame, limit: int = 100, q: float = 0.33, expand_only: bool = True, max_rows: int = 70, tries: int = 50) -> DataFrame:

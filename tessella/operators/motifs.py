@@ -475,9 +475,35 @@ def sequence_pvalue(hits: DataFrame, lengths: DataFrame, widths: DataFrame) -> D
     return hits.join(lengths, "id").join(widths, ["k", "mot"]).select("id", "k", "mot", "pos", "strand", "score", p.alias("pvalue"))
 
 
+def distinct_words(seqs: DataFrame, k: int) -> DataFrame:
+    """(row_id, word): the different pure ACGT words of each sequence as base-4 numbers, found piece by piece in the task."""
+    ids = seqs.select(F.col("id").alias("row_id"), "seq")
+
+    def run(batches):
+        for p in batches:
+            rows, words = [], []
+            for row, text in zip(p["row_id"], p["piece"]):
+                c = CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
+                n = min(len(c) - k + 1, PIECE)
+                if n > 0:
+                    window = np.lib.stride_tricks.sliding_window_view(c, k)[:n]
+                    seen = np.unique(window[(window < 4).all(axis=1)] @ (4 ** np.arange(k - 1, -1, -1)))
+                    rows.append(np.full(len(seen), row))
+                    words.append(seen)
+            if rows:
+                yield pd.DataFrame({"row_id": np.concatenate(rows), "word": np.concatenate(words)})
+
+    found = pieces(ids, k - 1).select("row_id", "piece").mapInPandas(run, T.StructType([ids.schema["row_id"], T.StructField("word", T.LongType())]))
+    return found.distinct()
+
+
+def word_text(word: Column, k: int) -> Column:
+    return F.concat(*[F.substring(F.lit("".join(LETTERS)), F.shiftright(word, 2 * j).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1)) for j in range(k - 1, -1, -1)])
+
+
 def kmer_enrichment(seqs: DataFrame, row_member: DataFrame, k: int = 6, min_size: int = 3, max_size: int = 70, n_best: int = 2) -> DataFrame:
     """(k, mot, kmer, n_hit, n_in, n_hit_tot, n_tot, p_value, e_value): words over-represented in clusters."""
-    words = kmers(seqs.select(F.col("id").alias("row_id"), "seq"), k).where(F.col("kmer").rlike("^[ACGT]+$")).select("row_id", "kmer").distinct()
+    words = materialize(distinct_words(seqs, k).select("row_id", F.col("word").alias("kmer")), "words")
     mem = row_member.join(seqs.select(F.col("id").alias("row_id")).distinct(), "row_id", "left_semi")
     size = mem.groupBy("k").agg(F.count(F.lit(1)).alias("n_in")).where(F.col("n_in").between(min_size, max_size))
     tot = words.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_hit_tot"))
@@ -488,7 +514,7 @@ def kmer_enrichment(seqs: DataFrame, row_member: DataFrame, k: int = 6, min_size
     c = c.where(F.col("n_hit") / F.col("n_in") > F.col("n_hit_tot") / F.col("n_tot"))
     d = lambda x: F.col(x).cast("double")
     p = dist.hypergeom_tail_inclusive(d("n_hit"), d("n_hit_tot"), d("n_tot") - d("n_hit_tot"), d("n_in"))
-    c = c.withColumn("p_value", p)
+    c = c.withColumn("p_value", p).withColumn("kmer", word_text(F.col("kmer"), k))
     w = Window.partitionBy("k").orderBy("p_value", F.desc("n_hit"), "kmer")
     best = c.withColumn("mot", F.row_number().over(w)).where(F.col("mot") <= n_best)
     return best.select("k", "mot", "kmer", "n_hit", "n_in", "n_hit_tot", "n_tot", "p_value", (F.col("p_value") * float(4 ** k)).alias("e_value"))

@@ -299,7 +299,7 @@ def fit_elastic_net(
         ok = np.isfinite(y) & np.isfinite(w)
         x, y, w = wide.to_numpy(dtype=float)[ok], y[ok], w[ok]
         empty = pd.DataFrame({"k": np.array([], dtype=np.int64), "boot": np.array([], dtype=np.int64), "predictor": np.array([], dtype=object), "coef": np.array([], dtype=float)})
-        if len(y) < 5:
+        if len(y) < 2:  # no spread to explain
             return empty
         if boot > 1:
             at = np.random.default_rng([seed, boot, int(k)]).integers(0, len(y), len(y))

@@ -20,7 +20,7 @@ from tessella.operators import scores as sc
 from tessella.operators import seeding as sd
 from tessella.operators import tiles
 from tessella.operators.matrix import overlay_matrices
-from tessella.session import materialize, spread
+from tessella.session import drop_unused, materialize, recorded, spread
 from tessella.sources import writers
 
 
@@ -32,6 +32,11 @@ class MotifSource:
 
     def __init__(self, seqs: DataFrame, width: int = 6, n_motifs: int = 2, sizes: tuple[int, int] = (3, 70)):
         self.seqs, self.width, self.n_motifs, self.sizes = materialize(seqs.select("id", "seq"), "seqs"), width, n_motifs, sizes
+        self.lengths = self.seqs.select("id", F.length("seq").alias("len"))
+        of = self.seqs.agg(*[F.sum(F.length("seq") - F.length(F.replace(F.col("seq"), F.lit(x), F.lit("")))).alias(x) for x in "ACGT"]).first()
+        total = sum(of[x] or 0 for x in "ACGT")
+        #: Letter shares of the sequences, the background of the log odds and of their null distributions.
+        self.background = {x: max(of[x], 1) / total for x in "ACGT"} if total else None
         self.members: DataFrame | None = None
         self.motifs: DataFrame | None = None
         self.pssm: DataFrame | None = None
@@ -43,7 +48,9 @@ class MotifSource:
             todo = row_member.join(mo.changed_clusters(self.members, row_member), "k", "left_semi")
         motifs, pssm = mo.discover_kmers(self.seqs, todo, self.width, self.n_motifs, min_size=self.sizes[0], max_size=self.sizes[1])
         pssm = materialize(pssm, "pssm")
-        found = mo.scan_pssm(self.seqs, pssm).groupBy("k", F.col("id").alias("row_id")).agg(F.min("pvalue").alias("pvalue"))
+        widths = pssm.groupBy("k", "mot").agg(F.max("pos").alias("w"))
+        whole = mo.sequence_pvalue(mo.scan_pssm(self.seqs, pssm, self.background), self.lengths, widths)
+        found = whole.groupBy("k", F.col("id").alias("row_id")).agg(F.min("pvalue").alias("pvalue"))
         if self.members is not None:
             same = row_member.select("k").distinct().join(todo.select("k").distinct(), "k", "left_anti")
             motifs = motifs.unionByName(self.motifs.join(same, "k", "left_semi"))
@@ -63,7 +70,9 @@ class BiclusterRun:
     ):
         self.spark, self.settings, self.motifs, self.groups = spark, settings, motifs, groups
         self.scaled_groups: DataFrame | None = None
-        self.matrices = {n: materialize(m.select("row_id", "col_id", "value"), "matrix") for n, m in matrices.items()}
+        self.scratch: list[str] = []
+        ready = settings.preprocess or (lambda m: m)
+        self.matrices = {n: materialize(ready(m).select("row_id", "col_id", "value"), "matrix") for n, m in matrices.items()}
         self.row_weights = settings.normalized(settings.row_weights or {n: 1.0 for n in matrices})
         self.networks = {n: materialize(e.select("src", "dst", "weight"), "network") for n, e in (networks or {}).items()}
         self.net_weights = settings.normalized(settings.net_weights or {n: 1.0 for n in [*self.networks, *(["groups"] if groups is not None else [])]})
@@ -146,7 +155,8 @@ class BiclusterRun:
         parts = {}
         for n, m in self.matrices.items():
             if self.row_weights.get(n):
-                full = sc.complete(sc.col_scores(m, self.row_member), self.axes[n], self.ks, "col_id")
+                per_row = self.settings.member_weights(m, self.row_member, self.col_member) if self.settings.member_weights else None
+                full = sc.complete(sc.col_scores(m, self.row_member, row_weights=per_row), self.axes[n], self.ks, "col_id")
                 parts[n] = (sc.fill_with_member_quantile(materialize(full, "scores"), self.col_member, "col_id"), self.row_weights[n])
         return sc.weighted_sum(parts, "col_id") if len(parts) > 1 else next(iter(parts.values()))[0]
 
@@ -206,13 +216,28 @@ class BiclusterRun:
         return materialize(mb.slots_to_members(mb.update_membership(cc, slots, self.per_col, s.max_change_cols, it, s.seed + 1, "col_id"), "col_id"), "members")
 
     def step(self) -> "BiclusterRun":
-        """One iteration. Rows and columns depend only on the scores, so both updates run side by side."""
+        """One iteration; tables that neither the new state nor the statistics read are dropped behind it."""
+        with recorded() as made:
+            self.iterate()
+        self.scratch = drop_unused(self.spark, self.scratch + made, self.frames())
+        return self
+
+    def frames(self) -> list[DataFrame]:
+        own = [getattr(self, f) for f in self.STATE.values()] + [self.scaled_groups, *self.stats]
+        if self.motifs is not None:
+            own += [getattr(self.motifs, f) for f in self.MOTIFS.values()]
+        return [df for df in own if df is not None]
+
+    def iterate(self) -> "BiclusterRun":
+        """Rows and columns depend only on the scores, so both updates run side by side."""
         s, it = self.settings, self.iteration + 1
         self.refresh_scores(it)
         with ThreadPoolExecutor(2) as pool:
             rows = pool.submit(inheritable_thread_target(self.spark)(self.next_rows), it)
             cols = pool.submit(inheritable_thread_target(self.spark)(self.next_cols), it)
             self.row_member, self.col_member = rows.result(), cols.result()
+        if s.merge_every and it % s.merge_every == 0:
+            self.merge_and_reseed(it)
         self.iteration = it
         if s.post_adjust and it == s.n_iter:
             self.adjust()
@@ -229,6 +254,15 @@ class BiclusterRun:
             self.step()
         return self
 
+    def merge_and_reseed(self, it: int) -> None:
+        """Fold near-equal clusters into one and restart what is left empty: rows by correlation, columns at random."""
+        s, m = self.settings, self.overlay()
+        merged, _ = mb.merge_duplicates(self.row, self.row_member, cutoff=s.merge_cutoff)
+        merged = materialize(merged, "members")
+        self.row_member = materialize(mb.reseed_small(m, merged, self.ks, *s.rows_allowed, 2 * s.rows_allowed[0], it, s.seed), "members")
+        emptied = self.col_member.join(self.row_member.select("k").distinct(), "k", "left_semi")
+        self.col_member = materialize(mb.reseed_columns(m, emptied, self.ks, iteration=it, seed=s.seed), "members")
+
     def adjust(self) -> None:
         """Final pass: adjust every cluster's rows on the combined scores, then score the new members."""
         self.refresh_scores(self.iteration, force=True)
@@ -313,7 +347,7 @@ class SamplingRun(BiclusterRun):
         n = max(self.settings.n_iter, 2)
         return 0.15 - 0.10 * (min(it, n) - 1) / (n - 1)
 
-    def step(self) -> "SamplingRun":
+    def iterate(self) -> "SamplingRun":
         s, it = self.settings, self.iteration + 1
         self.refresh_scores(it)
         w = s.scaling(it)

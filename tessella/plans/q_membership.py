@@ -97,7 +97,7 @@ def ecdf_density(spark, sf):
 
 
 def part_clusters(spark, sf):
-    li = t.read(spark, sf, "lineitem").where("l_quantity > 40")
+    li = t.read(spark, sf, "lineitem")
     return li.select((F.col("l_suppkey") % 25).cast("int").alias("k"), F.col("l_partkey").alias("row_id")).distinct()
 
 
@@ -105,13 +105,13 @@ def parts(spark, sf):
     return t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id"))
 
 
-@query("membership_slots", """with m as (select distinct (l_suppkey % 25)::int as k, l_partkey as row_id from lineitem where l_quantity > 40), l as (select p_partkey as row_id, coalesce(list(k order by k) filter (where k is not null), []) s from part left join m on row_id = p_partkey group by 1)
+@query("membership_slots", """with m as (select distinct (l_suppkey % 25)::int as k, l_partkey as row_id from lineitem), l as (select p_partkey as row_id, coalesce(list(k order by k) filter (where k is not null), []) s from part left join m on row_id = p_partkey group by 1)
 select row_id, list_concat(s, list_resize([]::int[], greatest(2 - len(s), 0), 0)) as slots from l""")
 def membership_slots(spark, sf):
     return mb.membership_slots(part_clusters(spark, sf), parts(spark, sf), 2)
 
 
-@query("slots_to_members", "select distinct (l_suppkey % 25)::int as k, l_partkey as row_id from lineitem where l_quantity > 40 and l_suppkey % 25 > 0")
+@query("slots_to_members", "select distinct (l_suppkey % 25)::int as k, l_partkey as row_id from lineitem where l_suppkey % 25 > 0")
 def slots_to_members(spark, sf):
     return mb.slots_to_members(mb.membership_slots(part_clusters(spark, sf), parts(spark, sf), 2))
 

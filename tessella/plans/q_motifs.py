@@ -294,7 +294,19 @@ def compare_pssms_weighted(spark, sf):
     return mo.compare_pssms(_pairs(spark, sf), t.pssm(spark, sf), "ed", weight=True).select("pair", "offset", "overlap", *r6("score"))
 
 
-@query("compare_pssms_spearman")
+def rank_sql(p, x):
+    """Rank of one letter's share among the four, ties shared, less one."""
+    return "(" + " + ".join(f"case when {p}{o} < {p}{x} then 1.0::double when {p}{o} = {p}{x} then 0.5::double else 0 end" for o in "acgt" if o != x) + ")"
+
+
+def rank_products(p, q):
+    return " + ".join(f"{rank_sql(p, x)} * {rank_sql(q, x)}" for x in "acgt")
+
+
+SPEAR = f"({rank_products('x', 'y')} - 9) / nullif(sqrt(({rank_products('x', 'x')} - 9) * ({rank_products('y', 'y')} - 9)), 0)"
+
+
+@query("compare_pssms_spearman", _cmp_sql(SPEAR))
 def compare_pssms_spearman(spark, sf):
     return mo.compare_pssms(_pairs(spark, sf), t.pssm(spark, sf), "spearman").select("pair", "offset", "overlap", *r6("score"))
 

@@ -144,13 +144,13 @@ def fuzzy_lookup(spark, sf):
     return nw.fuzzy_lookup(t.read(spark, sf, "customer"), "Customer#00000X042", "c_name")
 
 
-@query("attach_priors", """with pred as (select distinct l_suppkey % 25 as k, l_partkey as predictor from lineitem where l_quantity > 48), pri as (select l_suppkey % 25 as k, l_partkey as predictor, max(l_discount) * 10 as prior from lineitem group by 1, 2)
+@query("attach_priors", """with pred as (select distinct l_suppkey % 25 as k, l_partkey as predictor from lineitem), pri as (select l_suppkey % 25 as k, l_partkey as predictor, max(l_discount) * 10 as prior from lineitem group by 1, 2)
 select k, predictor, round(1.5 - coalesce(prior, 0.5), 6) as penalty from (select * from pred union select k, predictor from pri where prior >= 0.5 and predictor in (select p_partkey from part)) left join pri using (k, predictor)""")
 def attach_priors(spark, sf):
     li = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).alias("k"), F.col("l_partkey").alias("predictor"), "l_discount", "l_quantity")
     pri = li.groupBy("k", "predictor").agg((F.max("l_discount") * 10).alias("prior"))
     avail = t.read(spark, sf, "part").select(F.col("p_partkey").alias("predictor"))
-    return nw.attach_priors(li.where("l_quantity > 48").select("k", "predictor").distinct(), pri, avail).select("k", "predictor", *r6("penalty"))
+    return nw.attach_priors(li.select("k", "predictor").distinct(), pri, avail).select("k", "predictor", *r6("penalty"))
 
 
 def name_table(spark, sf):
@@ -256,9 +256,9 @@ def set_difference(spark, sf):
     return p.join(t.read(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("predictor")), "predictor", "left_anti").distinct()
 
 
-@query("membership_intersection", """with m as (select distinct l_suppkey % 25 as k, l_partkey as row_id from lineitem where l_quantity > 45) select a.k as a, b.k as b, count(*) as n from m a join m b using (row_id) where a.k < b.k group by 1, 2""")
+@query("membership_intersection", """with m as (select distinct l_suppkey % 25 as k, l_partkey as row_id from lineitem) select a.k as a, b.k as b, count(*) as n from m a join m b using (row_id) where a.k < b.k group by 1, 2""")
 def membership_intersection(spark, sf):
     from tessella.operators.tiles import column_correlations
 
-    m = t.read(spark, sf, "lineitem").where("l_quantity > 45").select((F.col("l_suppkey") % 25).alias("k"), F.col("l_partkey").alias("row_id")).distinct()
+    m = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).alias("k"), F.col("l_partkey").alias("row_id")).distinct()
     return column_correlations(m.withColumn("one", F.lit(1.0)), "row_id", "k", "one", floor=1).where("n > 0").select("a", "b", "n")

@@ -76,11 +76,11 @@ def positive_negative_split(spark, sf):
 
 
 def groups(spark, sf):
-    s = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("group_id"), F.col("l_partkey").alias("row_id"), "l_quantity").where("l_quantity > 48").drop("l_quantity")
-    return s.join(t.read(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("row_id")), "row_id", "left_semi").distinct()
+    s = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("group_id"), F.col("l_partkey").alias("row_id"))
+    return s.distinct()
 
 
-GROUPS = ", grps as (select distinct (l_suppkey % 20)::varchar as group_id, l_partkey as row_id from lineitem where l_quantity > 48 and l_partkey in (select p_partkey from part where p_size > 45))"
+GROUPS = ", grps as (select distinct (l_suppkey % 20)::varchar as group_id, l_partkey as row_id from lineitem)"
 
 
 @query("possibly_regulates", sql("sparse sparse_rows", PROF + PRED + FIT + GROUPS + """, sh as (select k, group_id, count(*) / any_value(n)::double share from grps join sparse_rows using (row_id) join (select group_id, count(*) n from grps group by 1) using (group_id) group by 1, 2)

@@ -373,6 +373,15 @@ def count_members_matching(spark, sf):
     return en.count_members_matching(t.sparse_rows(spark, sf), names, "RING|bolt")
 
 
+@query("members_matching_pvalue", """with c as (select regexp_extract(p_brand, '[0-9]+')::int as k, count(*)::double as n_in, (count(*) filter (where regexp_matches(p_name, '(?i)RING|bolt')))::double as n_hit from part group by 1 having count(*) > 1),
+t as (select count(*)::double as tot, (count(*) filter (where regexp_matches(p_name, '(?i)RING|bolt')))::double as m, count(distinct p_brand)::double as nk from part),
+e as (select c.*, t.*, unnest(range(n_hit::bigint + 1, least(m, n_in)::bigint + 1))::double as x from c, t)
+select c.k, c.n_in::bigint as n_in, c.n_hit::bigint as n_hit, round(coalesce(p, 0) * t.nk, 6) as p_value from c cross join t left join (select k, sum(""" + HYPER.format(m="m", n="(tot-m)", k="n_in") + """) p from e where n_in - x <= tot - m group by 1) using (k)""")
+def members_matching_pvalue(spark, sf):
+    names = t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("long_name"))
+    return en.members_matching_pvalue(t.sparse_rows(spark, sf), names, "RING|bolt").select("k", "n_in", "n_hit", *r6("p_value"))
+
+
 @query("enrich_terms", sql("sparse_rows annotation", """, c as (select r.k, a.term, count(*)::double n_hit, any_value(s.n)::double n_in, (select count(distinct row_id) from annotation)::double n_tot, any_value(b.n)::double n_hit_tot
 from sparse_rows r join annotation a using (row_id) join (select k, count(*) n from sparse_rows where row_id in (select row_id from annotation) group by 1) s using (k) join (select term, count(*) n from annotation group by 1) b using (term) group by 1, 2 having count(*) > 1),
 e as (select *, unnest(range(n_hit::bigint + 1, least(n_hit_tot, n_in)::bigint + 1))::double as x from c)
@@ -465,9 +474,9 @@ def members(spark, sf):
     return cl.members(c.join(big, "k", "left_semi"), c, t.sparse_rows(spark, sf), "col_id")
 
 
-@query("membership_histogram", "with m as (select distinct l_suppkey % 25 as k, l_partkey as row_id from lineitem where l_quantity > 25) select n as n_clusters, count(*) as n_rows from (select p_partkey, count(k) n from part left join m on row_id = p_partkey group by 1) group by 1")
+@query("membership_histogram", "with m as (select distinct l_suppkey % 25 as k, l_partkey as row_id from lineitem) select n as n_clusters, count(*) as n_rows from (select p_partkey, count(k) n from part left join m on row_id = p_partkey group by 1) group by 1")
 def membership_histogram(spark, sf):
-    m = t.read(spark, sf, "lineitem").where("l_quantity > 25").select((F.col("l_suppkey") % 25).alias("k"), F.col("l_partkey").alias("row_id")).distinct()
+    m = t.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).alias("k"), F.col("l_partkey").alias("row_id")).distinct()
     return cl.membership_histogram(m, t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id")))
 
 

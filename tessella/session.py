@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +44,35 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the scratch folders that are named inside the block."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def drop_unused(spark: SparkSession, paths: list[str], frames: Iterable[DataFrame]) -> list[str]:
+    """Deletes those of the scratch folders ``paths`` that none of ``frames`` reads, and returns the others."""
+    read = {f.rsplit("/", 2)[-2] for df in frames for f in df.inputFiles()}
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] in read]
+    for p in set(paths) - set(kept):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return kept
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _RECORDS:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

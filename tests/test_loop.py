@@ -63,3 +63,39 @@ def test_schedules():
     assert [i for i in range(1, 20) if s.nets_on(i)] == [1, 8, 15]
     assert [i for i in range(1, 25) if s.motifs_on(i)] == [2, 12, 22]
     assert ramp(1, 0, 1, 5) == 0 and ramp(9, 0, 1, 5) == 1 and s.scaling(50)[1] == 1e-5
+
+
+def test_reseeding(spark):
+    from tessella.operators import membership as mb
+
+    m = planted(spark)
+    ks = spark.range(1, 5).select(F.col("id").cast("int").alias("k"))
+    rows = spark.createDataFrame([(1, i) for i in range(0, 8)] + [(2, i) for i in range(8, 30)] + [(3, 30), (3, 31), (3, 32), (3, 33)], "k int, row_id long")
+    same = mb.reseed_small(m, rows, ks.where("k < 4"), 3, 20, 6)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, rows.collect()))
+    out = {tuple(r) for r in mb.reseed_small(m, rows, ks, 3, 20, 6).collect()}
+    old = {tuple(r) for r in rows.collect()}
+    assert old <= out and {k for k, _ in out - old} == {2, 4} and all(r >= 34 for _, r in out - old)
+    cols = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "k int, col_id int")
+    new = {tuple(r) for r in mb.reseed_columns(m, cols, ks).collect()} - {tuple(r) for r in cols.collect()}
+    assert len(new) == 5 and {k for k, _ in new} == {4} and all(c > 2 for _, c in new)
+
+
+def test_hooks_and_merging_in_the_loop(spark):
+    seen = []
+    run = BiclusterRun(spark, {"x": planted(spark)}, settings(
+        preprocess=lambda m: m.withColumn("value", F.col("value") * 2), on_iteration=lambda r: seen.append(r.iteration), merge_every=2, merge_cutoff=0.5,
+        member_weights=lambda m, rows, cols: rows.select("k", "row_id", F.lit(1.0).alias("weight")))).seed("random").run(2)
+    assert seen == [1, 2] and run.row_member.count() > 0 and run.matrices["x"].agg(F.max("value")).first()[0] > 5
+
+
+def test_superseded_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from tessella.session import shared_dir
+
+    run = BiclusterRun(spark, {"x": planted(spark)}, settings()).seed("random").run(4)
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = len(list(folder.iterdir()))
+    run.run(6)
+    assert len(list(folder.iterdir())) <= before + 2 and run.row_member.count() and run.row.count()
