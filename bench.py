@@ -36,7 +36,7 @@ def loop_iteration(spark, sf: str) -> float:
     li = t.read(spark, sf, "lineitem")
     m = li.groupBy((F.col("l_partkey") % 2072).alias("row_id"), (F.xxhash64("l_orderkey", "l_linenumber") % 134 + 134).cast("int").alias("col_id")).agg(F.avg("l_extendedprice").alias("p")).select("row_id", "col_id", F.log("p").alias("value"))
     e = li.select((F.col("l_partkey") % 2072).alias("src"), (F.col("l_suppkey") * 7 % 2072).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    seqs = t.contigs(spark, sf).where("contig < 2072").select(F.col("contig").alias("id"), "seq")
+    seqs = t.contigs(spark, sf).where("contig < 2072").select(F.col("contig").alias("id"), F.substring("seq", 1, 250).alias("seq"))
     motifs = MotifSource(seqs)
     run = BiclusterRun(spark, {"ratios": m}, Settings(n_clusters=250, n_iter=2000, stats_every=10), networks={"n": e}, motifs=motifs).seed("random")
     run.step()
