@@ -1,8 +1,9 @@
-"""SimHash fingerprints and near-duplicate groups by pivot distance tables."""
+"""SimHash fingerprints and near-duplicate groups by pivot distance tables; near copies by shingle similarity."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -18,19 +19,30 @@ from tessella.session import materialize
 PIVOTS = [xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(24)]
 #: Fingerprints of one candidate bucket that are compared by the pivot table; fuller buckets take the shared-neighbour way.
 BUCKET_ROWS = 256
+#: Words of a shingle and least Jaccard similarity, in fifths, of near copies.
+COPY_WORDS, COPY_FIFTHS = 5, 4
+#: Counters that order shingles from rare to common. Any table gives the same links, a finer one fewer candidates.
+SLOTS = 1 << 18
+
+
+def shingles(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all ``size``-word strings in order; of fewer words, of the one string they form; none of no word."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    text, size = b" ".join(words), min(size, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(text[i:j], seed) for i, j in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
 
 
 def fingerprint(words: list[bytes], size: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of a word list: a bit is set if over half the shingle hashes have it; no word gives zero."""
     if not words:
         return 0
-    text = b" ".join(words)
     if len(words) < size:
-        return xxhash.xxh64_intdigest(text, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[i:j], seed) for i, j in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
+        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+    hashes = shingles(words, size, seed)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo : lo + (1 << 16)]
@@ -154,13 +166,142 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _words(text: bytes) -> np.ndarray:
+    return np.unique(shingles(text.translate(ASCII_LOWER).split(), COPY_WORDS))
+
+
+def _slot_counts(docs: DataFrame) -> np.ndarray:
+    """How often the shingles of each of ``SLOTS`` hash classes occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                np.add.at(n, (_words(text) % np.uint64(SLOTS)).astype(np.int64), 1)
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], names=["slot", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _parities(h: np.ndarray) -> bytes:
+    """Bitmap of at least as many bits as ``h`` has members: a bit is set if an odd number of members fall on it."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    n = np.bincount((h >> np.uint64(20)).astype(np.uint64) % np.uint64(bits), minlength=bits) & 1 if len(h) else np.zeros(bits, np.int64)
+    return np.packbits(n.astype(np.uint8)).tobytes()
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, set_id, n, tokens, bits) of every row of ``docs(doc_id, text)``: the set of a whole text's shingles.
+
+    ``set_id`` hashes the set and ``n`` counts it; ``tokens`` are its rarest shingles, as many as it can lack and still be
+    similar, and one more; ``bits`` are its parities.
+    """
+    counts = _slot_counts(docs)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, set_id bigint, n bigint, tokens array<bigint>, bits binary"
+
+    def work(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"set_id": [], "n": [], "tokens": [], "bits": []}
+        for text in utf8(batch.column(2)):
+            h = _words(text)
+            by = np.lexsort((h, counts[(h % np.uint64(SLOTS)).astype(np.int64)]))
+            out["set_id"].append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64)))
+            out["n"].append(len(h))
+            out["tokens"].append(h[by[: len(h) + COPY_FIFTHS * len(h) // -5 + 1]].view(np.int64) if len(h) else [])
+            out["bits"].append(_parities(h))
+        return {"doc_id": batch.column(0), "text_hash": batch.column(1)} | out
+
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), schema, work)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` without those whose parities differ in more bits than similar sets have members of one only."""
+    both = pairs.join(nodes.toDF("a", "n", "x"), "a").join(nodes.toDF("b", "m", "y"), "b")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        keep = np.zeros(batch.num_rows, bool)
+        columns = [batch.column(c).to_pylist() for c in ("n", "m", "x", "y")]
+        for i, (n, m, x, y) in enumerate(zip(*columns)):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            if len(x) != len(y):
+                x, y = (_folded(v, min(len(x), len(y))) for v in (x, y))
+            keep[i] = 9 * int(popcount(x ^ y).sum()) <= n + m
+        return {c: pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")}
+
+    near = both.where(5 * F.least("n", "m") >= COPY_FIFTHS * F.greatest("n", "m"))
+    return map_rows(near.select("a", "b", "n", "m", "x", "y"), "a bigint, b bigint", work)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets are similar; sets are made again from the texts of the pairs left."""
+    nodes = sets.select("set_id", "n", "bits").dropDuplicates(["set_id"])
+    pairs = materialize(_possible(pairs, nodes), "possible")
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    chosen = sets.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("text_hash").alias("__hash"))
+    held = docs.select("text", F.xxhash64("text").alias("__hash")).join(chosen, "__hash").groupBy("set_id").agg(F.min("text").alias("text"))
+    held = materialize(held, "held")
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        keep = np.zeros(batch.num_rows, bool)
+        few = lru_cache(256)(lambda text: _words(text.encode()))
+        known = lambda text: few(text) if len(text) < 1 << 16 else _words(text.encode())
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            x, y = (known(v.as_py()) for v in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep[i] = 5 * common >= COPY_FIFTHS * (len(x) + len(y) - common)
+        return {c: pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")}
+
+    return map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", work)
+
+
+def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all sets of ``sets`` with a Jaccard similarity of four fifths or more.
+
+    Similar sets share a token, whatever the order of shingles (prefix filter), so no pair is lost, which no SimHash distance
+    assures. All sets of a token are first compared with the least and the greatest one there; then the pairs that these
+    links do not connect yet are compared, so a group of near copies never lists its pairs. Of a pair, the first token in
+    common tells how many more there can be.
+    """
+    tokens = sets.select("set_id", "n", F.posexplode("tokens").alias("at", "token"))
+    ends = tokens.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
+    shared = materialize(tokens.join(ends, "token").distinct(), "shared")
+    star = shared.select("set_id", F.explode(F.array("low", "high")).alias("end")).where("set_id <> end")
+    star = materialize(star.select(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).distinct(), "star")
+    links = materialize(_similar(star, sets, docs), "near")
+    part = shared.select("token", "set_id", "n", "at").join(components(links).toDF("set_id", "part"), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    part = materialize(part, "parts")
+    split = part.groupBy("token").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("token")
+    part = part.join(split, "token", "left_semi")
+    other = part.toDF(*[f"{c}2" for c in part.columns])
+    n, m = F.col("n"), F.col("n2")
+    can = (5 * F.least(n, m) >= COPY_FIFTHS * F.greatest(n, m)) & (9 * F.least(n - F.col("at"), m - F.col("at2")) >= COPY_FIFTHS * (n + m))
+    rest = part.join(other, (F.col("token") == F.col("token2")) & (F.col("set_id") < F.col("set_id2")) & (F.col("part") != F.col("part2")) & can)
+    rest = rest.select(F.col("set_id").alias("a"), F.col("set_id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    return links.unionByName(_similar(materialize(rest, "rest"), sets, docs))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the document with the smallest id.
+    """``docs`` with one row of each group of near copies: the document with the smallest id.
 
-    Rows without an id stay. Rows that share an id count as one document, of which any row stays.
+    Near copies have five-word shingle sets with a Jaccard similarity of 0.8 or more, directly or in steps; texts without a
+    word are copies of each other. Rows without an id stay. A row of an id that other rows share stays only if its own text
+    represents a group; of several such rows of one id, one stays, the first by the hash of its text.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(shingle_sets(docs.select("doc_id", "text")), "sets")
+    found = components(materialize(copy_links(sets, docs), "links")).toDF("set_id", "part")
+    rows = sets.where("doc_id is not null").select("doc_id", "text_hash", "set_id").join(found, "set_id", "left")
+    first = rows.groupBy(F.coalesce("part", "set_id").alias("part")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    kept = first.groupBy(F.col("r.doc_id").alias("__kept")).agg(F.min("r.text_hash").alias("__hash"))
+    same = (F.col("doc_id") == F.col("__kept")) & (F.xxhash64("text") == F.col("__hash"))
+    with_id = docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))
 
 

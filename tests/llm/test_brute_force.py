@@ -302,3 +302,40 @@ def test_links_of_random_fingerprints(spark, bucket_rows, monkeypatch):
     got = {x.node: x.component for x in components(links.toDF("a", "b")).collect()}
     want = linked({p: p % (1 << 64) for p in signed})
     assert {p: got.get(p, p) for p in signed} == want
+
+
+def test_near_copies_of_five_words(spark):
+    from tessella.llm import simhash as op
+
+    r = random.Random(3)
+    texts = {}
+    for g in range(12):
+        base = prose(100 + g, 150).split()
+        for c in range(8):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randrange(6)):
+                w[at] = f"x{g}y{c}"
+            texts[len(texts)] = " ".join(w)
+    own = " ".join(f"w{i}" for i in range(60))
+    texts |= {200 + i: own + " " + " ".join(f"v{i}z{j}" for j in range(10)) for i in range(30)}  # much in common, not enough
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    group = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                lo, hi = sorted((group[a], group[b]))
+                group = {i: lo if g == hi else g for i, g in group.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert len(set(group.values())) < 100 and {x.doc_id for x in op.keep_one(docs).collect()} == set(group.values())
+
+
+def test_shared_id_keeps_the_text_that_represents(spark):
+    from tessella.llm.simhash import keep_one
+
+    a, b = prose(31, 80), prose(32, 80)
+    rows = [(3, a), (5, a + " end"), (5, b), (9, b)]
+    for order in (rows, rows[::-1]):
+        assert sorted((x.doc_id, x.text) for x in keep_one(spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)).collect()) == [(3, a), (5, b)]
