@@ -8,7 +8,8 @@ A string of ``SPAN`` bytes that starts in a document goes if it starts in a docu
 2. A bucket task takes its runs in as a stream. Runs of equal content are one: the smallest document stays, the others are
    covered whole. Where different contents share a minimizer, each is asked for; over ``HOT`` contents of one minimizer are
    asked for window by window, so that a passage of very many documents spreads over all tasks.
-3. The documents asked send those runs' bytes to the partition of the minimizer (or of the window).
+3. The documents asked send those runs' bytes to the partition of the minimizer. Single windows are aggregated to their least
+   document and joined with it, so no task gathers the records of a window.
 4. There all windows are put in suffix order. The previous and the next entry of a smaller document, with the common prefix
    up to it, give the longest previous factor; ``SPAN`` or more means the window goes.
 5. The removed ranges meet their texts. Texts are compressed on both trips.
@@ -16,7 +17,6 @@ A string of ``SPAN`` bytes that starts in a document goes if it starts in a docu
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -229,7 +229,7 @@ def ranges(first: np.ndarray, windows: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _answers(batch: pa.RecordBatch) -> dict:
-    """Documents with asks -> one row of covered ranges each, and a row for every piece that has to be sorted."""
+    """Documents with asks -> one row of covered ranges each, and a row for every piece: with a route it has to be sorted, without it is one window."""
     out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "route", "at", "piece", "cuts")}
     ids, sums, asks = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("asks")
     unpack = zstandard.ZstdDecompressor().decompress
@@ -253,8 +253,7 @@ def _answers(batch: pa.RecordBatch) -> dict:
                 add(i, route=int(r["key"][n].view(np.int64)), at=a, piece=text[a : a + c + SPAN - 1])
             elif w == BY_WINDOW:
                 for k in range(a, a + c):
-                    piece = text[k : k + SPAN]
-                    add(i, route=int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True), at=k, piece=piece)
+                    add(i, at=k, piece=text[k : k + SPAN])
     return out
 
 
@@ -329,10 +328,13 @@ def find_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     asks = materialize(asks, "asks").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("asks")).alias("asks"))
     answers = map_rows(asks.join(_packed(keyed), ["doc_id", "text_hash"]), "doc_id bigint, text_hash bigint, route bigint, at int, piece binary, cuts array<int>", _answers)
     answers = materialize(answers, "answers")
-    pieces = answers.where("piece is not null").select("doc_id", "text_hash", "route", "at", "piece")
+    pieces = answers.where("route is not null").select("doc_id", "text_hash", "route", "at", "piece")
+    windows = answers.where("piece is not null and route is null").select("doc_id", "text_hash", "at", "piece")
+    first = windows.groupBy("piece").agg(F.min("doc_id").alias("first_doc"))
+    later = windows.join(first, "piece").where("doc_id > first_doc").select("doc_id", "text_hash", F.array("at", F.col("at") + SPAN).alias("cuts"))
     groups = max(1, math.ceil((pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) / SORT_BYTES))
     found = pieces.withColumn("group", F.pmod(F.xxhash64("route"), F.lit(groups))).groupBy("group").applyInArrow(_sorted_pieces, "doc_id bigint, text_hash bigint, cuts array<int>")
-    every = answers.where("cuts is not null").select("doc_id", "text_hash", "cuts").unionByName(found)
+    every = answers.where("cuts is not null").select("doc_id", "text_hash", "cuts").unionByName(found).unionByName(later)
     return every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
 

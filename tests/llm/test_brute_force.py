@@ -339,3 +339,19 @@ def test_shared_id_keeps_the_text_that_represents(spark):
     rows = [(3, a), (5, a + " end"), (5, b), (9, b)]
     for order in (rows, rows[::-1]):
         assert sorted((x.doc_id, x.text) for x in keep_one(spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)).collect()) == [(3, a), (5, b)]
+
+
+def test_windows_of_many_documents_are_not_gathered(spark, monkeypatch):
+    from tessella.llm import suffix_dedup as op
+
+    plain = op._sorted_pieces
+
+    def few(table):
+        assert table.num_rows < 100, "the records of one window met in a task"
+        return plain(table)
+
+    monkeypatch.setattr(op, "_sorted_pieces", few)
+    shared = prose(41, 30)
+    rows = [(i, prose(1000 + i, 12) + shared + prose(5000 + i, 12)) for i in range(300)]
+    got = span_rows(op.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot=4))
+    assert got == repeats([(i, t.encode()) for i, t in rows])
