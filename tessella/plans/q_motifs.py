@@ -28,6 +28,17 @@ def background_model(spark, sf):
     return mo.background_model(seqs(spark, sf), 1).select("kmer", "ord", *r6("freq"))
 
 
+KM4 = """, s as (select seq from contigs union select reverse(translate(seq, 'ATCG', 'TAGC')) from contigs), x as (select seq, unnest(range(1, length(seq) + 1))::int as i from s),
+c as (select o, substr(seq, i, o + 1) as kmer, count(*)::double as n from x, (select unnest([0, 1, 2, 3]) as o) where i + o <= length(seq) group by 1, 2), l as (select unnest(['A', 'C', 'G', 'T']) as x),
+al as (select 0 as o, x as kmer from l union all select 1, a.x || b.x from l a, l b union all select 2, a.x || b.x || c.x from l a, l b, l c union all select 3, a.x || b.x || c.x || d.x from l a, l b, l c, l d),
+tot as (select o, sum(n) as t from c group by 1) """
+
+
+@query("background_model_whole", sql("contigs", KM4 + "select al.kmer, al.o as ord, round(coalesce(n, 0.1::double) / t, 6) as freq from al left join c on c.o = al.o and c.kmer = al.kmer join tot on tot.o = al.o"))
+def background_model_whole(spark, sf):
+    return mo.background_model(seqs(spark, sf)).select("kmer", "ord", *r6("freq"))
+
+
 @query("kmer_table", sql("contigs", """, s as (select distinct seq from contigs), l as (select unnest(['A', 'C', 'G', 'T']) x),
 al as (select a.x || b.x || c.x || d.x || e.x || f.x as kmer from l a, l b, l c, l d, l e, l f), k as (select substr(seq, i::int, 6) kmer, count(*) n from s, unnest(range(1, length(seq) - 4)) r(i) group by 1)
 select kmer, coalesce(n, 0) + 1 as n from al left join k using (kmer)"""))
@@ -379,6 +390,12 @@ def motif_pvalue_matrix(spark, sf):
     return mo.motif_pvalue_matrix(t.hits(spark, sf), list(range(5))).select("row_id", *[F.round(F.col(str(k)), 8).alias(str(k)) for k in range(5)])
 
 
+@query("motif_pvalue_matrix_whole", sql("hits", "select row_id, " + ", ".join(f'round(min(pvalue) filter (where k = {k}), 8) as "{k}"' for k in range(t.HIT_CLUSTERS)) + " from hits group by 1"))
+def motif_pvalue_matrix_whole(spark, sf):
+    ks = list(range(t.HIT_CLUSTERS))
+    return mo.motif_pvalue_matrix(t.hits(spark, sf), ks).select("row_id", *[F.round(F.col(str(k)), 8).alias(str(k)) for k in ks])
+
+
 @query("scan_pssm")
 def scan_pssm(spark, sf):
     return mo.scan_pssm(upstream(spark, sf).select("id", "seq"), t.pssm(spark, sf))

@@ -76,9 +76,13 @@ def edges(spark, sf):
             .agg(F.sum("weight").alias("weight")))
 
 
+#: Clusters of ``hits``.
+HIT_CLUSTERS = 25
+
+
 def hits(spark, sf):
     li = read(spark, sf, "lineitem")
-    return li.groupBy((F.col("l_suppkey") % 25).cast("int").alias("k"), F.col("l_partkey").alias("row_id")).agg(
+    return li.groupBy((F.col("l_suppkey") % HIT_CLUSTERS).cast("int").alias("k"), F.col("l_partkey").alias("row_id")).agg(
         F.min((F.col("l_discount") + 0.001) * (F.col("l_tax") + 0.01)).alias("pvalue"))
 
 

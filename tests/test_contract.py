@@ -32,3 +32,7 @@ def test_query_equals_sql(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(entry.oracle_sql()[name])
     assert rows and not compare(rows, df.columns, cur.fetchall(), [d[0] for d in cur.description])
+
+
+def test_motif_queries_without_a_cut():
+    assert {"motif_pvalue_matrix_whole", "background_model_whole"} <= set(entry.queries()) & set(entry.oracle_sql())
