@@ -14,8 +14,10 @@ from tessella.session import materialize
 
 #: Bytes of text that one numpy step works on. A longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: Rows of an Arrow batch: what a Python worker holds at once, several times over while it works.
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once, several times over while it works. A batch ends at
+#: the row with which it reaches either; a longer document is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 #: Maps A-Z to a-z in UTF-8 bytes and leaves all else.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -54,6 +56,7 @@ def map_rows(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.Recor
 
     arrow = to_arrow_schema(schema)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
