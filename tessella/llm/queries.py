@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessella.llm.byte_codec import op11_byte_bpe
 from tessella.llm.decontam import OP8_SQL, op8_benchmark_leaks
+from tessella.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from tessella.llm.host_rules import OP3_SQL, op3_host_rules
 from tessella.llm.langid import op6_language_id
 from tessella.llm.pii import op7_personal_data
@@ -24,4 +26,6 @@ QUERIES = {
     "op8_benchmark_leaks": (op8_benchmark_leaks, OP8_SQL),
     "op9_shards": (op9_shards, None),
     "op10_simhash_groups": (op10_simhash_groups, None),
+    "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
 }
