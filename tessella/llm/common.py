@@ -104,3 +104,15 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+def keep_best(score: np.ndarray, found: np.ndarray, row: np.ndarray, new_score: np.ndarray, new_id: np.ndarray) -> None:
+    """Takes new (row, score, id) entries into tables of the best of each row, in place: highest score, then smallest id."""
+    changed, keep = np.unique(row), score.shape[1]
+    row = np.concatenate((row, np.repeat(changed, keep)))
+    new_score, new_id = np.concatenate((new_score, score[changed].ravel())), np.concatenate((new_id, found[changed].ravel()))
+    by = np.lexsort((new_id, -new_score, row))
+    row, new_score, new_id = row[by], new_score[by], new_id[by]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    first = nth < keep
+    score[row[first], nth[first]], found[row[first], nth[first]] = new_score[first], new_id[first]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessella.llm.common import BATCH_BYTES, read
+from tessella.llm.common import BATCH_BYTES, keep_best, read
 from tessella.session import materialize, spread
 
 #: Components of this size or more (after scaling) have no exact product in 64 bits; rows that hold one take no part.
@@ -205,15 +205,7 @@ class Rows:
         d = min(self.queries.shape[1], tree.points.shape[1])
         score = np.einsum("ij,ij->i", self.queries[of, :d].astype(np.int64), tree.points[point, :d].astype(np.int64))
         fits = (score >= self.floor()[row]) & (score <= self.most[row])
-        row, score, ids = row[fits], score[fits], tree.ids[point[fits]]
-        changed = np.unique(row)
-        row = np.concatenate((row, np.repeat(changed, self.keep)))
-        score, ids = np.concatenate((score, self.score[changed].ravel())), np.concatenate((ids, self.found[changed].ravel()))
-        by = np.lexsort((ids, -score, row))
-        row, score, ids = row[by], score[by], ids[by]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        first = nth < self.keep
-        self.score[row[first], nth[first]], self.found[row[first], nth[first]] = score[first], ids[first]
+        keep_best(self.score, self.found, row[fits], score[fits], tree.ids[point[fits]])
 
     def results(self) -> dict[str, np.ndarray]:
         row, k = np.nonzero(self.score > LEAST)

@@ -7,6 +7,7 @@ from tessella.llm.decontam import OP8_SQL, op8_benchmark_leaks
 from tessella.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from tessella.llm.host_rules import OP3_SQL, op3_host_rules
 from tessella.llm.langid import op6_language_id
+from tessella.llm.lexical import OP13_SQL, op13_lexical_search
 from tessella.llm.pii import op7_personal_data
 from tessella.llm.piece_codec import op4_sentencepiece
 from tessella.llm.quality import op1_quality
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_simhash_groups": (op10_simhash_groups, None),
     "op11_byte_bpe": (op11_byte_bpe, None),
     "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_lexical_search": (op13_lexical_search, OP13_SQL),
 }
