@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,26 @@ from tessella.llm.common import BATCH_BYTES, BATCH_ROWS, blocks, keep_best, read
 from tessella.llm.decontam import PASS_BYTES, words_of
 
 #: Children of a node; documents of a leaf of theirs, items of a leaf of theirs.
-FAN, LEAF_DOCS, LEAF_ITEMS = 8, 16, 8
+FAN, LEAF_DOCS, LEAF_ITEMS = 4, 4, 2
+#: Columns that an item's terms are folded into to find items alike.
+FOLDED = 256
 #: Text of one document tree, and cells (documents x terms that occur) of its matrix.
 TREE_BYTES, CELLS = 2 << 20, 1 << 22
 TOP = 20
 NO_SCORE, NO_ID, NULL_ID = -(1 << 62), 1 << 62, (1 << 62) - 1
 
 
+def together(rows: np.ndarray) -> np.ndarray:
+    """An order in which rows that point the same way are neighbours: nearest of some pivot rows, then the sum of the row."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    worth = rows.sum(axis=1)
+    by = np.argsort(-worth, kind="stable")
+    pivots = by[np.linspace(0, len(by) - 1, min(len(by), math.isqrt(len(by)) + 1)).astype(np.int64)]
+    unit = (rows / np.maximum(1, np.sqrt(np.square(rows.astype(np.float64)).sum(axis=1)))[:, None]).astype(np.float32)
+    return np.lexsort((-worth, (unit @ unit[pivots].T).argmax(axis=1)))
+
+
 class Items:
     """Items of one pass: their terms, weights, and the tree of largest counts.
 
@@ -59,8 +73,10 @@ class Items:
             term, count = np.fromiter(map(self.vocab.get, w), np.int64, len(w)), np.fromiter(w.values(), np.int64, len(w))
             by = np.argsort(term)
             counted.append((term[by], count[by]))
-        # items whose weightiest terms agree stand together
-        order = sorted(range(len(counted)), key=lambda i: (counted[i][0][np.argsort(-self.weight[counted[i][0]] * counted[i][1], kind="stable")][:4].tolist(), i))
+        folded = np.zeros((len(counted), FOLDED), np.float32)
+        for row, (t, c) in zip(folded, counted):
+            np.add.at(row, t % FOLDED, self.weight[t] * c)
+        order = together(folded).tolist()
         self.names, counted = [self.names[i] for i in order], [counted[i] for i in order]
         self.words = []
         self.exact_in_double = max((int(c.sum()) for _, c in counted), default=0) * int(self.weight.max(initial=0)) * 1_000_000 < 1 << 53
@@ -94,22 +110,22 @@ class Search:
         self.scored = 0
 
     def add(self, ids: np.ndarray, texts: list[bytes]) -> None:
-        get, parts = self.items.vocab.get, []
-        sizes = np.zeros(len(texts), np.int64)
+        get, width = self.items.vocab.get, len(self.items.vocab)
+        sizes, known = np.zeros(len(texts), np.int64), []
         for i, t in enumerate(texts):
             w = words_of(t)
             sizes[i] = len(w)
-            term = np.fromiter((k for x in w if (k := get(x)) is not None), np.int64)
-            term, tf = np.unique(term, return_counts=True)
-            parts.append((np.full(len(term), i), term, tf))
-        doc, term, tf = (np.concatenate(x) for x in zip(*parts))
-        if not len(doc):
+            known.append(np.fromiter(map(get, w, repeat(-1)), np.int64, len(w)))
+        term = np.concatenate(known)
+        cell, tf = np.unique((np.repeat(np.arange(len(texts)), sizes) * width + term)[term >= 0], return_counts=True)
+        if not len(cell):
             return
+        doc, term = np.divmod(cell, width)
         n, total = self.items.n_docs, self.items.n_terms
         length = np.array([75 + 25 * s * n // total for s in sizes.tolist()], np.int64)
         value = self.items.weight[term] * (1_000_000_000 * tf // (1000 * tf + 12 * length[doc]))
         place = np.empty(len(texts), np.int64)
-        place[order := np.argsort(length, kind="stable")] = np.arange(len(texts))  # like lengths stand together
+        place[order := np.argsort(length, kind="stable")] = np.arange(len(texts))  # if the block is halved, by length
         self._grow(ids[order], place[doc], term, value)
 
     def _grow(self, ids: np.ndarray, doc: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
@@ -123,7 +139,8 @@ class Search:
             return
         leaf = np.zeros((len(ids), len(present)), np.float64 if self.items.exact_in_double else np.int64)
         leaf[doc, col] = value
-        self.ids, self.leaf = ids, leaf
+        order = together(leaf)
+        self.ids, self.leaf = ids[order], (leaf := leaf[order])
         self.col_of = np.full(len(self.items.vocab), -1, np.int64)
         self.col_of[present] = np.arange(len(present))
         self.levels, size = [], LEAF_DOCS
