@@ -355,3 +355,18 @@ def test_windows_of_many_documents_are_not_gathered(spark, monkeypatch):
     rows = [(i, prose(1000 + i, 12) + shared + prose(5000 + i, 12)) for i in range(300)]
     got = span_rows(op.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot=4))
     assert got == repeats([(i, t.encode()) for i, t in rows])
+
+
+def test_fingerprints_find_the_near_copies_of_the_table(spark):
+    """Pairs of different texts of the given table, all against all: at least nine in ten must be linked."""
+    from tessella.llm import simhash as op
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = op.shingle_sets(docs).cache()
+    texts = {r.set_id: set(op._words((r.text or "").encode()).tolist()) for r in docs.join(sets.select("doc_id", "set_id"), "doc_id").collect()}
+    links = {frozenset((r.a, r.b)) for r in op.copy_links(sets, docs).collect()}
+    ids = sorted(texts)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * min(len(texts[a]), len(texts[b])) >= 4 * max(len(texts[a]), len(texts[b])) > 0]
+    near = {frozenset(p) for p in pairs if 5 * len(texts[p[0]] & texts[p[1]]) >= 4 * len(texts[p[0]] | texts[p[1]])}
+    assert links <= near and len(links) >= 0.9 * len(near) > 0, (len(links), len(near))
+    print("pairs", len(near), "linked", len(links))
