@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -11,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import ASCII_LOWER, blocks, components, map_rows, popcount, read, utf8
 from tessella.session import materialize
@@ -21,8 +23,10 @@ PIVOTS = [xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(24)]
 BUCKET_ROWS = 256
 #: Words of a shingle and least Jaccard similarity, in fifths, of near copies.
 COPY_WORDS, COPY_FIFTHS = 5, 4
-#: Counters that order shingles from rare to common. Any table gives the same links, a finer one fewer candidates.
-SLOTS = 1 << 18
+#: Share of the pairs at the least similarity that meet as candidates, and bits in which candidates differ at most.
+RECALL, NEAR_BITS = 0.95, 17
+#: Tables that join the large groups first, and nodes of a bucket beyond which it is cut into chunks.
+STAR_TABLES, BUCKET_NODES = 8, 2048
 
 
 def shingles(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
@@ -42,7 +46,11 @@ def fingerprint(words: list[bytes], size: int = 3, seed: int = 42) -> int:
         return 0
     if len(words) < size:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    hashes = shingles(words, size, seed)
+    return majority(shingles(words, size, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo : lo + (1 << 16)]
@@ -170,23 +178,6 @@ def _words(text: bytes) -> np.ndarray:
     return np.unique(shingles(text.translate(ASCII_LOWER).split(), COPY_WORDS))
 
 
-def _slot_counts(docs: DataFrame) -> np.ndarray:
-    """How often the shingles of each of ``SLOTS`` hash classes occur."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                np.add.at(n, (_words(text) % np.uint64(SLOTS)).astype(np.int64), 1)
-        slot = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], names=["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
 def _parities(h: np.ndarray) -> bytes:
     """Bitmap of at least as many bits as ``h`` has members: a bit is set if an odd number of members fall on it."""
     bits = max(64, 1 << (len(h) - 1).bit_length())
@@ -195,26 +186,25 @@ def _parities(h: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, n, tokens, bits) of every row of ``docs(doc_id, text)``: the set of a whole text's shingles.
+    """(doc_id, text_hash, row_hash, set_id, n, fp, bits) of every row of ``docs``: the set of a whole text's shingles.
 
-    ``set_id`` hashes the set and ``n`` counts it; ``tokens`` are its rarest shingles, as many as it can lack and still be
-    similar, and one more; ``bits`` are its parities.
+    ``set_id`` hashes the set and ``n`` counts it; ``fp`` is its SimHash fingerprint and ``bits`` its parities. ``row_hash``
+    covers all columns but maps.
     """
-    counts = _slot_counts(docs)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, set_id bigint, n bigint, tokens array<bigint>, bits binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, row_hash bigint, set_id bigint, n bigint, fp bigint, bits binary"
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"set_id": [], "n": [], "tokens": [], "bits": []}
-        for text in utf8(batch.column(2)):
+        out: dict[str, list] = {"set_id": [], "n": [], "fp": [], "bits": []}
+        for text in utf8(batch.column(3)):
             h = _words(text)
-            by = np.lexsort((h, counts[(h % np.uint64(SLOTS)).astype(np.int64)]))
             out["set_id"].append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64)))
             out["n"].append(len(h))
-            out["tokens"].append(h[by[: len(h) + COPY_FIFTHS * len(h) // -5 + 1]].view(np.int64) if len(h) else [])
+            out["fp"].append(int(np.uint64(majority(h)).view(np.int64)))
             out["bits"].append(_parities(h))
-        return {"doc_id": batch.column(0), "text_hash": batch.column(1)} | out
+        return dict(zip(("doc_id", "text_hash", "row_hash"), batch.columns)) | out
 
-    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), schema, work)
+    hashed = F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), hashed.alias("row_hash"), "text"), schema, work)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -262,30 +252,109 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", work)
 
 
+def table_bits(nodes: int) -> list[list[int]]:
+    """Bit places of every candidate table, for so many fingerprints.
+
+    A key has as many bits as tell the fingerprints apart, so buckets stay small at every size. Fingerprints of two sets at
+    the least similarity differ in each bit with a chance of ``angle / pi``, and there are so many tables that ``RECALL`` of
+    such pairs share a bucket; of more similar pairs more do.
+    """
+    least = COPY_FIFTHS / 5
+    same = 1 - math.acos(2 * least / (1 + least)) / math.pi
+    size = min(48, max(8, math.ceil(math.log2(max(2, nodes)))))
+    n = math.ceil(math.log(1 - RECALL) / math.log(1 - same**size))
+    r = np.random.default_rng(5)
+    return [sorted(r.permutation(64)[:size].tolist()) for _ in range(n)]
+
+
+def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """(key, set_id, n, fp, part): every node under its key in each table, with the table's number in the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            key = np.empty((len(tables), len(fp)), np.uint64)
+            for t, places in enumerate(tables):
+                k = np.full(len(fp), t, np.uint64)
+                for b in places:
+                    k = k << np.uint64(1) | fp >> np.uint64(b) & np.uint64(1)
+                key[t] = k
+            again = [pa.concat_arrays([batch.column(c)] * len(tables)) for c in ("set_id", "n", "fp", "part")]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *again], names=["key", "set_id", "n", "fp", "part"])
+
+    return nodes.select("set_id", "n", "fp", "part").mapInArrow(run, "key bigint, set_id bigint, n bigint, fp bigint, part bigint")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, i, j, chunk, set_id, n, fp, part) -> pairs (a, b) of different parts that may be near copies.
+
+    A pair is discarded if any coordinate of the pivot table (distances to the reference fingerprints) differs by more than
+    ``NEAR_BITS``, then by its own distance and by the sizes of the sets.
+    """
+    fields = ("key", "i", "j", "chunk", "set_id", "n", "fp", "part")
+    pivots = np.array(PIVOTS, np.uint64)
+
+    def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        new = np.concatenate(([True], (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])))
+        run_id, fp, found = np.cumsum(new), c["fp"].view(np.uint64), []
+        table = np.stack([popcount(fp ^ p) for p in pivots], axis=1).astype(np.int8)
+        at, lag = np.arange(len(fp)), 1
+        while len(at := at[at + lag < len(fp)]) and len(at := at[run_id[at] == run_id[at + lag]]):
+            for lo in range(0, len(at), 1 << 15):
+                a = at[lo : lo + (1 << 15)]
+                b = a + lag
+                ok = (c["part"][a] != c["part"][b]) & ((c["i"][a] == c["j"][a]) | (c["chunk"][a] != c["chunk"][b]))
+                ok &= 5 * np.minimum(c["n"][a], c["n"][b]) >= COPY_FIFTHS * np.maximum(c["n"][a], c["n"][b])
+                a, b = a[ok], b[ok]
+                ok = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= NEAR_BITS
+                a, b = a[ok], b[ok]
+                ok = popcount(fp[a] ^ fp[b]) <= NEAR_BITS
+                if ok.any():
+                    found.append(np.stack([c["set_id"][a[ok]], c["set_id"][b[ok]]], axis=1))
+            lag += 1
+        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    kept = None
+    for batch in batches:
+        c = {f: batch.column(f).to_numpy() for f in fields}
+        if kept is not None:
+            c = {f: np.concatenate((kept[f], c[f])) for f in fields}
+        if not len(c["key"]):
+            continue
+        last = (c["key"] == c["key"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
+        cut = int(last.argmax())  # the last bucket may go on in the next batch
+        if cut:
+            yield pairs({f: v[:cut] for f, v in c.items()})
+        kept = {f: v[cut:] for f, v in c.items()}
+    if kept is not None:
+        yield pairs(kept)
+
+
 def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all sets of ``sets`` with a Jaccard similarity of four fifths or more.
+    """Links (a, b) of sets with a Jaccard similarity of four fifths or more, verified on the sets.
 
-    Similar sets share a token, whatever the order of shingles (prefix filter), so no pair is lost, which no SimHash distance
-    assures. All sets of a token are first compared with the least and the greatest one there; then the pairs that these
-    links do not connect yet are compared, so a group of near copies never lists its pairs. Of a pair, the first token in
-    common tells how many more there can be.
+    Candidates share a bucket of some table of fingerprint bits (:func:`table_bits`) and lie within ``NEAR_BITS`` of each
+    other, which pivot distances tell first. To begin with, the nodes of a bucket of the first tables are compared with the
+    least of them only, which joins large groups of copies; then pairs of parts that are not yet joined, in all tables. A
+    bucket of over ``BUCKET_NODES`` nodes is cut into chunks, and every two chunks are compared in a task of their own.
     """
-    tokens = sets.select("set_id", "n", F.posexplode("tokens").alias("at", "token"))
-    ends = tokens.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
-    shared = materialize(tokens.join(ends, "token").distinct(), "shared")
-    star = shared.select("set_id", F.explode(F.array("low", "high")).alias("end")).where("set_id <> end")
-    star = materialize(star.select(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).distinct(), "star")
+    nodes = materialize(sets.groupBy("set_id").agg(F.min("n").alias("n"), F.min("fp").alias("fp")).withColumn("part", F.col("set_id")), "nodes")
+    tables = table_bits(nodes.count())
+    keyed = materialize(_keyed(nodes, tables[:STAR_TABLES]), "keyed")
+    least = keyed.groupBy("key").agg(F.min(F.struct("set_id", "n", "fp")).alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    star = keyed.join(least, "key").where((F.col("set_id") != F.col("low.set_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= NEAR_BITS))
+    star = star.where(5 * F.least("n", "low.n") >= COPY_FIFTHS * F.greatest("n", "low.n"))
+    star = materialize(star.select(F.col("low.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), "star")
     links = materialize(_similar(star, sets, docs), "near")
-    part = shared.select("token", "set_id", "n", "at").join(components(links).toDF("set_id", "part"), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
-    part = materialize(part, "parts")
-    split = part.groupBy("token").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("token")
-    part = part.join(split, "token", "left_semi")
-    other = part.toDF(*[f"{c}2" for c in part.columns])
-    n, m = F.col("n"), F.col("n2")
-    can = (5 * F.least(n, m) >= COPY_FIFTHS * F.greatest(n, m)) & (9 * F.least(n - F.col("at"), m - F.col("at2")) >= COPY_FIFTHS * (n + m))
-    rest = part.join(other, (F.col("token") == F.col("token2")) & (F.col("set_id") < F.col("set_id2")) & (F.col("part") != F.col("part2")) & can)
-    rest = rest.select(F.col("set_id").alias("a"), F.col("set_id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionByName(_similar(materialize(rest, "rest"), sets, docs))
+    part = nodes.drop("part").join(components(links).toDF("set_id", "part"), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    keyed = materialize(_keyed(materialize(part, "parts"), tables), "keyed")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("key", F.ceil(F.col("rows") / BUCKET_NODES).cast("int").alias("chunks")), "buckets")
+    held = keyed.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select("key", "i", "j", "chunk", "set_id", "n", "fp", "part")
+    rest = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near, "a bigint, b bigint").distinct()
+    return links.unionByName(_similar(materialize(rest.join(star, ["a", "b"], "left_anti"), "rest"), sets, docs))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -293,15 +362,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Near copies have five-word shingle sets with a Jaccard similarity of 0.8 or more, directly or in steps; texts without a
     word are copies of each other. Rows without an id stay. A row of an id that other rows share stays only if its own text
-    represents a group; of several such rows of one id, one stays, the first by the hash of its text.
+    represents a group; of several such rows of one id, one stays, the first by the hash of its text, then of the row.
     """
-    sets = materialize(shingle_sets(docs.select("doc_id", "text")), "sets")
-    found = components(materialize(copy_links(sets, docs), "links")).toDF("set_id", "part")
-    rows = sets.where("doc_id is not null").select("doc_id", "text_hash", "set_id").join(found, "set_id", "left")
-    first = rows.groupBy(F.coalesce("part", "set_id").alias("part")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
-    kept = first.groupBy(F.col("r.doc_id").alias("__kept")).agg(F.min("r.text_hash").alias("__hash"))
-    same = (F.col("doc_id") == F.col("__kept")) & (F.xxhash64("text") == F.col("__hash"))
-    with_id = docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(shingle_sets(docs), "sets")
+    found = components(materialize(copy_links(sets, docs.select("doc_id", "text")), "links")).toDF("set_id", "part")
+    same = ["doc_id", "text_hash", "row_hash"]
+    rows = sets.where("doc_id is not null").groupBy(*same).agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).alias("rows")).join(found, "set_id", "left")
+    first = rows.groupBy(F.coalesce("part", "set_id").alias("part")).agg(F.min(F.struct(*same, "rows")).alias("r"))
+    kept = materialize(first.groupBy(F.col("r.doc_id").alias("__kept")).agg(F.min(F.struct("r.text_hash", "r.row_hash", "r.rows")).alias("__r")), "kept")
+    hashed = F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+    fits = (F.col("doc_id") == F.col("__kept")) & (F.xxhash64("text") == F.col("__r.text_hash")) & (hashed == F.col("__r.row_hash"))
+    with_id = docs.where("doc_id is not null").join(kept.where("__r.rows = 1"), fits, "left_semi")
+    repeated = kept.where("__r.rows > 1")
+    if not repeated.isEmpty():  # rows that are equal throughout
+        with_id = with_id.unionByName(docs.where("doc_id is not null").join(repeated, fits, "left_semi").dropDuplicates(["doc_id"]))
     return with_id.unionByName(docs.where("doc_id is null"))
 
 
