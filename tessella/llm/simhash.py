@@ -25,8 +25,10 @@ BUCKET_ROWS = 256
 COPY_WORDS, COPY_FIFTHS = 5, 4
 #: Share of the pairs at the least similarity that meet as candidates, and bits in which candidates differ at most.
 RECALL, NEAR_BITS = 0.95, 17
-#: Tables that join the large groups first, and nodes of a bucket beyond which it is cut into chunks.
-STAR_TABLES, BUCKET_NODES = 8, 2048
+#: Rounds that compare each node of a bucket with one of its nodes only, and nodes beyond which a bucket is cut into chunks.
+STAR_ROUNDS, BUCKET_NODES = 2, 2048
+#: Bits of the parities that candidates of a bucket are compared by.
+MARK_BITS = 512
 
 
 def shingles(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
@@ -178,29 +180,30 @@ def _words(text: bytes) -> np.ndarray:
     return np.unique(shingles(text.translate(ASCII_LOWER).split(), COPY_WORDS))
 
 
-def _parities(h: np.ndarray) -> bytes:
-    """Bitmap of at least as many bits as ``h`` has members: a bit is set if an odd number of members fall on it."""
-    bits = max(64, 1 << (len(h) - 1).bit_length())
+def _parities(h: np.ndarray, bits: int = 0) -> bytes:
+    """Bitmap of at least as many bits as ``h`` has members, or of ``bits``: a bit is set if an odd number of members fall on it."""
+    bits = bits or max(64, 1 << (len(h) - 1).bit_length())
     n = np.bincount((h >> np.uint64(20)).astype(np.uint64) % np.uint64(bits), minlength=bits) & 1 if len(h) else np.zeros(bits, np.int64)
     return np.packbits(n.astype(np.uint8)).tobytes()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, row_hash, set_id, n, fp, bits) of every row of ``docs``: the set of a whole text's shingles.
+    """(doc_id, text_hash, row_hash, set_id, n, fp, bits, mark) of every row of ``docs``: the set of a whole text's shingles.
 
-    ``set_id`` hashes the set and ``n`` counts it; ``fp`` is its SimHash fingerprint and ``bits`` its parities. ``row_hash``
-    covers all columns but maps.
+    ``set_id`` hashes the set and ``n`` counts it; ``fp`` is its SimHash fingerprint, ``bits`` its parities and
+    ``mark`` those of one size for all. ``row_hash`` covers all columns but maps.
     """
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, row_hash bigint, set_id bigint, n bigint, fp bigint, bits binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, row_hash bigint, set_id bigint, n bigint, fp bigint, bits binary, mark binary"
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"set_id": [], "n": [], "fp": [], "bits": []}
+        out: dict[str, list] = {"set_id": [], "n": [], "fp": [], "bits": [], "mark": []}
         for text in utf8(batch.column(3)):
             h = _words(text)
             out["set_id"].append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64)))
             out["n"].append(len(h))
             out["fp"].append(int(np.uint64(majority(h)).view(np.int64)))
             out["bits"].append(_parities(h))
+            out["mark"].append(_parities(h, MARK_BITS))
         return dict(zip(("doc_id", "text_hash", "row_hash"), batch.columns)) | out
 
     hashed = F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)])
@@ -286,10 +289,11 @@ def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key, i, j, chunk, set_id, n, fp, part) -> pairs (a, b) of different parts that may be near copies.
+    """Sorted rows (key, i, j, chunk, set_id, n, fp, part, mark) -> pairs (a, b) of different parts that may be near copies.
 
     A pair is discarded if any coordinate of the pivot table (distances to the reference fingerprints) differs by more than
-    ``NEAR_BITS``, then by its own distance and by the sizes of the sets.
+    ``NEAR_BITS``, then by its own distance, by the sizes of the sets, and if their parities differ in more bits than similar
+    sets have members of one only.
     """
     fields = ("key", "i", "j", "chunk", "set_id", "n", "fp", "part")
     pivots = np.array(PIVOTS, np.uint64)
@@ -309,6 +313,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= NEAR_BITS
                 a, b = a[ok], b[ok]
                 ok = popcount(fp[a] ^ fp[b]) <= NEAR_BITS
+                a, b = a[ok], b[ok]
+                ok = 9 * popcount(c["mark"][a] ^ c["mark"][b]).sum(axis=1, dtype=np.int64) <= c["n"][a] + c["n"][b]
                 if ok.any():
                     found.append(np.stack([c["set_id"][a[ok]], c["set_id"][b[ok]]], axis=1))
             lag += 1
@@ -318,8 +324,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = None
     for batch in batches:
         c = {f: batch.column(f).to_numpy() for f in fields}
+        c["mark"] = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         if kept is not None:
-            c = {f: np.concatenate((kept[f], c[f])) for f in fields}
+            c = {f: np.concatenate((kept[f], c[f])) for f in c}
         if not len(c["key"]):
             continue
         last = (c["key"] == c["key"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
@@ -335,26 +342,41 @@ def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) of sets with a Jaccard similarity of four fifths or more, verified on the sets.
 
     Candidates share a bucket of some table of fingerprint bits (:func:`table_bits`) and lie within ``NEAR_BITS`` of each
-    other, which pivot distances tell first. To begin with, the nodes of a bucket of the first tables are compared with the
-    least of them only, which joins large groups of copies; then pairs of parts that are not yet joined, in all tables. A
-    bucket of over ``BUCKET_NODES`` nodes is cut into chunks, and every two chunks are compared in a task of their own.
+    other, which pivot distances tell first. To begin with, the nodes of a bucket are compared with one of them only, another
+    one in each table and round, which joins large groups of copies in steps; then all pairs of a bucket that are in parts
+    not yet joined. A bucket of over ``BUCKET_NODES`` nodes is cut into chunks, and every two chunks are compared in a task
+    of their own.
     """
-    nodes = materialize(sets.groupBy("set_id").agg(F.min("n").alias("n"), F.min("fp").alias("fp")).withColumn("part", F.col("set_id")), "nodes")
+    nodes = materialize(sets.groupBy("set_id").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "nodes")
     tables = table_bits(nodes.count())
-    keyed = materialize(_keyed(nodes, tables[:STAR_TABLES]), "keyed")
-    least = keyed.groupBy("key").agg(F.min(F.struct("set_id", "n", "fp")).alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    star = keyed.join(least, "key").where((F.col("set_id") != F.col("low.set_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= NEAR_BITS))
-    star = star.where(5 * F.least("n", "low.n") >= COPY_FIFTHS * F.greatest("n", "low.n"))
-    star = materialize(star.select(F.col("low.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), "star")
-    links = materialize(_similar(star, sets, docs), "near")
-    part = nodes.drop("part").join(components(links).toDF("set_id", "part"), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
-    keyed = materialize(_keyed(materialize(part, "parts"), tables), "keyed")
-    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("key", F.ceil(F.col("rows") / BUCKET_NODES).cast("int").alias("chunks")), "buckets")
+    links = seen = None
+    for turn in range(STAR_ROUNDS):
+        keyed = _keyed(_parts(nodes, links), tables)
+        one = F.struct(F.xxhash64("set_id", "key", F.lit(turn)), "set_id", "n", "fp", "part")
+        ones = keyed.groupBy("key").agg(F.min(one).alias("low"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("key", "low")
+        near = (F.col("part") != F.col("low.part")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= NEAR_BITS)
+        star = keyed.join(ones, "key").where(near & (5 * F.least("n", "low.n") >= COPY_FIFTHS * F.greatest("n", "low.n")))
+        star = star.select(F.least("low.set_id", "set_id").alias("a"), F.greatest("low.set_id", "set_id").alias("b")).distinct()
+        star = materialize(star if seen is None else star.join(seen, ["a", "b"], "left_anti"), "star")
+        found = materialize(_similar(star, sets, docs), "near")
+        links, seen = (found, star) if links is None else (links.unionByName(found), seen.unionByName(star))
+    keyed = _keyed(_parts(nodes, links), tables)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("l"), F.max("part").alias("h")).where("rows > 2 and l <> h")
+    sizes = materialize(sizes.select("key", F.ceil(F.col("rows") / BUCKET_NODES).cast("int").alias("chunks")), "buckets")
     held = keyed.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     held = held.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select("key", "i", "j", "chunk", "set_id", "n", "fp", "part")
+    held = held.join(sets.groupBy("set_id").agg(F.min("mark").alias("mark")), "set_id")
     rest = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near, "a bigint, b bigint").distinct()
-    return links.unionByName(_similar(materialize(rest.join(star, ["a", "b"], "left_anti"), "rest"), sets, docs))
+    return links.unionByName(_similar(materialize(rest.join(seen, ["a", "b"], "left_anti"), "rest"), sets, docs))
+
+
+def _parts(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``nodes`` with the part that the links so far put each in."""
+    if links is None:
+        return nodes.withColumn("part", F.col("set_id"))
+    part = nodes.join(components(links).toDF("set_id", "part"), "set_id", "left")
+    return materialize(part.withColumn("part", F.coalesce("part", "set_id")), "parts")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
