@@ -152,7 +152,7 @@ def _records(buckets: int):
 
 
 def _requests(limit: int):
-    """Runs of a partition -> (doc_id, text_hash, asks): numbers of runs times four plus what is to be done."""
+    """Runs of a partition -> (doc_id, text_hash, ask), a row for each asked run: its number times four plus what is to be done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ("key", "content", "doc", "hash", "number")
@@ -163,11 +163,8 @@ def _requests(limit: int):
             return {f: part[f][rows] for f in fields}
 
         def rows_out(part: dict, what: np.ndarray) -> pa.RecordBatch:
-            by = np.lexsort((part["hash"], part["doc"]))
-            doc, sums, asks = part["doc"][by], part["hash"][by], (part["number"][by] * 4 + what[by]).astype(np.int32)
-            head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sums[1:] != sums[:-1])))) if len(doc) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.array(asks))
-            return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(sums[head]), lists], names=["doc_id", "text_hash", "asks"])
+            asks = (part["number"] * 4 + what).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(part["doc"]), pa.array(part["hash"]), pa.array(asks)], names=["doc_id", "text_hash", "ask"])
 
         def fold(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal kept, hot
@@ -324,8 +321,8 @@ def find_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     records = map_rows(keyed, "bucket int, docs binary, counts binary, numbers binary, keys binary, contents binary", _records(buckets))
-    asks = records.repartitionById(buckets, F.col("bucket")).mapInArrow(_requests(hot), "doc_id bigint, text_hash bigint, asks array<int>")
-    asks = materialize(asks, "asks").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("asks")).alias("asks"))
+    asks = records.repartitionById(buckets, F.col("bucket")).mapInArrow(_requests(hot), "doc_id bigint, text_hash bigint, ask int")
+    asks = materialize(asks, "asks").groupBy("doc_id", "text_hash").agg(F.collect_list("ask").alias("asks"))
     answers = map_rows(asks.join(_packed(keyed), ["doc_id", "text_hash"]), "doc_id bigint, text_hash bigint, route bigint, at int, piece binary, cuts array<int>", _answers)
     answers = materialize(answers, "answers")
     pieces = answers.where("route is not null").select("doc_id", "text_hash", "route", "at", "piece")
