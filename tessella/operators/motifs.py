@@ -405,12 +405,65 @@ def _log_odds(m: list, bg: np.ndarray) -> np.ndarray:
     return np.log2(mat / mat.sum(axis=1, keepdims=True) / bg)
 
 
-def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | None = None, motif_block: int = 200, cutoff: float = 1.0) -> DataFrame:
+#: Letters at the start of a window that are looked up together, and the window p that a hit needs.
+GROUP, SCAN_CUTOFF = 6, 1e-4
+
+
+class _Strand:
+    """One motif on one strand: integer steps by position and letter, the table of its first letters, and what is left to win."""
+
+    def __init__(self, lo: np.ndarray, threshold: int):
+        self.lo, self.threshold = lo, threshold
+        self.steps = np.round(lo / 0.01).astype(np.int32)
+        self.group = min(GROUP, len(lo))
+        table = np.zeros(1, np.int32)
+        for row in self.steps[:self.group]:
+            table = (table[:, None] + row).ravel()
+        best = self.steps.max(axis=1)
+        self.rest = np.append(np.cumsum(best[::-1])[::-1], 0)  # most that the letters from each position on can add
+        self.open = np.flatnonzero(table >= threshold - self.rest[self.group])
+        self.start = table[self.open]
+
+    def hits(self, codes: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, integer score, log odds) of the windows that reach the threshold.
+
+        Only windows whose first letters can reach it are touched; one is left as soon as its other letters can't.
+        """
+        order, bounds = index
+        n = bounds[self.open + 1] - bounds[self.open]
+        at = order[np.repeat(bounds[self.open] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        total = np.repeat(self.start, n)
+        for j in range(self.group, len(self.lo)):
+            letter = codes[at + j]
+            known = letter < 4
+            total = total + self.steps[j][np.minimum(letter, 3)]
+            live = known & (total >= self.threshold - self.rest[j + 1])
+            at, total = at[live], total[live]
+        return at, total, self.lo[np.arange(len(self.lo)), codes[at[:, None] + np.arange(len(self.lo))]].sum(axis=1)
+
+
+def _window_index(codes: np.ndarray, starts: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts sorted by their first ``group`` letters, and where each letter group begins among them."""
+    key, whole = np.zeros(len(starts), np.int32), np.ones(len(starts), bool)
+    for j in range(group):
+        letter = codes[starts + j]
+        whole &= letter < 4
+        key = key * 4 + np.minimum(letter, 3)
+    key = key[whole].astype(np.uint16)
+    by = np.argsort(key, kind="stable")
+    return starts[whole][by], np.searchsorted(key[by], np.arange(4**group + 1))
+
+
+def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | None = None, motif_block: int = 200, cutoff: float = SCAN_CUTOFF) -> DataFrame:
     """(id, k, mot, pos, strand, score, pvalue): best log-odds hit of every motif on every sequence, p of at most ``cutoff``.
 
-    Motifs go to the tasks in blocks of about ``motif_block`` with their null distributions made once; a block is one pass
-    over the sequences, which stay where they are. Sequences are cut into overlapping pieces; a task keeps the best hit per
-    sequence and motif of its batch, and ``max_by`` combines those.
+    A motif's null tail turns the cutoff into a score threshold, so only hits leave the tasks. Windows are sorted by their
+    first letters once a batch; a motif looks up which letter groups can still reach its threshold and follows those windows
+    letter by letter under a look-ahead bound. Of several hits the highest score (to six places) counts, then the first
+    position, then the plus strand. Pairs without a hit have no row; ``cutoff`` 1 gives all pairs with a window.
+
+    Motifs go to the tasks in blocks of about ``motif_block``; a block is one pass over the pieces of the sequences, which are
+    written once and spread over all tasks. A task keeps the best hit per sequence and motif of its batch, ``max_by`` combines.
     """
     bg = np.array([(background or {}).get(x, 0.25) for x in LETTERS])
     spark = seqs.sparkSession
@@ -423,48 +476,50 @@ def scan_pssm(seqs: DataFrame, pssm: DataFrame, background: dict[str, float] | N
         plan = []
         for r in rows:
             lo = _log_odds(r["m"], bg)
-            plan.append((r["k"], r["mot"], lo, *_null_tail(lo, bg)))
+            low, tail = _null_tail(lo, bg)
+            passing = np.flatnonzero(tail <= cutoff)
+            if len(passing):
+                threshold = low + int(passing[0])
+                plan.append((r["k"], r["mot"], low, tail, _Strand(lo, threshold), _Strand(lo[::-1, ::-1], threshold)))
         shared = spark.sparkContext.broadcast(plan)
 
         def scan(batches):
             for p in batches:
                 ids, at = p["id"].to_numpy(), p["at"].to_numpy()
-                codes = np.full((len(p), PIECE + widest), 4, dtype=np.int64)
+                width = PIECE + widest
+                codes = np.full((len(p), width), 4, dtype=np.int8)
                 for r, text in enumerate(p["piece"]):
                     codes[r, :len(text)] = CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
-                line, frames = np.arange(len(p)), []
-                for k, mot, lo, low, tail in shared.value:
-                    w = len(lo)
-                    best = np.full(len(p), -np.inf)
-                    spot, minus = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=bool)
-                    for back, table in ((False, lo), (True, lo[::-1, ::-1])):
-                        table = np.column_stack([table, np.full(w, -np.inf)])
-                        total = np.zeros((len(p), PIECE))
-                        for j in range(w):
-                            total += table[j][codes[:, j:j + PIECE]]
-                        i = total.argmax(axis=1)
-                        better = total[line, i] > best
-                        best, spot, minus = np.where(better, total[line, i], best), np.where(better, i, spot), np.where(better, back, minus)
-                    ok = np.isfinite(best)
-                    site = codes[line[ok][:, None], spot[ok][:, None] + np.arange(w)]
-                    steps = np.round(lo / 0.01).astype(int)
-                    exact = np.where(minus[ok], steps[::-1, ::-1][np.arange(w), site].sum(axis=1), steps[np.arange(w), site].sum(axis=1))
-                    f = pd.DataFrame({"id": ids[ok], "k": k, "mot": mot, "pos": at[ok] + spot[ok] + 1, "strand": np.where(minus[ok], "-", "+"), "score": best[ok], "pvalue": tail[exact - low]})
-                    f = f[f["pvalue"] <= cutoff]
-                    if len(f):
-                        frames.append(f.sort_values(["score", "pos"], ascending=[False, True]).drop_duplicates("id"))
-                if frames:
-                    yield pd.concat(frames)[cols]
+                codes = codes.ravel()
+                starts = (np.arange(len(p), dtype=np.int64)[:, None] * width + np.arange(PIECE)).ravel()
+                index = {g: _window_index(codes, starts, g) for g in {plus.group for *_, plus, _ in shared.value}}
+                number, _ = pd.factorize(ids)
+                found = []
+                for m, (_, _, low, tail, *strands) in enumerate(shared.value):
+                    for minus, one in enumerate(strands):
+                        spot, total, score = one.hits(codes, index[one.group])
+                        if len(spot):
+                            row, col = np.divmod(spot, width)
+                            found.append((np.full(len(row), m), row, at[row] + col + 1, np.full(len(row), minus), np.round(score, 6), tail[total - low]))
+                if not found:
+                    continue
+                m, row, pos, minus, score, pvalue = (np.concatenate(x) for x in zip(*found))
+                by = np.lexsort((minus, pos, -score, number[row], m))
+                m, row, pos, minus, score, pvalue = (x[by] for x in (m, row, pos, minus, score, pvalue))
+                first = np.concatenate(([True], (m[1:] != m[:-1]) | (number[row[1:]] != number[row[:-1]])))
+                m, row = m[first], row[first]
+                ks, mots = (pd.Series([x[c] for x in shared.value]).to_numpy()[m] for c in (0, 1))
+                yield pd.DataFrame({"id": ids[row], "k": ks, "mot": mots, "pos": pos[first], "strand": np.where(minus[first] == 1, "-", "+"), "score": score[first], "pvalue": pvalue[first]})[cols]
 
         return scan
 
     idt, kt = seqs.schema["id"].dataType.simpleString(), pssm.schema["k"].dataType.simpleString()
-    cut, hits = pieces(seqs.select("id", "seq"), widest - 1), None
+    cut, hits = materialize(spread(pieces(seqs.select("id", "seq"), widest - 1), "id", "at"), "pieces"), None
     for b in range(blocks):
         rows = packed.where(F.pmod(F.xxhash64("k", "mot"), F.lit(blocks)) == b).collect()
         part = cut.mapInPandas(scanner(rows), f"id {idt}, k {kt}, mot int, pos int, strand string, score double, pvalue double")
         hits = part if hits is None else hits.unionByName(part)
-    best = F.struct("score", -F.col("pos"), "strand")
+    best = F.struct("score", -F.col("pos"), F.col("strand") == "+")
     return hits.groupBy("id", "k", "mot").agg(*[F.max_by(c, best).alias(c) for c in ("pos", "strand", "score", "pvalue")])
 
 

@@ -19,23 +19,14 @@ def reverse_complement(spark, sf):
     return seqs(spark, sf).select("id", F.md5(ge.reverse_complement("seq")).alias("rc"))
 
 
-KM = """, s as (select seq from contigs union select reverse(translate(seq, 'ATCG', 'TAGC')) from contigs), x as (select seq, unnest(range(1, length(seq) + 1))::int as i from s),
-w as (select substr(seq, i, 2) as w2 from x), c as (select 0 as o, left(w2, 1) as kmer, count(*)::double n from w group by 2 union all select 1, w2, count(*)::double from w where length(w2) = 2 group by 2)"""
-
-
-@query("background_model", sql("contigs", KM + "select kmer, o as ord, round(n / sum(n) over (partition by o), 6) as freq from c"))
-def background_model(spark, sf):
-    return mo.background_model(seqs(spark, sf), 1).select("kmer", "ord", *r6("freq"))
-
-
 KM4 = """, s as (select seq from contigs union select reverse(translate(seq, 'ATCG', 'TAGC')) from contigs), x as (select seq, unnest(range(1, length(seq) + 1))::int as i from s),
 c as (select o, substr(seq, i, o + 1) as kmer, count(*)::double as n from x, (select unnest([0, 1, 2, 3]) as o) where i + o <= length(seq) group by 1, 2), l as (select unnest(['A', 'C', 'G', 'T']) as x),
 al as (select 0 as o, x as kmer from l union all select 1, a.x || b.x from l a, l b union all select 2, a.x || b.x || c.x from l a, l b, l c union all select 3, a.x || b.x || c.x || d.x from l a, l b, l c, l d),
 tot as (select o, sum(n) as t from c group by 1) """
 
 
-@query("background_model_whole", sql("contigs", KM4 + "select al.kmer, al.o as ord, round(coalesce(n, 0.1::double) / t, 6) as freq from al left join c on c.o = al.o and c.kmer = al.kmer join tot on tot.o = al.o"))
-def background_model_whole(spark, sf):
+@query("background_model", sql("contigs", KM4 + "select al.kmer, al.o as ord, round(coalesce(n, 0.1::double) / t, 6) as freq from al left join c on c.o = al.o and c.kmer = al.kmer join tot on tot.o = al.o"))
+def background_model(spark, sf):
     return mo.background_model(seqs(spark, sf)).select("kmer", "ord", *r6("freq"))
 
 
@@ -385,27 +376,43 @@ def choose_palindrome(spark, sf):
     return mo.choose_palindrome(m, m.withColumn("e_value", F.col("e_value") * 1.5)).select("k", "mot", "width", "nsites", *r6("e_value"), "is_pal")
 
 
-@query("motif_pvalue_matrix", sql("hits", "select row_id, " + ", ".join(f'round(min(pvalue) filter (where k = {k}), 8) as "{k}"' for k in range(5)) + " from hits group by 1"))
+@query("motif_pvalue_matrix", sql("hits", "select row_id, " + ", ".join(f'round(min(pvalue) filter (where k = {k}), 8) as "{k}"' for k in range(t.HIT_CLUSTERS)) + " from hits group by 1"))
 def motif_pvalue_matrix(spark, sf):
-    return mo.motif_pvalue_matrix(t.hits(spark, sf), list(range(5))).select("row_id", *[F.round(F.col(str(k)), 8).alias(str(k)) for k in range(5)])
-
-
-@query("motif_pvalue_matrix_whole", sql("hits", "select row_id, " + ", ".join(f'round(min(pvalue) filter (where k = {k}), 8) as "{k}"' for k in range(t.HIT_CLUSTERS)) + " from hits group by 1"))
-def motif_pvalue_matrix_whole(spark, sf):
     ks = list(range(t.HIT_CLUSTERS))
     return mo.motif_pvalue_matrix(t.hits(spark, sf), ks).select("row_id", *[F.round(F.col(str(k)), 8).alias(str(k)) for k in ks])
 
 
-@query("scan_pssm")
+#: Hits of the eight-letter motifs: all words with their score and the share of words at least as good, then the windows that are such words.
+SCAN = (
+    """
+, up as (select id, f.contig, strand, case strand when 'D' then start_pos - 1 - 150 else end_pos + 1 - 20 end as a, case strand when 'D' then start_pos - 1 + 20 else end_pos + 1 + 150 end as b, seq from features f join contigs using (contig)),
+cut as (select id, strand, substr(seq, greatest(a, 1)::int, greatest(b - greatest(a, 1) + 1, 0)::int) as s from up),
+turned as (select id, strand, case when strand = 'R' then reverse(translate(s, 'ATCG', 'TAGC')) else s end as q from cut),
+sq as (select id, case when length(q) > 170 then case when strand = 'D' then substr(q, 1, 170) else right(q, 170) end else q end as seq from turned),
+lo as (select k, mot, pos, x, log2((f + 0.01) / (a + c + g + t + 0.04) / 0.25) as v from pssm, lateral (select unnest(['A', 'C', 'G', 'T']) as x, unnest([a, c, g, t]) as f)),
+w1 as (select k, mot, x as word, v, round(v / 0.01)::bigint as i from lo where pos = 1)"""
+    + "".join(f", w{j} as (select k, mot, word || x as word, w{j - 1}.v + lo.v as v, i + round(lo.v / 0.01)::bigint as i from w{j - 1} join lo using (k, mot) where pos = {j})" for j in range(2, 9))
+    + f"""
+, tail as (select k, mot, word, v, count(*) over (partition by k, mot order by i desc) / 65536.0::double as p from w8),
+good as (select k, mot, word, '+' as strand, v, p from tail where p <= {mo.SCAN_CUTOFF} union all select k, mot, reverse(translate(word, 'ATCG', 'TAGC')), '-', v, p from tail where p <= {mo.SCAN_CUTOFF}),
+win as (select id, i::int as pos, substr(seq, i::int, 8) as word from (select id, seq, unnest(range(1, length(seq) - 6)) as i from sq where length(seq) >= 8)),
+hit as (select id, k, mot, pos, strand, round(v, 6) as score, p from win join good using (word) qualify row_number() over (partition by id, k, mot order by round(v, 6) desc, pos, strand) = 1)
+"""
+)
+
+
+@query("scan_pssm", sql("features contigs pssm", SCAN + "select id, k, mot, pos, strand, score, round(p, 8) as pvalue from hit"))
 def scan_pssm(spark, sf):
-    return mo.scan_pssm(upstream(spark, sf).select("id", "seq"), t.pssm(spark, sf))
+    hits = mo.scan_pssm(upstream(spark, sf).select("id", "seq"), t.pssm(spark, sf))
+    return hits.select("id", "k", "mot", "pos", "strand", *r6("score"), F.round("pvalue", 8).alias("pvalue"))
 
 
-@query("scan_sequence_pvalue")
+@query("scan_sequence_pvalue", sql("features contigs pssm", SCAN + "select id, k, mot, pos, strand, score, round(1 - pow(1 - p, 2 * greatest(length(seq) - 7, 1)), 6) as pvalue from hit join sq using (id)"))
 def scan_sequence_pvalue(spark, sf):
     s = upstream(spark, sf).select("id", "seq")
     widths = t.pssm(spark, sf).groupBy("k", "mot").agg(F.max("pos").alias("w"))
-    return mo.sequence_pvalue(mo.scan_pssm(s, t.pssm(spark, sf)), s.select("id", F.length("seq").alias("len")), widths)
+    hits = mo.sequence_pvalue(mo.scan_pssm(s, t.pssm(spark, sf)), s.select("id", F.length("seq").alias("len")), widths)
+    return hits.select("id", "k", "mot", "pos", "strand", *r6("score", "pvalue"))
 
 
 @query("motif_positions")
@@ -415,7 +422,10 @@ def motif_positions(spark, sf):
 
 
 def _seq_clusters(spark, sf):
-    return t.features(spark, sf).select(F.pmod(F.crc32("id"), F.lit(40)).cast("int").alias("k"), F.col("id").alias("row_id"))
+    """Clusters of about 80 features: their number grows with the features, so none reaches the operators' size limit."""
+    f = t.features(spark, sf)
+    clusters = max(40, f.count() // 80)
+    return f.select(F.pmod(F.crc32("id"), F.lit(clusters)).cast("int").alias("k"), F.col("id").alias("row_id"))
 
 
 @query("kmer_enrichment")

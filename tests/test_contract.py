@@ -35,4 +35,4 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_motif_queries_without_a_cut():
-    assert {"motif_pvalue_matrix_whole", "background_model_whole"} <= set(entry.queries()) & set(entry.oracle_sql())
+    assert {"motif_pvalue_matrix", "background_model", "scan_pssm", "scan_sequence_pvalue"} <= set(entry.queries()) & set(entry.oracle_sql())

@@ -224,7 +224,7 @@ def test_scan_matches_brute_force(spark):
     rng = np.random.default_rng(8)
     mats = {(1, 1): rng.dirichlet(np.ones(4), 6), (2, 1): rng.dirichlet(np.ones(4), 9)}
     seqs = {f"s{i}": "".join(rng.choice(list("ACGTN"), n, p=[0.24] * 4 + [0.04])) for i, n in enumerate((700, 40, 256, 5))}
-    got = mo.scan_pssm(spark.createDataFrame(list(seqs.items()), "id string, seq string"), spark.createDataFrame(pssm_rows(mats), PSSM)).collect()
+    got = mo.scan_pssm(spark.createDataFrame(list(seqs.items()), "id string, seq string"), spark.createDataFrame(pssm_rows(mats), PSSM), cutoff=1.0).collect()
     best = {(r["id"], r["k"]): (r["pos"], r["strand"], r["score"]) for r in got}
     comp = {"A": "T", "C": "G", "G": "C", "T": "A", "N": "N"}
     for (k, _), m in mats.items():
@@ -245,6 +245,32 @@ def test_scan_matches_brute_force(spark):
                 assert np.isclose(best[(sid, k)][2], top[2]) and best[(sid, k)][0] == top[0]
 
 
+@pytest.mark.parametrize("cutoff", [0.05, 1e-3])
+def test_threshold_scan_matches_brute_force(spark, cutoff):
+    """Hits under a cutoff, over widths below and above a letter group, against all windows of all sequences."""
+    rng = np.random.default_rng(9)
+    mats = {(k, 1): rng.dirichlet(np.full(4, 0.4), w) for k, w in enumerate((3, 6, 8, 15))}
+    seqs = {f"s{i}": "".join(rng.choice(list("ACGTN"), n, p=[0.24] * 4 + [0.04])) for i, n in enumerate((900, 40, 256, 2, 513))}
+    bg = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
+    got = mo.scan_pssm(spark.createDataFrame(list(seqs.items()), "id string, seq string"), spark.createDataFrame(pssm_rows(mats), PSSM), bg, 2, cutoff).collect()
+    comp, want = str.maketrans("ACGT", "TGCA"), {}
+    for (k, _), m in mats.items():
+        lo = np.log2((m + 0.01) / (m + 0.01).sum(axis=1, keepdims=True) / np.array(list(bg.values())))
+        low, tail = mo._null_tail(lo, np.array(list(bg.values())))
+        steps, w = np.round(lo / 0.01).astype(int), len(m)
+        for sid, s in seqs.items():
+            for i in range(len(s) - w + 1):
+                for strand, word in (("+", s[i:i + w]), ("-", s[i:i + w].translate(comp)[::-1])):
+                    if "N" not in word:
+                        at = ["ACGT".index(c) for c in word]
+                        p = tail[steps[np.arange(w), at].sum() - low]
+                        key = (-round(float(lo[np.arange(w), at].sum()), 6), i + 1, strand)
+                        if p <= cutoff and ((sid, k) not in want or key < want[sid, k][0]):
+                            want[sid, k] = key, p
+    assert {(r["id"], r["k"]): (r["pos"], r["strand"]) for r in got} == {x: v[0][1:] for x, v in want.items()}
+    assert all(np.isclose(r["pvalue"], want[r["id"], r["k"]][1]) and np.isclose(-r["score"], want[r["id"], r["k"]][0][0], atol=2e-6) for r in got) and want
+
+
 def test_scan_null_is_a_tail():
     lo, tail = mo._null_tail(np.log2(np.full((3, 4), 0.25) + np.eye(3, 4) * 0.5), np.full(4, 0.25))
     assert np.isclose(tail[0], 1) and (np.diff(tail) <= 1e-12).all() and np.isclose(tail[-1], 1 / 64)
