@@ -26,7 +26,7 @@ COPY_WORDS, COPY_FIFTHS = 5, 4
 #: Share of the pairs at the least similarity that meet as candidates, and bits in which candidates differ at most.
 RECALL, NEAR_BITS = 0.95, 17
 #: Rounds that compare each node of a bucket with one of its nodes only, and nodes beyond which a bucket is cut into chunks.
-STAR_ROUNDS, BUCKET_NODES = 2, 2048
+STAR_ROUNDS, BUCKET_NODES = 1, 2048
 #: Bits of the parities that candidates of a bucket are compared by.
 MARK_BITS = 512
 
