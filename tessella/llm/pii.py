@@ -1,9 +1,11 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-High-recall generators propose spans around at-signs and digit groups. Every candidate gets format and context features;
-the counts of all feature vectors of the corpus, by whether a strict pattern confirms the candidate, train boosted trees
-(a table of at most ``VECTORS`` rows reaches the driver, the commonest first), which are written out as nested conditions.
-A threshold calibrated on those counts selects further spans; spans of the strict patterns always stay.
+High-recall generators propose overlapping spans: every stretch of neighbouring digit groups that is a valid card, telephone
+number or address by its own rule, and every e-mail address with letters of any script. Boosted trees see their format and
+context, not the facts that make them valid, and learn which of them the strict patterns take whole. Spans of the strict patterns
+always stay; candidates that touch none of them (cards side by side, a number glued to the next) are unlabelled, not wrong. So a
+candidate's score is divided by the mean score of the confirmed ones of its kind, counted over all candidates of the corpus, and
+the span is added where that estimate is high.
 """
 
 from __future__ import annotations
@@ -26,13 +28,17 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[0-9]|[ -][0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BYTE_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-#: The generators: tokens around an at-sign, and groups of seven to 25 digits.
-NEAR_AT = r"[^\s@]{1,64}@[^\s@]{1,255}"
-NEAR_DIGITS = r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,24}"
+#: The generators: addresses with a dotted host, and runs of at least four digits with short gaps, cut into groups.
+MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)++"
+RUN = r"\+?[0-9](?:[ ().+-]{0,3}+[0-9]){3,}+"
+CARD_FORM = r"^[0-9](?:[ -]{0,2}[0-9])*$"
+MOST_DIGITS = 19
 CUES = r"(?i)(mail|phone|tel|call|mobile|fax|card|visa|account|contact|address|server)\W{0,6}$"
+#: Rows of the table that the trees are fitted on, the commonest feature vectors first. Thresholds count all vectors.
 VECTORS = 20_000
-PRECISION = 0.99
-FEATURES = ("gen", "digits", "luhn", "plus", "parens", "dots", "seps", "domain", "quad", "size", "before", "after", "cue")
+#: Least estimated probability of an added span.
+LEAST = 0.8
+FEATURES = ("kind", "groups", "first", "last", "digits", "seps", "before", "after", "cue")
 
 
 def matches(text: Column, pattern: str, possible: Column) -> Column:
@@ -79,41 +85,95 @@ def strict_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def kind_of_char(c: Column) -> Column:
+    return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\w"), 3).otherwise(4)
+
+
+def number_spans(text: Column, run: Column) -> Column:
+    """Cards, numbers and addresses in one run of digits: stretches of neighbouring groups with at most ``MOST_DIGITS`` digits."""
+    outside = F.when(run["s"] > 0, F.substr(text, run["s"], F.lit(1))).otherwise(""), F.substr(text, run["e"] + 1, F.lit(1))
+    cue = F.substr(text, F.greatest(run["s"] - 19, F.lit(1)), F.least(run["s"], F.lit(20))).rlike(CUES)
+
+    def in_chars(c: Column) -> Column:
+        n = F.size(c)
+
+        def digit(i: Column) -> Column:
+            return F.coalesce(F.get(c, i).between("0", "9"), F.lit(False))
+
+        places = F.sequence(F.lit(0), n - 1)
+        first, last = F.filter(places, lambda i: digit(i) & ~digit(i - 1)), F.filter(places, lambda i: digit(i) & ~digit(i + 1))
+        groups = F.zip_with(first, last, lambda a, b: F.struct(a.alias("s"), (b + 1).alias("e")))
+
+        def stretch(g: Column, i: Column, j: Column) -> Column:
+            s, e = F.get(g, i)["s"], F.get(g, j)["e"]
+
+            def described(v: Column) -> Column:
+                digits = F.length(digits_of(v))
+                plus = F.coalesce(F.get(c, s - 1) == "+", F.lit(False))
+                kind = F.when(plus & digits.between(10, 15), 3).when((j - i == 3) & v.rlike(BYTE_PARTS), 1).when(v.rlike(CARD_FORM) & luhn(v), 2)
+
+                def placed(at: Column) -> Column:
+                    before = F.when(at > 0, F.get(c, at - 1)).otherwise(outside[0])
+                    after = F.when(e < n, F.get(c, e)).otherwise(outside[1])
+                    values = {
+                        "kind": kind, "groups": j - i + 1, "first": F.get(g, i)["e"] - s, "last": e - F.get(g, j)["s"], "digits": digits,
+                        "seps": e - s - digits, "before": kind_of_char(before), "after": kind_of_char(after), "cue": cue,
+                    }
+                    return F.struct((run["s"] + at).alias("s"), (run["s"] + e).alias("e"), *[values[f].cast("int").alias(f) for f in FEATURES])
+
+                return bound(s - F.when(kind == 3, 1).otherwise(0), placed)
+
+            return bound(F.array_join(F.slice(c, s + 1, e - s), ""), described)
+
+        def from_group(g: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(i + MOST_DIGITS - 1, F.size(g) - 1)), lambda j: F.get(g, j)["e"] - F.get(g, i)["s"] <= 4 * MOST_DIGITS)
+            return F.filter(F.transform(ends, lambda j: stretch(g, i, j)), lambda x: x["kind"].isNotNull())
+
+        return bound(groups, lambda g: F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: from_group(g, i))))
+
+    return bound(F.regexp_extract_all(run["v"], F.lit("."), F.lit(0)), in_chars)
+
+
+def mail_span(text: Column, x: Column) -> Column:
+    local, host = F.substring_index(x["v"], "@", 1), F.substring_index(x["v"], "@", -1)
+    before = F.when(x["s"] > 0, F.substr(text, x["s"], F.lit(1))).otherwise("")
+    cue = F.substr(text, F.greatest(x["s"] - 19, F.lit(1)), F.least(x["s"], F.lit(20))).rlike(CUES)
+    values = {
+        "kind": F.lit(0), "groups": F.size(F.split(host, r"\.")), "first": F.length(local), "last": F.length(F.substring_index(host, ".", -1)),
+        "digits": F.length(digits_of(local)), "seps": F.length(F.regexp_replace(local, r"[\p{L}\p{N}]", "")), "before": kind_of_char(before),
+        "after": kind_of_char(F.substr(text, x["e"] + 1, F.lit(1))), "cue": cue,
+    }
+    return F.struct(x["s"].alias("s"), x["e"].alias("e"), *[values[f].cast("int").alias(f) for f in FEATURES])
+
+
 def candidates(text: Column, strict: Column) -> Column:
-    """array<struct<s, e, confirmed, features...>> of both generators."""
-
-    def kind_of_char(c: Column) -> Column:
-        return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\w"), 3).otherwise(4)
-
-    def described(x: Column, gen: int) -> Column:
-        v = x["v"]
-        n = F.length(digits_of(v))
-        seps = F.length(v) - F.length(F.regexp_replace(v, "[ ().-]", ""))
-        values = {
-            "gen": F.lit(gen), "digits": F.least(n, F.lit(20)), "luhn": luhn(v).cast("int"), "plus": v.startswith("+").cast("int"),
-            "parens": F.contains(v, F.lit("(")).cast("int"), "dots": F.least(F.lit(5), F.length(v) - F.length(F.replace(v, F.lit("."), F.lit("")))),
-            "seps": F.least(seps, F.lit(8)), "domain": v.rlike(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").cast("int"), "quad": v.rlike(BYTE_PARTS).cast("int"),
-            "size": F.least(F.length(v).cast("int") / 4, F.lit(10)).cast("int"), "before": kind_of_char(F.when(x["s"] > 0, F.substr(text, x["s"], F.lit(1))).otherwise("")),
-            "after": kind_of_char(F.substr(text, x["e"] + 1, F.lit(1))), "cue": F.substr(text, F.greatest(x["s"] - 19, F.lit(1)), F.least(x["s"], F.lit(20))).rlike(CUES).cast("int"),
-        }
-        confirmed = F.exists(strict, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), confirmed.cast("int").alias("confirmed"), *[values[f].cast("int").alias(f) for f in FEATURES])
-
-    at = F.transform(matches(text, NEAR_AT, F.contains(text, F.lit("@"))), lambda x: described(x, 0))
-    number = F.transform(matches(text, NEAR_DIGITS, text.rlike("[0-9]")), lambda x: described(x, 1))
-    return F.concat(at, number)
+    """array<struct<confirmed, touching, s, e, features...>> of both generators.
 
+    ``confirmed``: a strict span of the kind has the same ends. ``touching``: some strict span shares a character.
+    """
+    mails = F.transform(matches(text, MAIL, F.contains(text, F.lit("@"))), lambda x: mail_span(text, x))
+    numbers = F.flatten(F.transform(matches(text, RUN, text.rlike("[0-9]")), lambda x: number_spans(text, x)))
 
-class Selector:
-    """Trees as a column expression, and the calibrated threshold."""
+    def compared(x: Column) -> Column:
+        same = F.exists(strict, lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"]) & (b["k"] == x["kind"]))
+        near = F.exists(strict, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        return F.struct(same.cast("int").alias("confirmed"), near.cast("int").alias("touching"), *[x[f].alias(f) for f in ("s", "e", *FEATURES)])
+
+    return F.transform(F.concat(mails, numbers), compared)
 
-    def __init__(self, trees: boosting.Trees, threshold: float):
-        self.trees, self.threshold = trees, threshold
 
-    def accepts(self, x: Column) -> Column:
-        if not np.isfinite(self.threshold):
-            return F.lit(False)
+class Selector:
+    """Trees as a column expression, and the least score of each kind; a kind that is not in ``least`` gets no further span."""
+
+    def __init__(self, trees: boosting.Trees, least: dict[int, float] | None = None):
+        self.trees, self.least = trees, least or {}
 
+    def score(self, x: Column) -> Column:
         def walk(t: int, node: int) -> Column:
             inner = self.trees.feature.shape[1]
             if node >= inner:
@@ -123,35 +183,47 @@ class Selector:
             return left if np.isinf(cut) else F.when(x[FEATURES[self.trees.feature[t, node]]] > cut, walk(t, 2 * node + 2)).otherwise(left)
 
         margin = reduce(lambda a, b: a + b, [walk(t, 0) for t in range(len(self.trees.leaf))], F.lit(self.trees.base))
-        return margin >= float(np.log(self.threshold / (1 - self.threshold)))
+        return 1 / (1 + F.exp(-margin))
+
+    def least_of(self, kind: Column) -> Column:
+        return reduce(lambda acc, k: F.when(kind == k, self.least[k]).otherwise(acc), self.least, F.lit(2.0))
+
 
+def fit(found: DataFrame, trees: int = 12, depth: int = 3, fewest: int = 20, vectors: int = VECTORS, least: float = LEAST) -> Selector:
+    """Fit on ``found(cands)``: confirmed candidates against all others, the score of a kind calibrated on all its candidates.
 
-def fit(found: DataFrame, trees: int = 12, depth: int = 3, fewest: int = 20) -> Selector:
-    """Fit on ``found(cands)``. Under ``fewest`` confirmed candidates, or if no threshold is precise enough, nothing is added."""
-    table = found.select(F.explode("cands").alias("c")).select("c.confirmed", *[f"c.{f}" for f in FEATURES])
-    rows = table.groupBy("confirmed", *FEATURES).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "confirmed", *FEATURES).limit(VECTORS).collect()
+    A vector of candidates that touch no strict span weighs as the logarithm of its count: copies of one text with a missed
+    span must not teach that its format is wrong. A kind with under ``fewest`` confirmed candidates gets no further span.
+    """
+    table = found.select(F.explode("cands").alias("c")).select("c.*").groupBy("confirmed", "touching", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(table, "candidate_vectors")
+    rows = table.orderBy(F.desc("n"), "confirmed", "touching", *FEATURES).limit(vectors).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([r["confirmed"] for r in rows], float)
-    w = np.array([r["n"] for r in rows], float)
+    w = np.array([r["n"] if r["touching"] else 1 + np.log(r["n"]) for r in rows], float)
     model = boosting.fit(x, y, w, trees=trees, depth=depth, bins=24, rate=0.4, least=2.0)
-    if (w * y).sum() < fewest:
-        return Selector(model, float("inf"))
-    score = model.score(x)
-    by = np.argsort(-score, kind="stable")
-    precision = np.cumsum((w * y)[by]) / np.cumsum(w[by])
-    good = np.flatnonzero((precision >= PRECISION) & (score[by] >= 0.5) & (np.append(score[by][1:], -1) < score[by]))
-    return Selector(model, float(min(score[by][good[-1]], 1 - 1e-9)) if len(good) else float("inf"))
+    score = Selector(model).score(F.struct(*FEATURES))
+    rates = table.where("confirmed = 1").groupBy("kind").agg(F.sum("n").alias("n"), (F.sum(score * F.col("n")) / F.sum("n")).alias("mean")).collect()
+    return Selector(model, {r["kind"]: least * r["mean"] for r in rates if r["n"] >= fewest})
 
 
 def added_spans(cands: Column, selector: Selector) -> Column:
-    """array<struct<s, k, e>>: accepted candidates that no strict span confirms; of overlapping ones the first stays."""
-    kept = F.filter(cands, lambda x: (x["confirmed"] == 0) & selector.accepts(x))
-    named = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.when(x["gen"] == 0, 0).when(x["dots"] == 3, 1).when(x["luhn"] == 1, 2).otherwise(3).alias("k"), x["e"].alias("e")))
-
-    def first_of(acc: Column, x: Column) -> Column:
-        return F.when(F.size(acc) == 0, F.array(x)).when(F.element_at(acc, -1)["e"] <= x["s"], F.concat(acc, F.array(x))).otherwise(acc)
+    """array<struct<s, k, e>>: accepted candidates that touch no strict span.
 
-    return F.aggregate(F.array_sort(named), F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)"), first_of)
+    From left to right; of two that overlap the one with the higher score stays, then the longer, then the first.
+    """
+    loose = F.filter(cands, lambda x: x["touching"] == 0)
+    scored = F.transform(loose, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("k"), x["e"].alias("e"), selector.score(x).alias("p")))
+    kept = F.array_sort(F.filter(scored, lambda x: x["p"] >= selector.least_of(x["k"])))
+
+    def better(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wins = (x["p"] > last["p"]) | ((x["p"] == last["p"]) & (x["e"] - x["s"] > last["e"] - last["s"]))
+        in_place = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))
+        return F.when((F.size(acc) == 0) | (last["e"] <= x["s"]), F.concat(acc, F.array(x))).when(wins, in_place).otherwise(acc)
+
+    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,p:double>>)")
+    return F.transform(F.aggregate(kept, none, better), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
 
 def listed(spans: Column) -> Column:
