@@ -254,6 +254,20 @@ def network_export_nodes(spark, sf):
     return spark.read.schema("node string, type string").option("header", "true").option("sep", "\t").csv(f"{path}/all.noa")
 
 
+@query("network_node_attributes", sql("sparse sparse_rows pssm", MOT + """, nodes as (select distinct row_id::varchar as node, 'gene' as type from sparse union all select distinct col_id::varchar, 'condition' from sparse union all select distinct printf('bicluster_%04d', k), 'bicluster' from sparse_rows),
+attr as (select p_partkey::varchar as node, 'gene' as type, p_name as name, null::bigint as nrow, null::int as width, null::double as e_value from part
+union all select printf('bicluster_%04d', k), 'bicluster', null, count(*), null, null from sparse_rows group by k union all select printf('motif_%04d_%d', k, mot), 'motif', null, null, width, e_value from mt)
+select node, type, name, nrow, width, round(e_value, 6) as e_value from nodes full join attr using (node, type)"""))
+def network_node_attributes(spark, sf):
+    m, rows, path = t.sparse(spark, sf), t.sparse_rows(spark, sf), scratch_path(spark, "node_table")
+    names = t.read(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("name"))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("nrow"))
+    nodes = wr.node_table(wr.network_nodes(m, m, rows), names, sizes, motif_table(spark, sf).drop("nsites"))
+    wr.write_network(wr.network_edges(rows), nodes, {}, path)
+    out = spark.read.schema("node string, type string, name string, nrow long, width int, e_value double").option("header", "true").option("sep", "\t").csv(f"{path}/all.noa")
+    return out.withColumn("e_value", F.round("e_value", 6))
+
+
 @query("regulator_network_export")
 def regulator_network_export(spark, sf):
     from tessella.operators.regulators import regulator_edges
@@ -269,6 +283,14 @@ def cluster_matrix_extract(spark, sf):
     return w.select("row_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in w.columns[1:]])
 
 
+@query("cluster_pssm_extract", sql("pssm", "select mot, pos::int as pos, round(a, 6) as a, round(c, 6) as c, round(g, 6) as g, round(t, 6) as t from pssm where k = 3"))
+def cluster_pssm_extract(spark, sf):
+    path = scratch_path(spark, "cluster_blocks")
+    wr.write_cluster_blocks(t.dense(spark, sf), t.dense_rows(spark, sf), t.dense_cols(spark, sf), t.pssm(spark, sf), 3, path)
+    out = spark.read.schema("mot int, pos int, a double, c double, g double, t double").option("header", "true").option("sep", "\t").csv(f"{path}/pssm")
+    return out.select("mot", "pos", *[F.round(x, 6).alias(x) for x in "acgt"])
+
+
 @query("snapshot", sql("sparse_rows edges", "select k, row_id from sparse_rows"))
 def snapshot(spark, sf):
     base = wr.save_snapshot({"row_member": t.sparse_rows(spark, sf), "edges": t.edges(spark, sf)}, scratch_path(spark, "snap"), 7)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.order import indexed
+from tessella.operators.ids import node_attributes
 
 # fixed values: digits kept per exported column
 DIGITS = {
@@ -86,6 +87,24 @@ def network_nodes(rows: DataFrame, cols: DataFrame, ks: DataFrame, motifs: DataF
     return out
 
 
+def node_table(nodes: DataFrame, genes: DataFrame | None = None, clusters: DataFrame | None = None, motifs: DataFrame | None = None) -> DataFrame:
+    """``nodes`` with attributes: columns of ``genes`` (row_id, ...), ``clusters`` (k, ...) and ``motifs`` (k, mot, ...).
+
+    Outer joins on the node name, so an attribute of a node that no edge names stays; a column that several tables have is
+    one column. A node that two kinds share (a gene called like a condition) is one row per kind.
+    """
+    named = [(genes, "row_id", F.col("row_id").cast("string"), "gene"), (clusters, "k", cluster_node(), "bicluster"), (motifs, "mot", motif_node(), "motif")]
+    out = nodes.select(F.struct("node", "type").alias("node"))
+    known: set[str] = set()
+    for df, key, node, kind in named:
+        if df is not None:
+            keys = {key, "k"} if key == "mot" else {key}
+            tab = df.select(F.struct(node.alias("node"), F.lit(kind).alias("type")).alias("node"), *[c for c in df.columns if c not in keys])
+            out = node_attributes(out, tab, coalesce=tuple(known))
+            known |= set(tab.columns) - {"node"}
+    return out.select("node.node", "node.type", *[c for c in out.columns if c != "node"])
+
+
 def motif_edge_attributes(motifs: DataFrame) -> DataFrame:
     edge = F.concat(motif_node(), F.lit(" (motif) "), cluster_node())
     return motifs.select(edge.alias("edge"), "width", "nsites", "e_value")
@@ -120,6 +139,20 @@ def cluster_matrix_extract(m: DataFrame, row_member: DataFrame, col_member: Data
     return cells.groupBy("row_id").pivot("col_id", names).agg(F.first("value"))
 
 
+def cluster_pssm_extract(pssm: DataFrame, k: int) -> DataFrame:
+    """(mot, pos, a, c, g, t): the motif matrices of one cluster."""
+    return pssm.where(F.col("k") == k).select("mot", "pos", "a", "c", "g", "t")
+
+
+def write_cluster_blocks(m: DataFrame, row_member: DataFrame, col_member: DataFrame, pssm: DataFrame | None, k: int, path: str) -> None:
+    """Matrix block and motif block of one cluster as tab-separated tables, in order of rows and of positions."""
+    blocks = {"matrix": cluster_matrix_extract(m, row_member, col_member, k).sort("row_id")}
+    if pssm is not None:
+        blocks["pssm"] = cluster_pssm_extract(pssm, k).sort("mot", "pos")
+    for name, df in blocks.items():
+        df.write.mode("overwrite").option("header", "true").option("sep", "\t").csv(f"{path}/{name}")
+
+
 def save_snapshot(tables: Mapping[str, DataFrame], path: str, iteration: int) -> str:
     """Every state table under ``path/iter=N``."""
     base = f"{path}/iter={iteration}"

@@ -321,3 +321,28 @@ def test_similarity_between_tiles_equals_one_tile(spark):
     key = list(one.columns)
     a, b = (df.sort_values(key).reset_index(drop=True).round(9) for df in (one, many))
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_node_table(spark):
+    from tessella.sources import writers as wr
+
+    rows, cols = spark.createDataFrame([(1, 7), (1, 8)], "k int, row_id long"), spark.createDataFrame([(8,)], "col_id int")
+    genes = spark.createDataFrame([(7, "seven"), (9, "nine")], "row_id long, name string")
+    clusters, motifs = spark.createDataFrame([(1, "first", 2)], "k int, name string, nrow int"), spark.createDataFrame([(1, 2, 6)], "k int, mot int, width int")
+    got = wr.node_table(wr.network_nodes(rows, cols, rows), genes, clusters, motifs).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("7", "gene", "seven", None, None), ("8", "gene", None, None, None), ("8", "condition", None, None, None),
+        ("9", "gene", "nine", None, None), ("bicluster_0001", "bicluster", "first", 2, None), ("motif_0001_2", "motif", None, None, 6),
+    ], key=str)
+
+
+def test_cluster_blocks(spark, tmp_path):
+    from tessella.sources import writers as wr
+
+    m = spark.createDataFrame([(r, c, r + c / 10) for r in range(4) for c in range(3)], "row_id long, col_id int, value double")
+    rows, cols = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "k int, row_id long"), spark.createDataFrame([(1, 0), (1, 2)], "k int, col_id int")
+    pssm = spark.createDataFrame([(1, 1, 2, 0.0, 1.0, 0.0, 0.0), (1, 1, 1, 0.5, 0.5, 0.0, 0.0), (2, 1, 1, 1.0, 0.0, 0.0, 0.0)], "k int, mot int, pos int, a double, c double, g double, t double")
+    wr.write_cluster_blocks(m, rows, cols, pssm, 1, str(tmp_path / "b"))
+    text = {n: [x.value for x in spark.read.text(str(tmp_path / "b" / n)).collect()] for n in ("matrix", "pssm")}
+    assert set(text["matrix"]) == {"row_id\t0\t2", "2\t2.0\t2.2", "3\t3.0\t3.2"}
+    assert set(text["pssm"]) == {"mot\tpos\ta\tc\tg\tt", "1\t1\t0.5\t0.5\t0.0\t0.0", "1\t2\t0.0\t1.0\t0.0\t0.0"}
