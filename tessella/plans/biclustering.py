@@ -60,10 +60,18 @@ class MotifSource:
         self.members = row_member
         return self.hits
 
+    def sites(self, row_member: DataFrame) -> DataFrame:
+        """(k, mot, id, pos, strand, score, pvalue): the best hit of every motif on the sequences of its own cluster's members."""
+        best = mo.scan_pssm(self.seqs, self.pssm, self.background)
+        return best.join(row_member.select("k", F.col("row_id").alias("id")).distinct(), ["k", "id"], "left_semi")
+
 
 class BiclusterRun:
     """State and iteration of one run. Matrices, networks and members are tables; the driver holds scalars."""
 
+    #: Tables of the genome that go with an export.
+    GENOME = ("feature_tab", "feature_names", "operons")
+
     def __init__(
         self, spark: SparkSession, matrices: Mapping[str, DataFrame], settings: Settings, networks: Mapping[str, DataFrame] | None = None,
         groups: DataFrame | None = None, motifs: MotifSource | None = None,
@@ -322,8 +330,11 @@ class BiclusterRun:
         self.iteration = iteration
         return self
 
-    def export(self, path: str) -> list[str]:
-        """Every exported table of the run that exists."""
+    def export(self, path: str, genome: Mapping[str, DataFrame] | None = None) -> list[str]:
+        """Every exported table of the run that exists; ``genome`` adds the caller's own under the names of ``GENOME``."""
+        genome = dict(genome or {})
+        if unknown := sorted(set(genome) - set(self.GENOME)):
+            raise ValueError(f"not genome tables: {unknown}")
         tabs = {
             "params": self.spark.createDataFrame([(k, str(v)) for k, v in vars(self.settings).items()], "name string, value string"),
             "ratios": self.overlay(), "bicluster": self.table(), "bicluster_genes": self.row_member, "bicluster_conds": self.col_member,
@@ -334,7 +345,8 @@ class BiclusterRun:
             tabs[f"{n}_network"] = e
         if self.motifs is not None and self.motifs.motifs is not None:
             tabs |= {"motif": self.motifs.motifs, "motif_pssm": self.motifs.pssm, "motif_mast_posn": self.motifs.hits, "upstream_seqs": self.motifs.seqs}
-        return writers.export_run(tabs, path)
+            tabs["motif_meme_posn"] = self.motifs.sites(self.row_member)
+        return writers.export_run(tabs | genome, path)
 
 
 class SamplingRun(BiclusterRun):

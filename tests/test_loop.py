@@ -99,3 +99,28 @@ def test_superseded_tables_are_dropped(spark):
     before = len(list(folder.iterdir()))
     run.run(6)
     assert len(list(folder.iterdir())) <= before + 2 and run.row_member.count() and run.row.count()
+
+
+def test_export_holds_genome_tables_and_motif_sites(spark, tmp_path):
+    import pytest
+
+    from tessella.plans.biclustering import MotifSource
+    from tessella.sources.writers import read_export
+
+    seqs = spark.createDataFrame([(i, "ACGGTC" * 5 + ("TTGACATTGACA" if i < 15 else "CCCCCC") + "GATTCG" * 4) for i in range(60)], "id long, seq string")
+    source = MotifSource(seqs)
+    word = "TTGACATTGACA"
+    source.pssm = spark.createDataFrame([(k, 1, p + 1, *[0.97 if x == b else 0.01 for x in "ACGT"]) for k in (1, 2) for p, b in enumerate(word)], "k int, mot int, pos int, a double, c double, g double, t double")
+    source.motifs = spark.createDataFrame([(1, 1, 12, 15, 0.001), (2, 1, 12, 15, 0.001)], "k int, mot int, width int, nsites int, e_value double")
+    source.hits = spark.createDataFrame([(1, 0, 1e-6)], "k int, row_id long, pvalue double")
+    run = BiclusterRun(spark, {"x": planted(spark)}, settings(), motifs=source).seed("random")
+    run.row_member = spark.createDataFrame([(1, r) for r in (0, 3, 40)] + [(2, 50)], "k int, row_id long")
+    operons = spark.createDataFrame([("a", "b")], "head string, row_id string")
+    with pytest.raises(ValueError):
+        run.export(str(tmp_path / "bad"), {"operon": operons})
+    names = run.export(str(tmp_path / "e"), {"operons": operons})
+    assert {"operons", "motif_meme_posn", "motif_pssm", "bicluster_genes"} <= set(names)
+    cols = ", ".join(f"{c} {t}" for c, t in source.sites(run.row_member).dtypes)
+    sites = read_export(spark, str(tmp_path / "e"), "motif_meme_posn", cols).collect()
+    assert sorted((r.k, r.mot, r.id, r.strand) for r in sites) == sorted((1, 1, i, sites[0].strand) for i in (0, 3))
+    assert read_export(spark, str(tmp_path / "e"), "operons", "head string, row_id string").collect()[0].row_id == "b"
