@@ -20,6 +20,27 @@ def draw_sql(*parts: str) -> str:
     return "((('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)"
 
 
+def _poisson_steps() -> list[float]:
+    """Distribution function of the Poisson law of mean 1, up to where a double can't tell it from 1."""
+    steps, term, total = [], math.exp(-1.0), 0.0
+    for i in range(1, 18):
+        total += term
+        steps.append(total)
+        term /= i
+    return steps
+
+
+def poisson_one(u: Column) -> Column:
+    """Poisson count of mean 1 at the uniform ``u``: the number of steps of the distribution function at or below it."""
+    at = F.array(*[F.lit(s) for s in _poisson_steps()])
+    return F.size(F.filter(at, lambda s: s <= u))
+
+
+def poisson_sql(u: str) -> str:
+    """SQL twin of ``poisson_one``."""
+    return "(" + " + ".join(f"(({u}) >= {s!r}::double)::int" for s in _poisson_steps()) + ")"
+
+
 def normal(*parts: Column | str | int) -> Column:
     """Standard normal by the Box-Muller transform of two hashed uniforms."""
     u = uniform(*parts, F.lit(11))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators import tiles
+from tessella.functions.chance import poisson_one, uniform
+from tessella.operators import netfit, tiles
 from tessella.operators.matrix import clip
 from tessella.operators.seeding import precluster_regulators
 from tessella.session import materialize, spread
@@ -189,133 +190,112 @@ def profile_weights(m: DataFrame, row_member: DataFrame, exp_weights: DataFrame
     return out
 
 
-def _standardize(x: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """Weighted Gram terms of standardised columns: (gram, xy, sd, mean x, mean y)."""
-    w = w / w.sum()
-    mx, my = w @ x, w @ y
-    xc = x - mx
-    sd = np.sqrt(w @ (xc * xc))
-    sd[sd == 0] = 1.0
-    xs = xc / sd
-    return xs.T @ (w[:, None] * xs), xs.T @ (w * (y - my)), sd, mx, my
+def boot_members(row_member: DataFrame, n_boot: int, seed: int = 1) -> DataFrame:
+    """(k, boot, row_id, count): members with their Poisson draw counts; boot 1 holds every member once.
+
+    A later boot that draws no member of a cluster has no rows for it.
+    """
+    each = row_member.select("k", "row_id").distinct().withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    count = F.when(F.col("boot") == 1, F.lit(1)).otherwise(poisson_one(uniform("k", "row_id", "boot", F.lit(seed))))
+    return each.select("k", "boot", "row_id", count.alias("count")).where("count > 0")
+
+
+def boot_profile(m: DataFrame, draws: DataFrame, exp_weights: DataFrame | None = None) -> DataFrame:
+    """(k, boot, col_id, y, weight): mean and inverse index of dispersion over each boot's drawn members."""
+    c, v = F.col("count"), F.col("value")
+    g = m.where(v.isNotNull()).join(draws, "row_id").groupBy("k", "boot", "col_id").agg(F.sum(c).alias("_n"), F.sum(c * v).alias("_s"), F.sum(c * v * v).alias("_q"))
+    var = F.when(F.col("_n") > 1, F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n"), F.lit(0.0)) / (F.col("_n") - 1))
+    # sums of equal values leave a rounding rest, which is no spread
+    var = F.when(var > 1e-12 * F.col("_q") / F.col("_n"), var)
+    y = F.col("_s") / F.col("_n")
+    out = g.select("k", "boot", "col_id", y.alias("y"), (1 / F.coalesce(F.nullif(var / (F.abs(y) + 0.05), F.lit(0.0)), F.lit(1.0))).alias("weight"))
+    if exp_weights is not None:
+        out = out.join(exp_weights.select("col_id", F.col("weight").alias("_e")), "col_id").select("k", "boot", "col_id", "y", (F.col("weight") * F.col("_e")).alias("weight"))
+    return out
 
 
-def _descend(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float, factor: np.ndarray, tol: float = 3e-4, sweeps: int = 100_000) -> np.ndarray:
-    """Elastic-net coefficients (fits, lambdas, p); coordinate descent on all fits and lambdas at once.
+def boot_columns(cols: DataFrame, every: DataFrame, n_boot: int, seed: int = 1) -> DataFrame:
+    """(k, boot, col_id): a cluster's columns in boot 1, as many drawn from all columns without replacement in later ones."""
+    own = cols.select("k", "col_id").distinct()
+    size = own.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).withColumn("boot", F.explode(F.sequence(F.lit(2), F.lit(max(n_boot, 2))))).where(F.col("boot") <= n_boot)
+    axis = every.select("col_id").distinct().agg(F.sort_array(F.collect_list("col_id")).alias("_c")).scalar()
+    drawn = size.select("k", "boot", "_n", F.explode(axis).alias("col_id")).withColumn("_u", uniform("k", "col_id", "boot", F.lit(seed)))
+    w = Window.partitionBy("k", "boot").orderBy("_u", "col_id")
+    later = drawn.withColumn("_r", F.row_number().over(w)).where("_r <= _n").select("k", "boot", "col_id")
+    return own.select("k", F.lit(1).alias("boot"), "col_id").unionByName(later)
 
-    Settled when no coefficient moves by ``tol`` of the largest covariance (a squared change of 1e-7, the usual bound of
-    path solvers). Raises if ``sweeps`` passes don't settle it.
+
+def boot_targets(target: DataFrame, n_boot: int = 1, boots: str = "columns", seed: int = 1) -> DataFrame:
+    """(k, boot, col_id, y, weight, count): Poisson counts of columns per boot, or all columns with ``boots="cv"``.
+
+    Boot 1 holds every column once; with ``cv`` the boots differ by their folds alone.
     """
-    n_fit, p = xy.shape
-    b = np.zeros((n_fit, len(lambdas), p))
-    diag = np.einsum("fjj->fj", gram)
-    scale = max(float(np.abs(xy).max()), 1e-12)
-    for _ in range(sweeps):
-        change = 0.0
-        for j in range(p):
-            z = xy[:, j, None] - np.einsum("flp,fp->fl", b, gram[:, j]) + diag[:, j, None] * b[:, :, j]
-            t = lambdas[None, :] * factor[j]
-            down = diag[:, j, None] + t * (1 - alpha)
-            new = np.where(diag[:, j, None] > 0, np.sign(z) * np.maximum(np.abs(z) - t * alpha, 0.0) / np.maximum(down, 1e-12), 0.0)
-            change = max(change, float(np.abs(new - b[:, :, j]).max()))
-            b[:, :, j] = new
-        if change < tol * scale:
-            return b
-    raise ArithmeticError("elastic net did not settle")
-
-
-def _path(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, factor: np.ndarray, n_lambda: int = 100, ratio: float = 1e-6):
-    """Regularisation path of one fit: (lambdas, coefs, intercepts)."""
-    factor = factor * len(factor) / factor.sum()
-    gram, xy, sd, mx, my = _standardize(x, y, w)
-    top = max(float(np.max(np.abs(xy) / np.maximum(factor, 1e-3))) / max(alpha, 1e-3), 1e-12)
-    lambdas = np.geomspace(top, top * ratio, n_lambda)
-    coefs = _descend(gram[None], xy[None], lambdas, alpha, factor)[0] / sd
-    return lambdas, coefs, my - coefs @ mx
-
-
-def choose_lambda(cv: np.ndarray, err: np.ndarray, rule: str) -> int:
-    """Index of the first path point within ``min+Nse`` of the smallest CV error."""
-    best = int(np.argmin(cv))
-    se = 0.0 if rule == "min" else float(rule.replace("min+", "").replace("se", ""))
-    return int(np.nonzero(cv <= cv.min() + se * err[best])[0][0])
-
-
-def fit_path(x, y, w, factor, alpha: float, folds: int, reps: int, rule: str, cutoff: float, min_coef: int | None, max_coef: int | None, refit: str, seed: int) -> dict[int, float]:
-    """Selected coefficients of one cluster: path, repeated CV, cutoff, refit."""
-    rng = np.random.default_rng(seed)
-    lambdas, coefs, _ = _path(x, y, w, alpha, factor)
-    scaled = factor * len(factor) / factor.sum()
-    errors = []
-    for _ in range(reps):
-        fold = rng.permutation(len(y)) % min(folds, len(y))
-        outs = [fold == f for f in range(min(folds, len(y)))]
-        parts = [_standardize(x[~o], y[~o], w[~o]) for o in outs]
-        b = _descend(np.stack([t[0] for t in parts]), np.stack([t[1] for t in parts]), lambdas, alpha, scaled)
-        for o, c, (_, _, sd, mx, my) in zip(outs, b, parts):
-            c = c / sd
-            errors.append(((y[o][None, :] - (c @ x[o].T + (my - c @ mx)[:, None])) ** 2).mean(axis=1))
-    if not errors:
-        return {}
-    e = np.stack(errors, axis=1)
-    at = choose_lambda(e.mean(axis=1), np.sqrt(e.var(axis=1, ddof=1) / folds), rule)
-    b = coefs[at]
-    order = np.argsort(-np.abs(b), kind="stable")
-    order = order[np.abs(b[order]) > 0]
-    keep = [j for j in order if abs(b[j]) >= cutoff]
-    if min_coef and len(keep) < min_coef <= len(order):
-        keep = list(order[:min_coef])
-    if max_coef and len(keep) > max_coef:
-        keep = list(order[:max_coef])
-    if not keep:
-        return {}
-    if refit == "ols":
-        a = np.column_stack([np.ones(len(y)), x[:, keep]]) * np.sqrt(w)[:, None]
-        b2 = np.linalg.lstsq(a, y * np.sqrt(w), rcond=None)[0][1:]
-    elif refit == "path":
-        b2 = _path(x[:, keep], y, w, alpha, factor[keep])[1][-1]
-    else:
-        b2 = b[keep]
-    return {int(j): float(v) for j, v in zip(keep, b2) if abs(v) >= cutoff}
+    if boots not in ("columns", "cv"):
+        raise ValueError(f"unknown bootstrap {boots!r}")
+    each = target.select("k", "col_id", "y", "weight").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    whole = F.lit(boots == "cv") | (F.col("boot") == 1)
+    count = F.when(whole, F.lit(1)).otherwise(poisson_one(uniform("k", "col_id", "boot", F.lit(seed))))
+    return each.select("k", "boot", "col_id", "y", "weight", count.alias("count")).where("count > 0")
+
+
+def predictor_vectors(cells: DataFrame, *key: str) -> DataFrame:
+    """(key…, cols, vals): one row per predictor, as long as the column axis."""
+    g = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("col_id", F.col("value").cast("double").alias("value")))).alias("_c"))
+    return g.select(*key, F.col("_c.col_id").alias("cols"), F.col("_c.value").alias("vals"))
+
+
+def fit_targets(targets: DataFrame, listed: DataFrame, vectors: DataFrame, seed: int = 1, **fit) -> DataFrame:
+    """(k, boot, predictor, coef) of every cluster and boot.
+
+    ``targets`` is (k, boot, col_id, y, weight, count), ``listed`` (k, predictor, penalty, boot) with boot NULL for a
+    candidate of all boots, ``vectors`` (predictor, cols, vals). A task gets a cluster's candidates once, whatever the
+    number of boots: boots and folds are weights in its moments (``netfit``). Candidates and columns are bounded by the
+    candidate filter and the column axis. A predictor's missing cells count as 0.
+    """
+    per = listed.groupBy("k", "predictor").agg(F.collect_list(F.coalesce("boot", F.lit(0))).alias("boots"), F.collect_list(F.col("penalty").cast("double")).alias("penalties"))
+    return _fit_groups(targets, per.join(vectors, "predictor"), seed, fit)
+
+
+def _fit_groups(targets: DataFrame, candidates: DataFrame, seed: int, fit: dict) -> DataFrame:
+    """``fit_targets`` with ``candidates`` (k, predictor, boots, penalties, cols, vals), boot 0 standing for all."""
+
+    def run(t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(t) and len(c):
+            c = c.sort_values("predictor")
+            axis, boots = pd.Index(np.unique(t["col_id"].to_numpy())), np.unique(t["boot"].to_numpy())
+            x = np.zeros((len(axis), len(c)))
+            penalty = np.full((len(boots), len(c)), np.nan)
+            for j, (cols, vals, at, pen) in enumerate(zip(c["cols"], c["vals"], c["boots"], c["penalties"])):
+                where = axis.get_indexer(np.asarray(cols))
+                x[where[where >= 0], j] = np.nan_to_num(np.asarray(vals, dtype=float)[where >= 0])
+                for b, p in zip(at, pen):
+                    penalty[(boots == b) | (b == 0), j] = p
+            i, j = np.searchsorted(boots, t["boot"].to_numpy()), axis.get_indexer(t["col_id"].to_numpy())
+            y, w, count = np.full((len(boots), len(axis)), np.nan), np.zeros((len(boots), len(axis))), np.zeros((len(boots), len(axis)))
+            y[i, j], w[i, j], count[i, j] = t["y"].to_numpy(float), t["weight"].to_numpy(float), t["count"].to_numpy(float)
+            names, k = c["predictor"].to_numpy(), t["k"].iloc[0]
+            for b, got in zip(boots, netfit.fit_boots(x, y, w, count, penalty, [seed + int(b) for b in boots], **fit)):
+                rows += [(k, int(b), str(names[at]), coef) for at, coef in got.items()]
+        return pd.DataFrame(rows, columns=["k", "boot", "predictor", "coef"])
+
+    schema = T.StructType([T.StructField("k", targets.schema["k"].dataType), T.StructField("boot", T.IntegerType()), T.StructField("predictor", T.StringType()), T.StructField("coef", T.DoubleType())])
+    return spread(targets, "k").groupBy("k").cogroup(spread(candidates.withColumnRenamed("k", "_k"), "_k").groupBy("_k")).applyInPandas(run, schema)
 
 
 def fit_elastic_net(
     design: DataFrame, n_boot: int = 1, alpha: float = 0.9, folds: int = 10, reps: int = 10, rule: str = "min+2se", cutoff: float = 0.02,
-    min_coef: int | None = None, max_coef: int | None = None, refit: str = "path", seed: int = 1,
+    min_coef: int | None = None, max_coef: int | None = None, refit: str = "path", seed: int = 1, boots: str = "columns",
 ) -> DataFrame:
     """(k, boot, predictor, coef) from ``design`` (k, col_id, y, weight, predictor, value, penalty).
 
-    One group per cluster and bootstrap: its columns by its candidate predictors, both bounded by the
-    candidate filter and the column axis. Boot 1 uses all columns, later ones resample them.
+    Boot 1 uses all columns once, later ones weight them by Poisson counts, or draw new folds only (``boots="cv"``).
     """
-    tagged = design.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, boot = pdf["k"].iloc[0], int(pdf["boot"].iloc[0])
-        wide = pdf.pivot_table(index="col_id", columns="predictor", values="value", aggfunc="first").sort_index()
-        wide = wide[sorted(wide.columns)].fillna(0.0)
-        y = pdf.groupby("col_id")["y"].first().reindex(wide.index).to_numpy(dtype=float)
-        w = pdf.groupby("col_id")["weight"].first().reindex(wide.index).to_numpy(dtype=float)
-        pen = pdf.groupby("predictor")["penalty"].first().reindex(wide.columns).to_numpy(dtype=float)
-        ok = np.isfinite(y) & np.isfinite(w)
-        x, y, w = wide.to_numpy(dtype=float)[ok], y[ok], w[ok]
-        empty = pd.DataFrame({"k": np.array([], dtype=np.int64), "boot": np.array([], dtype=np.int64), "predictor": np.array([], dtype=object), "coef": np.array([], dtype=float)})
-        if len(y) < 2:  # no spread to explain
-            return empty
-        if boot > 1:
-            at = np.random.default_rng([seed, boot, int(k)]).integers(0, len(y), len(y))
-            x, y, w = x[at], y[at], w[at]
-        live = x.var(axis=0, ddof=1) > 0.01
-        if not live.any():
-            return empty
-        names = np.array(wide.columns)[live]
-        got = fit_path(x[:, live], y, w, pen[live], alpha, folds, reps, rule, cutoff, min_coef, max_coef, refit, seed + boot)
-        if not got:
-            return empty
-        return pd.DataFrame({"k": [k] * len(got), "boot": [boot] * len(got), "predictor": np.array([str(names[j]) for j in got], dtype=object), "coef": list(got.values())})
-
-    schema = T.StructType([T.StructField("k", design.schema["k"].dataType), T.StructField("boot", T.IntegerType()), T.StructField("predictor", T.StringType()), T.StructField("coef", T.DoubleType())])
-    return spread(tagged, "k", "boot").groupBy("k", "boot").applyInPandas(fit, schema)
+    target = design.groupBy("k", "col_id").agg(F.first("y").alias("y"), F.first("weight").alias("weight"))
+    own = predictor_vectors(design, "k", "predictor", "penalty")
+    candidates = own.select("k", "predictor", F.array(F.lit(0)).alias("boots"), F.array(F.col("penalty").cast("double")).alias("penalties"), "cols", "vals")
+    fit = {"alpha": alpha, "folds": folds, "reps": reps, "rule": rule, "cutoff": cutoff, "min_coef": min_coef, "max_coef": max_coef, "refit": refit}
+    return _fit_groups(boot_targets(target, n_boot, boots, seed), candidates, seed, fit)
 
 
 def fit_lasso(design: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessella.functions.chance import draw_sql, poisson_sql
 from tessella.operators import matrix as mx
 from tessella.operators import regulators as rg
 from tessella.plans import tables as t
@@ -94,7 +95,7 @@ def possibly_regulates(spark, sf):
 def candidate_predictors(spark, sf):
     m = preds(spark, sf)
     env = m.where("row_id = '3'").select("row_id").distinct()
-    return rg.candidate_predictors(t.sparse_rows(spark, sf), groups(spark, sf), profile(spark, sf), m, rg.combine_predictors(m), env, top=5)[0]
+    return rg.candidate_predictors(t.sparse_rows(spark, sf), groups(spark, sf), profile(spark, sf), m, rg.combine_predictors(m), env)[0]
 
 
 def meta(spark, sf):
@@ -151,12 +152,33 @@ def design(spark, sf):
 
 @query("fit_elastic_net")
 def fit_elastic_net(spark, sf):
-    return rg.fit_elastic_net(design(spark, sf), n_boot=2, folds=5, reps=1, rule="min")
+    return rg.fit_elastic_net(design(spark, sf), n_boot=2)
 
 
 @query("fit_lasso")
 def fit_lasso(spark, sf):
-    return rg.fit_lasso(design(spark, sf), folds=5, reps=1, rule="min")
+    return rg.fit_lasso(design(spark, sf), n_boot=3)
+
+
+DRAWS = f""", dr as (select k, row_id, boot, case when boot = 1 then 1 else {poisson_sql("u")} end as c from (select k, row_id, boot, {draw_sql("k", "row_id", "boot", "1")} as u from (select distinct k, row_id from sparse_rows) r, (values (1), (2), (3)) b(boot)))"""
+
+
+@query("boot_members", sql("sparse_rows", DRAWS + "select k, boot, row_id, c as count from dr where c > 0"))
+def boot_members(spark, sf):
+    return rg.boot_members(t.sparse_rows(spark, sf), 3)
+
+
+@query("boot_profile", sql("sparse sparse_rows", DRAWS + """, bp as (select k, boot, col_id, sum(c) n, sum(c * value) / sum(c) y, sum(c * value * value) q from sparse join dr using (row_id) where c > 0 group by 1, 2, 3)
+select k, boot, col_id, round(y, 6) as y from bp"""))
+def boot_profile(spark, sf):
+    return rg.boot_profile(t.sparse(spark, sf), rg.boot_members(t.sparse_rows(spark, sf), 3)).select("k", "boot", "col_id", *r6("y"))
+
+
+@query("boot_columns", sql("sparse sparse_cols", f""", own as (select distinct k, col_id from sparse_cols), nn as (select k, count(*) n from own group by 1),
+dr as (select k, boot, col_id, n, row_number() over (partition by k, boot order by {draw_sql("k", "col_id", "boot", "1")}, col_id) r from nn, (values (2), (3)) b(boot), (select distinct col_id from sparse) c)
+select k, 1 as boot, col_id from own union all select k, boot, col_id from dr where r <= n"""))
+def boot_columns(spark, sf):
+    return rg.boot_columns(t.sparse_cols(spark, sf), t.sparse(spark, sf), 3)
 
 
 def toy_coefs(spark, sf):
