@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import distributions as dist
 from tessella.functions.chance import uniform
-from tessella.functions.order import indexed
+from tessella.functions.order import indexed, running_sum
 from tessella.operators import tiles
 from tessella.operators.clusters import residual
+from tessella.session import materialize
 
 
 def count_members_in(member: DataFrame, listed: DataFrame, axis: str = "row_id", min_size: int = 2) -> DataFrame:
@@ -83,8 +85,6 @@ def ks_statistic(scores: DataFrame, flagged: DataFrame, keys: Sequence[str], val
     """
     j = scores.join(flagged.withColumn("_f", F.lit(1)), [*keys, item] if set(keys) <= set(flagged.columns) else [item], "left")
     tally = j.groupBy(*keys, value).agg(F.count("_f").cast("double").alias("_in"), (F.count(F.lit(1)) - F.count("_f")).cast("double").alias("_out"))
-    from tessella.functions.order import running_sum
-
     run = running_sum(running_sum(tally, keys, [value], "_in", "_ci").drop("_in"), keys, [value], "_out", "_co")
     tot = j.groupBy(*keys).agg(F.count("_f").alias("n_in"), (F.count(F.lit(1)) - F.count("_f")).alias("n_out"))
     gap = F.abs(F.col("_ci") / F.col("n_in") - F.col("_co") / F.col("n_out"))
@@ -106,6 +106,46 @@ def score_ttest(scores: DataFrame, member: DataFrame, with_p: bool = True) -> Da
     return out.withColumn("p_value", dist.student_tail("t", "df")) if with_p else out
 
 
+def ks_tail(x: Column) -> Column:
+    """Limit of P(D > d) for two samples, ``x`` = d * sqrt(n * m / (n + m))."""
+    small = sum((F.exp(-F.lit((2 * i - 1) ** 2 * math.pi**2 / 8) / (x * x)) for i in range(1, 6)), F.lit(0.0))
+    large = sum((F.lit(2.0 * (-1) ** (i - 1)) * F.exp(F.lit(-2.0 * i * i) * x * x) for i in range(1, 7)), F.lit(0.0))
+    return F.when(x <= 0, F.lit(1.0)).when(x < 1, 1 - F.lit(math.sqrt(2 * math.pi)) / x * small).otherwise(large)
+
+
+def term_tests(scores: DataFrame, annotation: DataFrame, with_p: bool = True) -> DataFrame:
+    """(k, term, n_in, n_out, ks, p_ks, t, df, p_t): every term's scores against those of all other rows of the cluster.
+
+    Scores are ordered once per cluster. The gap between the two distributions is largest just at or just before the score
+    of a member, so a term costs its members only, with the counts of rows up to and below their scores; means and
+    variances outside are the cluster's sums minus the term's. Welch's test is one-sided (outside above inside). Rows
+    without a score take no part. A term needs a row on both sides; t needs two on both and some spread, else NULL.
+    """
+    s = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).select("k", "row_id", "score")
+    at = s.groupBy("k", "score").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    upto = running_sum(at, ["k"], ["score"], "_c", "_upto")
+    mean = s.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.avg("score").alias("_m"), (F.var_pop("score") * F.count(F.lit(1))).alias("_q"))
+    member = s.join(annotation.select("row_id", "term").distinct(), "row_id")
+    tally = materialize(member.groupBy("k", "term", "score").agg(F.count(F.lit(1)).cast("double").alias("_i")), "tally")
+    inside = tally.join(mean.select("k", "_m"), "k").withColumn("_d", F.col("score") - F.col("_m")).groupBy("k", "term").agg(
+        F.sum("_i").cast("long").alias("n_in"), F.sum(F.col("_i") * F.col("_d")).alias("_s1"), F.sum(F.col("_i") * F.col("_d") * F.col("_d")).alias("_s2"))
+    total = materialize(inside.join(mean.select("k", "_n", "_q"), "k").withColumn("n_out", F.col("_n") - F.col("n_in")).where("n_out > 0"), "terms")
+    run = running_sum(tally, ["k", "term"], ["score"], "_i", "_ci").join(upto, ["k", "score"]).join(total.select("k", "term", "n_in", "n_out"), ["k", "term"])
+    after = F.abs(F.col("_ci") / F.col("n_in") - (F.col("_upto") - F.col("_ci")) / F.col("n_out"))
+    ci, below = F.col("_ci") - F.col("_i"), F.col("_upto") - F.col("_c")
+    before = F.abs(ci / F.col("n_in") - (below - ci) / F.col("n_out"))
+    ks = run.groupBy("k", "term").agg(F.max(F.greatest(after, before)).alias("ks"))
+    n, m = F.col("n_in"), F.col("n_out")
+    # sums around the cluster's mean, where the outside's are the inside's with the other sign
+    si, so = (F.col("_s2") - F.col("_s1") * F.col("_s1") / n), (F.col("_q") - F.col("_s2") - F.col("_s1") * F.col("_s1") / m)
+    enough = (n > 1) & (m > 1) & (si + so > 1e-12 * F.col("_q"))
+    a, b = F.greatest(si, F.lit(0.0)) / (n - 1) / n, F.greatest(so, F.lit(0.0)) / (m - 1) / m
+    t = F.when(enough, (-F.col("_s1") / m - F.col("_s1") / n) / F.sqrt(a + b))
+    df = F.when(enough, F.pow(a + b, 2.0) / (a * a / (n - 1) + b * b / (m - 1)))
+    out = total.join(ks, ["k", "term"]).select("k", "term", "n_in", "n_out", "ks", ks_tail(F.col("ks") * F.sqrt(n * m / (n + m))).alias("p_ks"), t.alias("t"), df.alias("df"))
+    return out.withColumn("p_t", F.when(F.col("t").isNotNull(), dist.student_tail("t", "df"))) if with_p else out
+
+
 def subnetwork_score(edges: DataFrame, row_member: DataFrame, net_weights: dict[str, float] | None = None) -> DataFrame:
     """Minus the net-weighted mean of the summed weights inside each cluster."""
     inside = edges.join(row_member.select("k", F.col("row_id").alias("src")), "src").join(row_member.select("k", F.col("row_id").alias("dst")), ["k", "dst"])

@@ -414,6 +414,23 @@ def enrich_ks(spark, sf):
     return en.ks_statistic(s, flagged, ["k"], "score", "row_id").select("k", "n_in", "n_out", *r6("ks"))
 
 
+KS_X = "(ks * sqrt(n_in * n_out::double / (n_in + n_out)))"
+KS_P = (f"case when {KS_X} < 1 then 1 - sqrt(2 * pi()) / {KS_X} * (" + " + ".join(f"exp(-{(2 * i - 1) ** 2} * pi() * pi() / 8 / ({KS_X} * {KS_X}))" for i in range(1, 6)) + ") else "
+        + " + ".join(f"({2 * (-1) ** (i - 1)}) * exp(-{2 * i * i} * {KS_X} * {KS_X})" for i in range(1, 7)) + " end")
+
+
+@query("term_tests", sql("row_score annotation", f""", an as (select distinct row_id, term from annotation), j as (select r.k, tt.term, r.score, (a.row_id is not null) as inn from row_score r cross join (select distinct term from an) tt left join an a on a.row_id = r.row_id and a.term = tt.term where r.score is not null),
+c as (select k, term, score, count(*) filter (where inn)::double ni, count(*) filter (where not inn)::double no from j group by 1, 2, 3),
+cum as (select k, term, sum(ni) over w ci, sum(no) over w co, sum(ni) over (partition by k, term) ti, sum(no) over (partition by k, term) tot from c window w as (partition by k, term order by score)),
+d as (select k, term, any_value(ti)::bigint as n_in, any_value(tot)::bigint as n_out, max(abs(ci / ti - co / tot)) as ks from cum where ti > 0 and tot > 0 group by 1, 2),
+g as (select k, term, avg(score) filter (where inn) mi, avg(score) filter (where not inn) mo, var_samp(score) filter (where inn) / count(*) filter (where inn) a, var_samp(score) filter (where not inn) / count(*) filter (where not inn) b from j group by 1, 2)
+select k, term, n_in, n_out, round(ks, 6) as ks, round({KS_P}, 6) as p_ks, round(case when n_in > 1 and n_out > 1 then (mo - mi) / sqrt(a + b) end, 5) as t, round(case when n_in > 1 and n_out > 1 then pow(a + b, 2) / (a * a / (n_in - 1) + b * b / (n_out - 1)) end, 4) as df from d join g using (k, term)"""))
+def term_tests(spark, sf):
+    s = sc.row_scores(t.sparse(spark, sf), t.sparse_rows(spark, sf), t.sparse_cols(spark, sf))
+    out = en.term_tests(s, t.annotation(spark, sf), with_p=False)
+    return out.select("k", "term", "n_in", "n_out", *r6("ks", "p_ks"), F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
+
+
 @query("score_ttest", sql("row_score sparse_rows", """, j as (select s.k, s.score, (r.row_id is not null) inn from row_score s left join sparse_rows r using (k, row_id)),
 g as (select k, count(*) filter (where inn) n_in, count(*) filter (where not inn) n_out, avg(score) filter (where inn) mi, avg(score) filter (where not inn) mo, var_samp(score) filter (where inn) vi, var_samp(score) filter (where not inn) vo from j group by 1)
 select k, n_in, n_out, round((mo - mi) / sqrt(vi / n_in + vo / n_out), 6) as t, round(pow(vi / n_in + vo / n_out, 2) / (pow(vi / n_in, 2) / (n_in - 1) + pow(vo / n_out, 2) / (n_out - 1)), 5) as df from g where n_in > 1 and n_out > 1"""))
