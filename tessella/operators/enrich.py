@@ -121,7 +121,7 @@ def term_tests(scores: DataFrame, annotation: DataFrame, with_p: bool = True) ->
     variances outside are the cluster's sums minus the term's. Welch's test is one-sided (outside above inside). Rows
     without a score take no part. A term needs a row on both sides; t needs two on both and some spread, else NULL.
     """
-    s = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).select("k", "row_id", "score")
+    s = materialize(scores.where(F.col("score").isNotNull() & ~F.isnan("score")).select("k", "row_id", "score"), "scored")
     at = s.groupBy("k", "score").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     upto = running_sum(at, ["k"], ["score"], "_c", "_upto")
     mean = s.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.avg("score").alias("_m"), (F.var_pop("score") * F.count(F.lit(1))).alias("_q"))
