@@ -14,6 +14,7 @@ from tessella.plans.q_matrix import r6
 from tessella.plans.q_scores import NET, exact_null
 from tessella.plans.registry import query
 from tessella.plans.tables import sql
+from tessella.session import materialize, spread
 
 
 def sparse_scores(spark, sf):
@@ -215,7 +216,7 @@ def top_correlated_rows(spark, sf):
     from tessella.operators import tiles
 
     axis = tiles.column_axis(t.dense(spark, sf))
-    vec = tiles.pack_rows(t.dense(spark, sf), axis)
+    vec = materialize(spread(tiles.pack_rows(t.dense(spark, sf), axis), "row_id"), "vectors")
     return tiles.top_correlated(vec, vec.select("row_id"), axis.count(), 5).select("probe", "row_id", *r6("r"), "rn")
 
 
