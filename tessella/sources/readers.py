@@ -86,9 +86,19 @@ def read_feature_names(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get(a, F.lit(0)).alias("id"), F.get(a, F.lit(1)).alias("name"), F.get(a, F.lit(2)).alias("type")).distinct()
 
 
-def read_contigs(spark: SparkSession, path: str, name: str = r"([^/]+?)\.raw(\.gz)?$") -> DataFrame:
-    """(contig, seq): one raw file per contig, named by the first group of ``name``, upper case."""
-    df = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("contig"), F.upper(F.regexp_replace("value", r"\s", "")).alias("seq"))
+def read_contigs(spark: SparkSession, path: str, name: str = r"([^/]+?)\.raw(\.gz)?$", packed: bool = False) -> DataFrame:
+    """(contig, seq): one raw file per contig, named by the first group of ``name``, upper case.
+
+    Genomes of very many contigs come ``packed``: a file holds any number of raw files, each behind a line of ``>`` and
+    its path. They are named and cleaned alike; a packed file is read in parallel and a contig costs no file.
+    """
+    if packed:
+        raw = spark.read.option("lineSep", ">").text(path).where(F.col("value") != "")
+        file, body = F.split_part("value", F.lit("\n"), F.lit(1)), F.regexp_replace("value", r"^[^\n]*\n?", "")
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        file, body = F.col("_metadata.file_path"), F.col("value")
+    df = raw.select(F.regexp_extract(file, name, 1).alias("contig"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
     return df.where("seq <> ''")
 
 
