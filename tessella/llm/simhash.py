@@ -212,7 +212,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs(a, b)`` without those whose parities differ in more bits than similar sets have members of one only."""
-    both = pairs.join(nodes.toDF("a", "n", "x"), "a").join(nodes.toDF("b", "m", "y"), "b")
+    both = pairs.join(nodes.toDF("a", "n", "x").hint("merge"), "a").join(nodes.toDF("b", "m", "y").hint("merge"), "b")
 
     def work(batch: pa.RecordBatch) -> dict:
         keep = np.zeros(batch.num_rows, bool)
@@ -237,10 +237,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = sets.select("set_id", "n", "bits").dropDuplicates(["set_id"])
     pairs = materialize(_possible(pairs, nodes), "possible")
     ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    chosen = sets.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("text_hash").alias("__hash"))
-    held = docs.select("text", F.xxhash64("text").alias("__hash")).join(chosen, "__hash").groupBy("set_id").agg(F.min("text").alias("text"))
+    chosen = sets.join(ends.hint("merge"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_hash").alias("__hash"))
+    held = docs.select("text", F.xxhash64("text").alias("__hash")).join(chosen.hint("merge"), "__hash").groupBy("set_id").agg(F.min("text").alias("text"))
     held = materialize(held, "held")
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    both = pairs.join(held.toDF("a", "x").hint("merge"), "a").join(held.toDF("b", "y").hint("merge"), "b")
 
     def work(batch: pa.RecordBatch) -> dict:
         keep = np.zeros(batch.num_rows, bool)
@@ -345,7 +345,7 @@ def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     other, which pivot distances tell first. To begin with, the nodes of a bucket are compared with one of them only, another
     one in each table and round, which joins large groups of copies in steps; then all pairs of a bucket that are in parts
     not yet joined. A bucket of over ``BUCKET_NODES`` nodes is cut into chunks, and every two chunks are compared in a task
-    of their own.
+    of their own. Joins are by sort: Spark sizes the keyed nodes by the nodes they are made of, and would broadcast them.
     """
     nodes = materialize(sets.groupBy("set_id").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "nodes")
     tables = table_bits(nodes.count())
@@ -355,27 +355,27 @@ def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
         one = F.struct(F.xxhash64("set_id", "key", F.lit(turn)), "set_id", "n", "fp", "part")
         ones = keyed.groupBy("key").agg(F.min(one).alias("low"), F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("key", "low")
         near = (F.col("part") != F.col("low.part")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= NEAR_BITS)
-        star = keyed.join(ones, "key").where(near & (5 * F.least("n", "low.n") >= COPY_FIFTHS * F.greatest("n", "low.n")))
+        star = keyed.join(ones.hint("merge"), "key").where(near & (5 * F.least("n", "low.n") >= COPY_FIFTHS * F.greatest("n", "low.n")))
         star = star.select(F.least("low.set_id", "set_id").alias("a"), F.greatest("low.set_id", "set_id").alias("b")).distinct()
-        star = materialize(star if seen is None else star.join(seen, ["a", "b"], "left_anti"), "star")
+        star = materialize(star if seen is None else star.join(seen.hint("merge"), ["a", "b"], "left_anti"), "star")
         found = materialize(_similar(star, sets, docs), "near")
         links, seen = (found, star) if links is None else (links.unionByName(found), seen.unionByName(star))
     keyed = _keyed(_parts(nodes, links), tables)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("l"), F.max("part").alias("h")).where("rows > 2 and l <> h")
     sizes = materialize(sizes.select("key", F.ceil(F.col("rows") / BUCKET_NODES).cast("int").alias("chunks")), "buckets")
-    held = keyed.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
+    held = keyed.join(sizes.hint("merge"), "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     held = held.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select("key", "i", "j", "chunk", "set_id", "n", "fp", "part")
-    held = held.join(sets.groupBy("set_id").agg(F.min("mark").alias("mark")), "set_id")
+    held = held.join(sets.groupBy("set_id").agg(F.min("mark").alias("mark")).hint("merge"), "set_id")
     rest = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near, "a bigint, b bigint").distinct()
-    return links.unionByName(_similar(materialize(rest.join(seen, ["a", "b"], "left_anti"), "rest"), sets, docs))
+    return links.unionByName(_similar(materialize(rest.join(seen.hint("merge"), ["a", "b"], "left_anti"), "rest"), sets, docs))
 
 
 def _parts(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
     """``nodes`` with the part that the links so far put each in."""
     if links is None:
         return nodes.withColumn("part", F.col("set_id"))
-    part = nodes.join(components(links).toDF("set_id", "part"), "set_id", "left")
+    part = nodes.join(components(links).toDF("set_id", "part").hint("merge"), "set_id", "left")
     return materialize(part.withColumn("part", F.coalesce("part", "set_id")), "parts")
 
 
@@ -389,15 +389,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     sets = materialize(shingle_sets(docs), "sets")
     found = components(materialize(copy_links(sets, docs.select("doc_id", "text")), "links")).toDF("set_id", "part")
     same = ["doc_id", "text_hash", "row_hash"]
-    rows = sets.where("doc_id is not null").groupBy(*same).agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).alias("rows")).join(found, "set_id", "left")
+    rows = sets.where("doc_id is not null").groupBy(*same).agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).alias("rows")).join(found.hint("merge"), "set_id", "left")
     first = rows.groupBy(F.coalesce("part", "set_id").alias("part")).agg(F.min(F.struct(*same, "rows")).alias("r"))
     kept = materialize(first.groupBy(F.col("r.doc_id").alias("__kept")).agg(F.min(F.struct("r.text_hash", "r.row_hash", "r.rows")).alias("__r")), "kept")
     hashed = F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)])
     fits = (F.col("doc_id") == F.col("__kept")) & (F.xxhash64("text") == F.col("__r.text_hash")) & (hashed == F.col("__r.row_hash"))
-    with_id = docs.where("doc_id is not null").join(kept.where("__r.rows = 1"), fits, "left_semi")
+    with_id = docs.where("doc_id is not null").join(kept.where("__r.rows = 1").hint("merge"), fits, "left_semi")
     repeated = kept.where("__r.rows > 1")
     if not repeated.isEmpty():  # rows that are equal throughout
-        with_id = with_id.unionByName(docs.where("doc_id is not null").join(repeated, fits, "left_semi").dropDuplicates(["doc_id"]))
+        with_id = with_id.unionByName(docs.where("doc_id is not null").join(repeated.hint("merge"), fits, "left_semi").dropDuplicates(["doc_id"]))
     return with_id.unionByName(docs.where("doc_id is null"))
 
 
