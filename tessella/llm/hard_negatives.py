@@ -265,12 +265,15 @@ def _searcher(keep: int, same_label: bool):
 
 
 def _meet(blocks: DataFrame, trees: DataFrame, n_blocks: Column | int, n_stripes: Column | int, keep: int, same_label: bool) -> DataFrame:
-    """Every block with every tree of its class: a task takes the trees of a stripe and the blocks of a group."""
+    """Every block with every tree of its class: a task takes the trees of a stripe and the blocks of a group.
+
+    Both are copied for it, which Spark does not count when it sizes them, so the join is by sort and holds the blocks of one group.
+    """
     blocks = blocks.withColumn("group", (F.col("block") / GROUP_BLOCKS).cast("int")).withColumn("stripe", F.explode(F.sequence(F.lit(0), n_stripes - F.lit(1))))
     trees = trees.withColumn("stripe", F.pmod(F.xxhash64("own_class", "part"), n_stripes).cast("int"))
     trees = trees.withColumn("group", F.explode(F.sequence(F.lit(0), ((n_blocks - F.lit(1)) / GROUP_BLOCKS).cast("int"))))
     keys = ["class", "stripe", "group"]
-    pairs = spread(blocks.select(*keys, "block", *Rows.FIELDS), *keys).join(spread(trees.select(*keys, *CoverTree.FIELDS), *keys), keys)
+    pairs = spread(trees.select(*keys, *CoverTree.FIELDS), *keys).join(spread(blocks.select(*keys, "block", *Rows.FIELDS), *keys).hint("merge"), keys)
     conf = blocks.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return pairs.mapInArrow(_searcher(keep, same_label), _RESULT)
@@ -320,7 +323,7 @@ def mine(points: DataFrame, anchors: Column, positives: int = 5, negatives: int
     window = F.struct(least.cast("bigint").alias("least"), most.cast("bigint").alias("most"), "positive", F.col("of_positive").alias("positive_score"))
     windows = positive.where("of_positive >= 0").groupBy(F.col("anchor_id").alias("vec_id"), "key").agg(F.collect_list(window).alias("windows"))
     n_blocks, n_stripes = max(1, math.ceil(total[1] / BLOCK_ANCHORS)), min(STRIPES, max(1, math.ceil(total[0] / STRIPE_SHARDS)))
-    second = chosen.join(windows, ["vec_id", "key"]).withColumn("class", F.lit("all")).withColumn("block", F.pmod("key", F.lit(n_blocks)).cast("int"))
+    second = chosen.join(windows.hint("merge"), ["vec_id", "key"]).withColumn("class", F.lit("all")).withColumn("block", F.pmod("key", F.lit(n_blocks)).cast("int"))
     second = spread(second, "block").groupBy("class", "block").applyInArrow(_block, block_type)
     found = _meet(second, trees.withColumn("class", F.lit("all")), F.lit(n_blocks), F.lit(n_stripes), negatives, False)
     best = _best(found, ["anchor_id", "key", "positive_id"], negatives)
